@@ -1,10 +1,14 @@
 """The queries of this subpackage by name, with the DuckDB SQL that gives the same rows."""
 
-from . import mixing
+from . import langid, mixing, quality, rules
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_language_id": langid.op4_language_id,
+    "op5_quality": quality.op5_quality,
+    "op9_quality_rules": rules.op9_quality_rules,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op9_quality_rules": rules.OP9_SQL,
 }
