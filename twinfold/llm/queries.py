@@ -1,14 +1,16 @@
 """The queries of this subpackage by name, with the DuckDB SQL that gives the same rows."""
 
-from . import langid, mixing, quality, rules
+from . import langid, mixing, quality, rules, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_warc": warc.op3_warc,
     "op4_language_id": langid.op4_language_id,
     "op5_quality": quality.op5_quality,
     "op9_quality_rules": rules.op9_quality_rules,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op9_quality_rules": rules.OP9_SQL,
 }
