@@ -1,0 +1,29 @@
+"""Connected components of a graph of links, by joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stage
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(a, b) links to (node, label): label is the smallest node that a chain of links reaches.
+
+    Each round every node takes the smallest label among itself and its neighbours, then the
+    label of its label, so labels travel a distance that doubles. A round's result is a
+    written table. Null ends and loops are ignored; nodes without links are not in the result.
+    """
+    links = edges.filter("a <> b")
+    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("over"))
+        step = stage(met.join(up, "label").select("node", "old", F.least("label", "over").alias("label")), "labels")
+        labels = step.select("node", "label")
+        if step.filter("old <> label").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

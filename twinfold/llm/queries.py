@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, with the DuckDB SQL that gives the same rows."""
 
-from . import langid, mixing, quality, rules, warc
+from . import langid, mixing, quality, rules, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_warc": warc.op3_warc,
     "op4_language_id": langid.op4_language_id,
     "op5_quality": quality.op5_quality,
+    "op7_simhash": simhash.op7_simhash,
     "op9_quality_rules": rules.op9_quality_rules,
 }
 ORACLES = {
