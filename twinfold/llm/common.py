@@ -50,8 +50,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends there and executors may be lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = new_path(spark, name), spark.conf.get(key, "false")
+    spark.conf.set(key, "true")  # what the table holds need not stay in shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

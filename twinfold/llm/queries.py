@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, with the DuckDB SQL that gives the same rows."""
 
-from . import langid, mixing, quality, rules, simhash, warc
+from . import langid, mixing, quality, rules, simhash, substrings, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op7_simhash": simhash.op7_simhash,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_substrings": substrings.op10_substrings,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
