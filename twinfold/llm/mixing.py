@@ -48,8 +48,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return t.withColumn("at", level).select("source", "source_size", F.coalesce(F.least("cap", F.col("w") * F.col("at")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs, taken, and the columns in keep.
 
     epochs is how often the mix repeats the document, taken is epochs times size in words. Null text
     has size 0 and takes nothing; null sources form one source; rows with equal ids draw
@@ -58,7 +58,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """
     spark = docs.sparkSession
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h")), "sized")
+    size = n_words(F.col("text"))
+    sized = stage(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sized")
     bits = max(0, min(20, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS))))
     sized = sized.withColumn("bucket", F.shiftright("h", 60 - bits))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -72,6 +73,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").select(F.col("source").alias("ps"), "source_size", "target", "whole", "more", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
     plan = stage(plan, "mixplan")
     few = plan.count() <= MAX_BROADCAST_SOURCES
+    if keep:  # from the documents again, so that texts are not written twice
+        sized = docs.select("doc_id", "source", *[F.col(c).alias(f"kept_{c}") for c in keep], size.alias("size"), h.alias("h")).withColumn("bucket", F.shiftright("h", 60 - bits))
     each = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("ps")))
     at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
     sure = each.filter(~at_edge).withColumn("again", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(1)))
@@ -79,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     middle = F.col("before") + F.sum("size").over(run) - F.col("size") / 2.0
     tried = each.filter(at_edge).withColumn("again", (middle <= F.col("more")).cast("long"))
     out = sure.unionByName(tried).withColumn("epochs", F.col("whole") + F.col("again"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", *[F.col(f"kept_{c}").alias(c) for c in keep], "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

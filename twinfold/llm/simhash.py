@@ -210,14 +210,14 @@ def popcount(v: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of one bucket (rows sorted by mask and value), one of them unprobed, within radius and not equal."""
+    """Positions of the pairs of one bucket (rows sorted by mask, value and probe), one of them unprobed, within radius and not equal."""
     a_out, b_out, step = [], [], 1
-    live = np.arange(len(fp) - 1) if len(fp) > 1 else np.empty(0, np.int64)
+    live = np.flatnonzero(~probe)
     while len(live):
         live = live[live + step < len(fp)]
         live = live[(mask[live] == mask[live + step]) & (value[live] == value[live + step])]
         d = popcount(fp[live] ^ fp[live + step])
-        hit = live[(d <= radius) & (d > 0) & ~(probe[live] & probe[live + step])]
+        hit = live[(d <= radius) & (d > 0)]
         a_out.append(hit)
         b_out.append(hit + step)
         step += 1
@@ -260,18 +260,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT, accept: int | None = None) -> DataFrame:
     """(a, b) links between different fingerprints of fps (fp, distinct) at radius bits or fewer.
 
     With forest, only links that join what a task has not yet joined: the same components. Without, every
-    link once or more. No fingerprint, no link.
+    link once or more. No fingerprint, no link. With accept > radius, pairs up to that many bits apart
+    that a probe meets anyway are links too.
     """
+    limit = max(radius, accept or 0)
     rows = buckets(fps, plan_partitions(fps, radius), radius, hot)
-    rows = rows.repartition("mask", "value").sortWithinPartitions("mask", "value")
+    rows = rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "probe")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp, probe in _sorted_runs(batches):
-            i, j = close_pairs(mask, value, fp, probe, radius)
+            i, j = close_pairs(mask, value, fp, probe, limit)
             a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
             if forest:
                 pairs = _forest(a, b)
@@ -297,6 +299,121 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near-duplicates by similarity: fingerprints find candidates, shingle sets decide.
+#: Punctuation that is cut off both ends of a word.
+PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&"
+#: Words in a fingerprint's shingle, bits within which probes are complete, bits up to which a met pair is compared.
+CANDIDATE = (2, 7, 13)
+#: Documents of a candidate group in a block; larger groups are compared by pairs of blocks.
+BLOCK = 800
+#: Ids up to which a set of documents is broadcast; beyond it is joined by a shuffle.
+MAX_BROADCAST_IDS = 100_000
+
+
+def normal_words(text: str | None) -> list[bytes]:
+    """Words, A-Z in lower case, without punctuation at their ends."""
+    return [w for w in (x.strip(PUNCTUATION) for x in (text or "").encode().lower().split()) if w]
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's k-word shingles (of normal_words)."""
+    return np.unique(shingle_hashes(b" ".join(normal_words(text)).decode("utf-8", "replace"), k))
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MAX_BROADCAST_IDS else df
+
+
+def similar_pairs(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
+    """Links that join what is not yet joined: pairs of different sides (or any, if there is one side) with at least that Jaccard similarity.
+
+    Pairs are tried by rising distance of their fingerprints, up to bits, and only between parts that aren't joined.
+    """
+    one_side = len(np.unique(side)) == 1
+    tried: list[list[tuple[int, int]]] = [[] for _ in range(bits + 1)]
+    for i in range(len(ids) - 1):
+        d = popcount(fp[i + 1 :] ^ fp[i])
+        ok = (d <= bits) if one_side else (d <= bits) & (side[i + 1 :] != side[i])
+        for j in np.flatnonzero(ok):
+            tried[d[j]].append((i, i + 1 + int(j)))
+    over = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while over[x] != x:
+            over[x] = x = over[over[x]]
+        return x
+
+    out = []
+    for pairs in tried:
+        for i, j in pairs:
+            if (a := top(i)) == (b := top(j)):
+                continue
+            n, m = len(sets[i]), len(sets[j])
+            if min(n, m) < similarity * max(n, m):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (n + m - both):
+                over[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows and columns of docs (doc_id integer, text, ...) without near-duplicates: the smallest doc_id of each group stays.
+
+    Texts are linked if the Jaccard similarity of their sets of shingle-word shingles (words in lower case, without
+    punctuation at the ends) is at least ``similarity``, or if they are equal; groups are chains of links. Candidates are pairs whose fingerprints, of
+    shorter shingles that survive more edits, a probe brings together. Null and wordless texts are linked
+    only to equal ones. Of rows with equal id and text one stays; ids are taken to be unique otherwise.
+    """
+    k, radius, bits = CANDIDATE
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fp = [majority(shingle_set(t, k)) for t in texts]
+            empty = [not normal_words(t) for t in texts]
+            h = [int(np.uint64(xxhash.xxh3_64_intdigest((t or "").encode())).view(np.int64)) for t in texts]
+            g = [int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 7)).view(np.int64)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(empty, pa.bool_())], ["doc_id", "fp", "h", "g", "empty"])
+
+    each = stage(docs.select("doc_id", "text").mapInArrow(look, f"doc_id {id_type}, fp long, h long, g long, empty boolean"), "looks")
+    # equal texts (128 bits of hash): the first stands for all
+    texts = stage(each.groupBy("h", "g", "fp", "empty").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "texts")
+    fps = stage(texts.filter("not empty").select("fp").distinct(), "fps")
+    labels = components(links(fps, radius, accept=bits))
+    at = texts.filter("not empty").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("first", "fp", F.coalesce("label", "fp").alias("part"))
+    sizes = at.groupBy("part").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stage(at.join(sizes, "part").select(F.col("first").alias("doc_id"), "fp", "part", "size"), "members")
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), b.column("part"), b.column("size"), pa.array(sets, pa.binary())], ["doc_id", "fp", "part", "size", "s"])
+
+    some = docs.select("doc_id", "text").join(_few(members, members.count()), "doc_id").select("doc_id", "text", "fp", "part", "size")
+    sets = some.mapInArrow(with_sets, f"doc_id {id_type}, fp long, part long, size long, s binary")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), n_blocks.cast("long")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = sets.withColumn("blocks", n_blocks).withColumn("own", own).select("doc_id", "fp", "part", "s", "own", F.explode(cells).alias("c")).select("doc_id", "fp", "part", "s", "own", "c.i", "c.j")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, fp, side = (t.column(c).to_numpy() for c in ("doc_id", "fp", "own"))
+        found = similar_pairs(ids, fp, [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], side, similarity, bits)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    edges = dealt.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long")
+    groups = components(edges)
+    gone = each.join(texts.select("h", "g", "first"), ["h", "g"]).filter("doc_id <> first or (doc_id is null and first is not null)").select("doc_id")
+    gone = stage(gone.unionByName(groups.filter("node <> label").select(F.col("node").alias("doc_id"))).distinct(), "gone")
+    out = docs.join(_few(gone, gone.count()), "doc_id", "left_anti")
+    if not each.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
