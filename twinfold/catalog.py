@@ -1,4 +1,261 @@
-"""All queries of the library by name, with the DuckDB SQL that gives the same rows."""
+"""All queries of the library by name, with the DuckDB SQL that gives the same rows where SQL can.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Queries run on offers derived from part and lineitem (sources.offers.FLAT_SQL), or on curve points derived from orders.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import similarity as S
+from .functions import text as T
+from .functions.tables import BRAND_ENDINGS, PRIME
+from .operators import blocking as B
+from .operators import brand as R
+from .operators import matching as M
+from .operators.graph import components as graph_components
+from .plans import experiment as X
+from .sources.offers import FLAT_SQL, from_tables
+
+NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 60
+SWEEP = [(4, 6), (8, 3), (12, 2)]
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    return from_tables(spark, d)
+
+
+def ready(spark: SparkSession, d: str) -> DataFrame:
+    return R.prepare(raw(spark, d))
+
+
+def sigs(spark: SparkSession, d: str) -> DataFrame:
+    return B.signatures(ready(spark, d), NUM_PERM, SEED)
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return B.lsh_pairs(sigs(spark, d), BANDS, ROWS)
+
+
+def model_pairs(spark: SparkSession, d: str, *cols: Column) -> DataFrame:
+    """Pairs of neighbouring offers of a block, with columns of both sides (suffix 1 and 2)."""
+    o = ready(spark, d).select("brand", "offer_id", "ord", *cols)
+    a = o.select("brand", *[F.col(c).alias(f"{c}1") for c in o.columns if c != "brand"])
+    b = o.select("brand", *[F.col(c).alias(f"{c}2") for c in o.columns if c != "brand"])
+    return a.join(b, "brand").filter("ord1 < ord2 and ord2 <= ord1 + 12")
+
+
+def unbranded(spark: SparkSession, d: str) -> DataFrame:
+    """Offers whose titles spell brands with a blank; every third cluster lost its features."""
+    bare = F.filter("features", lambda f: F.lit(False))
+    return raw(spark, d).withColumn("title", F.regexp_replace("title", "#", " ")).withColumn("features", F.when(F.col("cluster_id").cast("int") % 30 == 0, bare).otherwise(F.col("features")))
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 7 = 0")
+    part = lambda m: (F.col("o_orderkey") % m) / F.lit(float(m))
+    return o.select(part(1000).alias("fc"), part(97).alias("f1"), part(89).alias("pq"), part(83).alias("pc"), part(79).alias("f1_star"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    o = ready(spark, d)
+    return M.score(M.pair_profiles(B.candidates(o, B.signatures(o, NUM_PERM, SEED), BANDS, ROWS), o))
+
+
+def _text_pairs(f, name: str, c: str = "title"):  # noqa: ANN001, ANN202
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return model_pairs(spark, d, F.col("title")).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"), F.round(f(F.col("title1"), F.col("title2")), 6).alias(name))
+
+    return run
+
+
+def hard_blocks(spark: SparkSession, d: str) -> DataFrame:
+    o = ready(spark, d)
+    p = S.profile(o)
+    near = model_pairs(spark, d).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
+    return j.select("oid1", "oid2", S.shares_strong(F.col("p1"), F.col("p2")).alias("strong"), S.blocked(F.col("p1"), F.col("p2")).alias("blocked"))
+
+
+def title_comp(spark: SparkSession, d: str) -> DataFrame:
+    o = ready(spark, d)
+    p = S.profile(o)
+    near = model_pairs(spark, d).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
+    s = S.title_score(F.col("p1"), F.col("p2"), *[F.lit(x) for x in (0.95, 0.1, 0.5, 0.5)])
+    return j.select("oid1", "oid2", F.round(s, 6).alias("score"))
+
+
+def key_match(spark: SparkSession, d: str) -> DataFrame:
+    o = ready(spark, d)
+    p = S.profile(o)
+    near = model_pairs(spark, d).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2").withColumn("x", S.match_keys(F.col("p1.f"), F.col("p2.f"), F.lit(0.5)))
+    return j.select("oid1", "oid2", F.round("x.sim", 6).alias("sim"), F.round("x.w", 6).alias("w"), F.col("x.m").alias("m"))
+
+
+QUERIES = {
+    "clean_titles": lambda s, d: raw(s, d).select("offer_id", T.clean_title(F.col("title")).alias("title")),
+    "clean_feature_values": lambda s, d: raw(s, d).select("offer_id", F.explode(T.clean_features(F.col("features"))).alias("f")).select("offer_id", "f.key", "f.value"),
+    "extract_brand": lambda s, d: raw(s, d).select("offer_id", T.extract_brand(F.col("features")).alias("brand")),
+    "brand_majority": lambda s, d: R.majority(raw(s, d).withColumn("brand", T.extract_brand(F.col("features")))),
+    "guess_brand_title": lambda s, d: unbranded(s, d).select("offer_id", F.lower(T.guess_brand(F.col("title"), [f"brand {i}" for i in range(1, 26, 2)])).alias("brand")),
+    "brand_fill": lambda s, d: R.annotate(unbranded(s, d)).select("offer_id", "brand"),
+    "numeric_features": lambda s, d: ready(s, d).select("offer_id", F.explode(T.feature_numbers(F.col("features"))).alias("number")),
+    "title_model_words": lambda s, d: ready(s, d).select("offer_id", F.explode(T.title_model_words(F.col("title"))).alias("word")),
+    "shingles": lambda s, d: B.shingle_rows(ready(s, d)).select("offer_id", "ord", "shingle"),
+    "shingle_df": lambda s, d: B.shingle_df(B.shingle_rows(ready(s, d))),
+    "shingle_df_filter": lambda s, d: B.filter_by_df(B.shingle_rows(o := ready(s, d)), o).select("offer_id", "shingle"),
+    "shingle_ids": lambda s, d: B.shingle_ids(B.filter_by_df(B.shingle_rows(o := ready(s, d)), o)),
+    "minhash_signatures": lambda s, d: sigs(s, d).select("offer_id", F.posexplode("sig").alias("k", "h")),
+    "lsh_bands": lambda s, d: B.bands(sigs(s, d), BANDS, ROWS, NUM_PERM),
+    "lsh_prefix_keff": lambda s, d: B.lsh_pairs(sigs(s, d), 11, 2),
+    "lsh_pairs": pairs,
+    "lsh_adjacency_degree": lambda s, d: B.adjacency(pairs(s, d), ready(s, d)).select("offer_id", F.size("partners").alias("degree")),
+    "factor_pairs": lambda s, d: s.createDataFrame(B.factor_pairs(120), "b int, r int"),
+    "lsh_configs": lambda s, d: s.createDataFrame(B.band_configs(120), "k int, b int, r int"),
+    "small_brand_pairs": lambda s, d: B.block_pairs(B.split_blocks(ready(s, d), SMALL)[1]),
+    "all_brand_pairs": lambda s, d: B.every_pair(ready(s, d), SMALL),
+    "lsh_metrics": lambda s, d: B.lsh_metrics(pairs(s, d), ready(s, d)).select(*[c if c.endswith("s") or c == "tp" else F.round(c, 6).alias(c) for c in ("tp", "cand_pairs", "true_pairs", "possible_pairs", "pc", "pq", "fc", "f1_star")]),
+    "lsh_sweep": lambda s, d: B.sweep(sigs(s, d), ready(s, d), SWEEP).select("b", "r", "tp", "cand_pairs", F.round("fc", 6).alias("fc")),
+    "lsh_best": lambda s, d: B.best_config(B.sweep(sigs(s, d), ready(s, d), SWEEP), 0.5).select("b", "r"),
+    "qgram_sim": _text_pairs(S.qgram_similarity, "sim"),
+    "cosine_sim": _text_pairs(lambda a, b: S.cosine(S.terms(a), S.terms(b)), "sim"),
+    "norm_lev": _text_pairs(S.norm_lev, "sim"),
+    "avg_lev": _text_pairs(lambda a, b: S.avg_lev(T.pair_words(a), T.pair_words(b)), "sim"),
+    "split_numeric": lambda s, d: ready(s, d).select("offer_id", F.explode(S.terms(F.col("title"))).alias("word")).distinct().select("offer_id", "word", T.split_numeric(F.col("word")).alias("x")).select("offer_id", "word", "x.text", "x.number"),
+    "size_inches": lambda s, d: ready(s, d).select("offer_id", T.size_inches(F.col("title"), F.col("features")).alias("size")),
+    "resolution_match": lambda s, d: ready(s, d).select("offer_id", T.resolution(F.col("features")).alias("reso")),
+    "strong_words": lambda s, d: ready(s, d).select("offer_id", F.explode(T.strong_words(F.col("title"))).alias("word")),
+    "hard_blocks": hard_blocks,
+    "title_comp": title_comp,
+    "key_match": key_match,
+    "pair_dissimilarity": lambda s, d: _scored(s, d).withColumn("d", F.round("d", 6)),
+    "components": lambda s, d: graph_components(pairs(s, d).select(F.col("oid1").alias("a"), F.col("oid2").alias("b"))),
+    "complete_linkage_clusters": lambda s, d: M.clusters(M.stage(_scored(s, d), "edges"), 0.3),
+    "cluster_pairs": lambda s, d: M.cluster_pairs(M.clusters(M.stage(_scored(s, d), "edges"), 0.3)),
+    "pair_metrics": lambda s, d: M.pair_metrics(pairs(s, d), ready(s, d)).select("tp", "fp", "fn", "n_true_pairs", "n_pred_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
+    "bootstrap_split": lambda s, d: X.bootstrap(ready(s, d), SEED),
+    "curve_bins": lambda s, d: X.bins(points(s, d)).select(*[F.round(c, 6).alias(c) for c in ("fc", "f1", "pq", "pc", "f1_star")], "n"),
+    "curve_rolling_median": lambda s, d: X.smooth(X.bins(points(s, d))).select(*[F.round(c, 6).alias(c) for c in ("fc", "f1_avg", "pq_avg", "pc_avg", "f1_star_avg")]),
+}
+
+
+def _q(x: str) -> str:
+    return x.replace("'", "''")
+
+
+def _clean_sql(expr: str, rules: list[tuple[str, str, bool]]) -> str:
+    out = f"lower(coalesce({expr}, ''))"
+    for spelling, unit, word in rules:
+        p = "".join(c if c.isalnum() or ord(c) > 127 or c == " " else "\\" + c for c in spelling)
+        p = rf"\b{p}\b" if word else p
+        out = f"regexp_replace({out}, '{_q(p)}', '{unit}', 'gi')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[^0-9a-zA-Z]+$', ''), '\s+', ' ', 'g'))"
+
+
+_ENDINGS = "|".join(e for e in BRAND_ENDINGS if e.isalpha())
+_NORMAL = rf"coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(lower(v1), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '(^| )(({_ENDINGS})( |$))+$', ''), ''), 'unknown')"
+_A, _B = B.hash_family(NUM_PERM, SEED)
+_PERMS = ", ".join(f"({k}, {a}::BIGINT, {b}::BIGINT)" for k, (a, b) in enumerate(zip(_A, _B, strict=True)))
+_NUM = r"\d+(?:\.\d+)?"
+_WORD = r"([a-zA-Z0-9]*((\d*\.)?\d+[^0-9, ]+)[a-zA-Z0-9]*)"
+_INCH = r'(?i)(?:^|[^0-9])(\d{2,3}(?:\.\d+)?)\s*(?:inches|inch|in\b|["”])'
+
+CTE = rf"""
+o AS ({FLAT_SQL}),
+xb AS (SELECT *, CASE WHEN trim(v1) = '' THEN 'unknown' ELSE {_NORMAL} END AS own FROM o),
+maj AS (SELECT cluster_id, own AS top FROM (SELECT cluster_id, own, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, own) AS rn FROM xb WHERE own <> 'unknown' GROUP BY cluster_id, own) WHERE rn = 1),
+c0 AS (SELECT o.* EXCLUDE (title, v1, v2, v3, v4), {_clean_sql('title', T.TITLE_RULES)} AS title, {_clean_sql('v1', T.VALUE_RULES)} AS v1, {_clean_sql('v2', T.VALUE_RULES)} AS v2, {_clean_sql('v3', T.VALUE_RULES)} AS v3, {_clean_sql('v4', T.VALUE_RULES)} AS v4,
+         coalesce(top, 'unknown') AS brand, count(*) OVER (PARTITION BY o.cluster_id) = 1 AS single FROM o LEFT JOIN maj ON o.cluster_id = maj.cluster_id),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY single, cluster_id, idx)::INT AS ord FROM c0),
+tw AS (SELECT *, list_distinct(list_filter(regexp_extract_all(title, '\w+'), lambda w: regexp_matches(w, '^[a-zA-Z0-9]+$') AND regexp_matches(w, '[a-zA-Z]') AND regexp_matches(w, '[0-9]'))) AS words,
+         list_distinct(regexp_extract_all(concat_ws(' | ', v1, v2, v3, v4), '{_NUM}')) AS nums,
+         list_distinct(regexp_extract_all(title, '{_WORD}', 1)) AS pw FROM c),
+st AS MATERIALIZED (SELECT *, list_distinct(list_transform(list_filter(pw, lambda w: regexp_matches(lower(w), '^[a-z0-9-]{{6,}}$') AND regexp_matches(lower(w), '[a-z]') AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(lower(w), '(inch|hz|p)$')), lambda w: lower(w))) AS strong,
+         coalesce(nullif(regexp_extract(title, '{_INCH}', 1), ''), nullif(regexp_extract(v2, '{_INCH}', 1), ''))::DOUBLE AS size,
+         nullif(trim(regexp_extract(v3, '(?:^|\s)(\d{{3,}}\s*x\s*\d{{3,}})(?:\s|$)', 1)), '') AS reso FROM tw),
+sh AS MATERIALIZED (SELECT brand, offer_id, ord, unnest(list_distinct(list_concat(list_concat(words, list_filter(list_transform(words, lambda w: regexp_extract(w, '^{_NUM}')), lambda x: x <> '')), nums))) AS shingle FROM tw),
+bn AS (SELECT brand, count(*) AS n FROM c GROUP BY brand),
+df AS (SELECT brand, shingle, count(*)::BIGINT AS df FROM sh GROUP BY brand, shingle),
+k0 AS (SELECT sh.* FROM sh JOIN df ON sh.brand = df.brand AND sh.shingle = df.shingle JOIN bn ON sh.brand = bn.brand WHERE df >= 2 AND df <= 0.5 * n),
+kept AS MATERIALIZED (SELECT * FROM k0 UNION ALL SELECT * FROM sh WHERE offer_id NOT IN (SELECT offer_id FROM k0)),
+ids AS (SELECT brand, shingle, (row_number() OVER (PARTITION BY brand ORDER BY min(ord), shingle) - 1)::BIGINT AS id FROM kept GROUP BY brand, shingle),
+perm(k, a, b) AS (VALUES {_PERMS}),
+big AS (SELECT c.* FROM c JOIN bn ON c.brand = bn.brand WHERE n >= 4),
+sg AS MATERIALIZED (SELECT big.brand, big.offer_id, k::INT AS k, coalesce(min((a + b * id) % {PRIME}), {PRIME})::BIGINT AS h FROM big CROSS JOIN perm LEFT JOIN (SELECT offer_id, id FROM kept JOIN ids ON kept.brand = ids.brand AND kept.shingle = ids.shingle) i ON i.offer_id = big.offer_id GROUP BY big.brand, big.offer_id, k),
+near AS (SELECT a.offer_id AS oid1, b.offer_id AS oid2, b.ord - a.ord AS gap FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord AND b.ord <= a.ord + 12)"""
+
+
+def _band_sql(b: int, r: int, name: str = "") -> str:
+    return f"""
+bd{name} AS MATERIALIZED (SELECT brand, offer_id, (k // {r})::INT AS band, string_agg(h::VARCHAR, ',' ORDER BY k) AS key FROM sg WHERE k < {b * r} GROUP BY brand, offer_id, k // {r}),
+lp{name} AS MATERIALIZED (SELECT DISTINCT x.brand, x.offer_id AS oid1, y.offer_id AS oid2 FROM bd{name} x JOIN bd{name} y ON x.brand = y.brand AND x.band = y.band AND x.key = y.key AND x.offer_id < y.offer_id)"""
+
+
+def _metrics_sql(name: str = "") -> str:
+    return f"""
+mt{name} AS (SELECT (SELECT count(*) FROM lp{name} p JOIN c a ON a.offer_id = oid1 JOIN c b ON b.offer_id = oid2 WHERE a.model_id = b.model_id)::BIGINT AS tp, (SELECT count(*) FROM lp{name})::BIGINT AS cand_pairs,
+  (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY brand, model_id))::BIGINT AS true_pairs, (SELECT sum(n * (n - 1) / 2) FROM bn)::BIGINT AS possible_pairs)"""
+
+
+def _with(body: str, more: str = "", recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{CTE}{',' + more if more else ''}\n{body}"
+
+
+_LP = _band_sql(BANDS, ROWS)
+_TITLES = "near JOIN st p ON p.offer_id = oid1 JOIN st q ON q.offer_id = oid2"
+_SIM = "SELECT oid1, oid2, round({}, 6) AS sim FROM " + _TITLES
+_TERMS = "string_split(lower({}.title), ' ')"
+_Q = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr(' ' || lower({0}) || ' ', i, 3)))"
+_LEV = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 0 ELSE 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) END"
+_COS_TERMS = "list_sum(list_transform(list_distinct({0}), lambda t: len(list_filter({0}, lambda u: u = t)) * len(list_filter({1}, lambda u: u = t))))"
+_EDGES = np.arange(0.0, 1.0 + X.BIN_WIDTH, X.BIN_WIDTH).tolist()
+_POINTS = "pt AS (SELECT (o_orderkey % 1000) / 1000.0::DOUBLE AS fc, (o_orderkey % 97) / 97.0::DOUBLE AS f1, (o_orderkey % 89) / 89.0::DOUBLE AS pq, (o_orderkey % 83) / 83.0::DOUBLE AS pc, (o_orderkey % 79) / 79.0::DOUBLE AS f1_star FROM orders WHERE o_orderkey % 7 = 0)"
+_BINS = "bi AS (SELECT avg(fc) AS fc, avg(f1) AS f1, avg(pq) AS pq, avg(pc) AS pc, avg(f1_star) AS f1_star, count(*)::BIGINT AS n FROM (SELECT *, CASE " + " ".join(f"WHEN fc {'>=' if i == 0 else '>'} {a!r}::DOUBLE AND fc <= {b!r}::DOUBLE THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False))) + " END AS bin FROM pt) WHERE bin IS NOT NULL GROUP BY bin)"
+_FOUR = ("f1", "pq", "pc", "f1_star")
+_SPLIT = r"CASE WHEN regexp_matches(lower({0}), '^\d') THEN regexp_extract(lower({0}), '^(\d+)(\D*)', {1}) WHEN regexp_matches(lower({0}), '^\D+\d') THEN regexp_extract(lower({0}), '^(\D+)(\d+)', {2}) ELSE {3} END"
+_SPLIT_TEXT, _SPLIT_NUM = (lambda x: _SPLIT.format(x, 2, 1, f"lower({x})")), (lambda x: _SPLIT.format(x, 1, 2, "''"))
+_BLOCKED = "NOT list_has_any(p.strong, q.strong) AND (p.shop IS NOT DISTINCT FROM q.shop OR coalesce(p.reso <> q.reso, false) OR coalesce(p.size <> q.size, false))"
+
+ORACLES = {
+    "clean_titles": _with(f"SELECT offer_id, {_clean_sql('title', T.TITLE_RULES)} AS title FROM o"),
+    "clean_feature_values": _with(" UNION ALL ".join(f"SELECT offer_id, k{i} AS key, v{i} AS value FROM c" for i in range(1, 5))),
+    "extract_brand": _with("SELECT offer_id, own AS brand FROM xb"),
+    "brand_majority": _with("SELECT cluster_id, top FROM maj"),
+    "guess_brand_title": _with("SELECT offer_id, coalesce(nullif(lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand (1|3|5|7|9|11|13|15|17|19|21|23|25)\\b')), ''), 'unknown') AS brand FROM o".replace("\\\\", "\\")),
+    "brand_fill": _with("SELECT o.offer_id, CASE WHEN o.cluster_id::INT % 30 <> 0 THEN coalesce(top, g.b, 'unknown') ELSE coalesce(g.b, 'unknown') END AS brand FROM o LEFT JOIN maj ON maj.cluster_id = o.cluster_id LEFT JOIN (SELECT DISTINCT top AS b FROM maj WHERE cluster_id::INT % 30 <> 0) g ON g.b = lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+'))"),
+    "numeric_features": _with("SELECT offer_id, unnest(nums) AS number FROM tw"),
+    "title_model_words": _with("SELECT offer_id, unnest(words) AS word FROM tw"),
+    "shingles": _with("SELECT offer_id, ord, shingle FROM sh"),
+    "shingle_df": _with("SELECT * FROM df"),
+    "shingle_df_filter": _with("SELECT offer_id, shingle FROM kept"),
+    "shingle_ids": _with("SELECT * FROM ids"),
+    "minhash_signatures": _with("SELECT offer_id, k, h FROM sg"),
+    "lsh_bands": _with("SELECT * FROM bd", _LP),
+    "lsh_prefix_keff": _with("SELECT * FROM lp", _band_sql(11, 2)),
+    "lsh_pairs": _with("SELECT * FROM lp", _LP),
+    "lsh_adjacency_degree": _with("SELECT c.offer_id, count(x)::INT AS degree FROM c LEFT JOIN (SELECT oid1 AS x, oid2 AS y FROM lp UNION ALL SELECT oid2, oid1 FROM lp) e ON e.x = c.offer_id GROUP BY c.offer_id", _LP),
+    "factor_pairs": "SELECT b::INT AS b, (120 // b)::INT AS r FROM range(1, 121) t(b) WHERE 120 % b = 0",
+    "lsh_configs": "SELECT k::INT AS k, b::INT AS b, (k // b)::INT AS r FROM range(118, 123) x(k), range(1, 123) y(b) WHERE b <= k AND k % b = 0",
+    "small_brand_pairs": _with(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord JOIN bn ON bn.brand = a.brand WHERE n < {SMALL}"),
+    "all_brand_pairs": _with(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand JOIN bn ON bn.brand = a.brand WHERE CASE WHEN n < {SMALL} THEN a.ord < b.ord ELSE a.offer_id < b.offer_id END"),
+    "lsh_metrics": _with("SELECT *, round(tp / true_pairs, 6) AS pc, round(tp / cand_pairs, 6) AS pq, round(cand_pairs / possible_pairs, 6) AS fc, round(2 * (tp / true_pairs) * (tp / cand_pairs) / (tp / true_pairs + tp / cand_pairs), 6) AS f1_star FROM mt", _LP + "," + _metrics_sql()),
+    "lsh_sweep": _with(" UNION ALL ".join(f"SELECT {b} AS b, {r} AS r, tp, cand_pairs, round(cand_pairs / possible_pairs, 6) AS fc FROM mt{b}" for b, r in SWEEP), ",".join(_band_sql(b, r, str(b)) + "," + _metrics_sql(str(b)) for b, r in SWEEP)),
+    "lsh_best": _with("SELECT b, r FROM (" + " UNION ALL ".join(f"SELECT {b} AS b, {r} AS r, tp / true_pairs AS pc, cand_pairs / possible_pairs AS fc FROM mt{b}" for b, r in SWEEP) + ") WHERE pc > 0.5 AND fc < 1 ORDER BY fc, b LIMIT 1", ",".join(_band_sql(b, r, str(b)) + "," + _metrics_sql(str(b)) for b, r in SWEEP)),
+    "qgram_sim": _with(_SIM.format(f"len(list_intersect({_Q.format('p.title')}, {_Q.format('q.title')})) / len(list_distinct(list_concat({_Q.format('p.title')}, {_Q.format('q.title')})))")),
+    "cosine_sim": _with(_SIM.format("x / (sqrt(n1) * sqrt(n2))").replace(_TITLES, f"(SELECT oid1, oid2, {_COS_TERMS.format('t1', 't2')} AS x, {_COS_TERMS.format('t1', 't1')} AS n1, {_COS_TERMS.format('t2', 't2')} AS n2 FROM (SELECT oid1, oid2, {_TERMS.format('p')} AS t1, {_TERMS.format('q')} AS t2 FROM {_TITLES}))")),
+    "norm_lev": _with(_SIM.format(_LEV.format("p.title", "q.title"))),
+    "avg_lev": _with(_SIM.format("CASE WHEN len(p.pw) = 0 OR len(q.pw) = 0 THEN 0 ELSE list_avg(flatten(list_transform(p.pw, lambda a: list_transform(q.pw, lambda b: " + _LEV.format("a", "b") + ")))) END")),
+    "split_numeric": _with(f"SELECT offer_id, word, {_SPLIT_TEXT('word')} AS text, {_SPLIT_NUM('word')} AS number FROM (SELECT DISTINCT offer_id, unnest(string_split(title, ' ')) AS word FROM c)"),
+    "size_inches": _with("SELECT offer_id, size FROM st"),
+    "resolution_match": _with("SELECT offer_id, reso FROM st"),
+    "strong_words": _with("SELECT offer_id, unnest(strong) AS word FROM st"),
+    "hard_blocks": _with(f"SELECT oid1, oid2, list_has_any(p.strong, q.strong) AS strong, {_BLOCKED} AS blocked FROM {_TITLES}"),
+    "components": _with("SELECT x AS node, least(x, min(y)) AS label FROM reach GROUP BY x", _LP + ", e AS (SELECT oid1 AS x, oid2 AS y FROM lp UNION SELECT oid2, oid1 FROM lp), reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)", True),
+    "pair_metrics": _with("SELECT tp, cand_pairs - tp AS fp, true_all - tp AS fn, true_all AS n_true_pairs, cand_pairs AS n_pred_pairs, round(tp / cand_pairs, 6) AS precision, round(tp / true_all, 6) AS recall, round(2 * (tp / cand_pairs) * (tp / true_all) / (tp / cand_pairs + tp / true_all), 6) AS f1 FROM (SELECT *, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY model_id))::BIGINT AS true_all FROM mt)", _LP + "," + _metrics_sql()),
+    "curve_bins": f"WITH {_POINTS}, {_BINS} SELECT round(fc, 6) AS fc, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FOUR) + ", n FROM bi",
+    "curve_rolling_median": f"WITH {_POINTS}, {_BINS} SELECT round(fc, 6) AS fc, " + ", ".join(f"round(quantile_cont({c}, 0.5) OVER (ORDER BY fc ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS {c}_avg" for c in _FOUR) + " FROM bi",
+}
