@@ -18,6 +18,7 @@ from .operators import matching as M
 from .operators.graph import components as graph_components
 from .plans import experiment as X
 from .sources.offers import FLAT_SQL, from_tables
+from .staging import stage
 
 NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 60
 SWEEP = [(4, 6), (8, 3), (12, 2)]
@@ -28,20 +29,21 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ready(spark: SparkSession, d: str) -> DataFrame:
-    return R.prepare(raw(spark, d))
+    """Prepared offers, written once: what follows reads them several times."""
+    return stage(R.prepare(raw(spark, d)), "prepared")
 
 
-def sigs(spark: SparkSession, d: str) -> DataFrame:
-    return B.signatures(ready(spark, d), NUM_PERM, SEED)
+def sigs(spark: SparkSession, d: str, offers: DataFrame | None = None) -> DataFrame:
+    return stage(B.signatures(offers or ready(spark, d), NUM_PERM, SEED), "signatures")
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return B.lsh_pairs(sigs(spark, d), BANDS, ROWS)
+def pairs(spark: SparkSession, d: str, offers: DataFrame | None = None) -> DataFrame:
+    return B.lsh_pairs(sigs(spark, d, offers), BANDS, ROWS)
 
 
-def model_pairs(spark: SparkSession, d: str, *cols: Column) -> DataFrame:
+def model_pairs(spark: SparkSession, d: str, *cols: Column, offers: DataFrame | None = None) -> DataFrame:
     """Pairs of neighbouring offers of a block, with columns of both sides (suffix 1 and 2)."""
-    o = ready(spark, d).select("brand", "offer_id", "ord", *cols)
+    o = (offers or ready(spark, d)).select("brand", "offer_id", "ord", *cols)
     a = o.select("brand", *[F.col(c).alias(f"{c}1") for c in o.columns if c != "brand"])
     b = o.select("brand", *[F.col(c).alias(f"{c}2") for c in o.columns if c != "brand"])
     return a.join(b, "brand").filter("ord1 < ord2 and ord2 <= ord1 + 12")
@@ -61,7 +63,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
-    return M.score(M.pair_profiles(B.candidates(o, B.signatures(o, NUM_PERM, SEED), BANDS, ROWS), o))
+    return M.score(M.pair_profiles(B.candidates(o, sigs(spark, d, o), BANDS, ROWS), o))
 
 
 def _text_pairs(f, name: str, c: str = "title"):  # noqa: ANN001, ANN202
@@ -74,7 +76,7 @@ def _text_pairs(f, name: str, c: str = "title"):  # noqa: ANN001, ANN202
 def hard_blocks(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
     p = S.profile(o)
-    near = model_pairs(spark, d).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    near = model_pairs(spark, d, offers=o).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
     j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
     return j.select("oid1", "oid2", S.shares_strong(F.col("p1"), F.col("p2")).alias("strong"), S.blocked(F.col("p1"), F.col("p2")).alias("blocked"))
 
@@ -82,7 +84,7 @@ def hard_blocks(spark: SparkSession, d: str) -> DataFrame:
 def title_comp(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
     p = S.profile(o)
-    near = model_pairs(spark, d).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    near = model_pairs(spark, d, offers=o).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
     j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
     s = S.title_score(F.col("p1"), F.col("p2"), *[F.lit(x) for x in (0.95, 0.1, 0.5, 0.5)])
     return j.select("oid1", "oid2", F.round(s, 6).alias("score"))
@@ -91,7 +93,7 @@ def title_comp(spark: SparkSession, d: str) -> DataFrame:
 def key_match(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
     p = S.profile(o)
-    near = model_pairs(spark, d).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    near = model_pairs(spark, d, offers=o).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
     j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2").withColumn("x", S.match_keys(F.col("p1.f"), F.col("p2.f"), F.lit(0.5)))
     return j.select("oid1", "oid2", F.round("x.sim", 6).alias("sim"), F.round("x.w", 6).alias("w"), F.col("x.m").alias("m"))
 
@@ -113,14 +115,14 @@ QUERIES = {
     "lsh_bands": lambda s, d: B.bands(sigs(s, d), BANDS, ROWS, NUM_PERM),
     "lsh_prefix_keff": lambda s, d: B.lsh_pairs(sigs(s, d), 11, 2),
     "lsh_pairs": pairs,
-    "lsh_adjacency_degree": lambda s, d: B.adjacency(pairs(s, d), ready(s, d)).select("offer_id", F.size("partners").alias("degree")),
+    "lsh_adjacency_degree": lambda s, d: B.adjacency(pairs(s, d, o := ready(s, d)), o).select("offer_id", F.size("partners").alias("degree")),
     "factor_pairs": lambda s, d: s.createDataFrame(B.factor_pairs(120), "b int, r int"),
     "lsh_configs": lambda s, d: s.createDataFrame(B.band_configs(120), "k int, b int, r int"),
     "small_brand_pairs": lambda s, d: B.block_pairs(B.split_blocks(ready(s, d), SMALL)[1]),
     "all_brand_pairs": lambda s, d: B.every_pair(ready(s, d), SMALL),
-    "lsh_metrics": lambda s, d: B.lsh_metrics(pairs(s, d), ready(s, d)).select(*[c if c.endswith("s") or c == "tp" else F.round(c, 6).alias(c) for c in ("tp", "cand_pairs", "true_pairs", "possible_pairs", "pc", "pq", "fc", "f1_star")]),
-    "lsh_sweep": lambda s, d: B.sweep(sigs(s, d), ready(s, d), SWEEP).select("b", "r", "tp", "cand_pairs", F.round("fc", 6).alias("fc")),
-    "lsh_best": lambda s, d: B.best_config(B.sweep(sigs(s, d), ready(s, d), SWEEP), 0.5).select("b", "r"),
+    "lsh_metrics": lambda s, d: B.lsh_metrics(pairs(s, d, o := ready(s, d)), o).select(*[c if c.endswith("s") or c == "tp" else F.round(c, 6).alias(c) for c in ("tp", "cand_pairs", "true_pairs", "possible_pairs", "pc", "pq", "fc", "f1_star")]),
+    "lsh_sweep": lambda s, d: B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP).select("b", "r", "tp", "cand_pairs", F.round("fc", 6).alias("fc")),
+    "lsh_best": lambda s, d: B.best_config(B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP), 0.5).select("b", "r"),
     "qgram_sim": _text_pairs(S.qgram_similarity, "sim"),
     "cosine_sim": _text_pairs(lambda a, b: S.cosine(S.terms(a), S.terms(b)), "sim"),
     "norm_lev": _text_pairs(S.norm_lev, "sim"),
@@ -134,9 +136,9 @@ QUERIES = {
     "key_match": key_match,
     "pair_dissimilarity": lambda s, d: _scored(s, d).withColumn("d", F.round("d", 6)),
     "components": lambda s, d: graph_components(pairs(s, d).select(F.col("oid1").alias("a"), F.col("oid2").alias("b"))),
-    "complete_linkage_clusters": lambda s, d: M.clusters(M.stage(_scored(s, d), "edges"), 0.3),
-    "cluster_pairs": lambda s, d: M.cluster_pairs(M.clusters(M.stage(_scored(s, d), "edges"), 0.3)),
-    "pair_metrics": lambda s, d: M.pair_metrics(pairs(s, d), ready(s, d)).select("tp", "fp", "fn", "n_true_pairs", "n_pred_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
+    "complete_linkage_clusters": lambda s, d: M.clusters(stage(_scored(s, d), "edges"), 0.3),
+    "cluster_pairs": lambda s, d: M.cluster_pairs(M.clusters(stage(_scored(s, d), "edges"), 0.3)),
+    "pair_metrics": lambda s, d: M.pair_metrics(pairs(s, d, o := ready(s, d)), o).select("tp", "fp", "fn", "n_true_pairs", "n_pred_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
     "bootstrap_split": lambda s, d: X.bootstrap(ready(s, d), SEED),
     "curve_bins": lambda s, d: X.bins(points(s, d)).select(*[F.round(c, 6).alias(c) for c in ("fc", "f1", "pq", "pc", "f1_star")], "n"),
     "curve_rolling_median": lambda s, d: X.smooth(X.bins(points(s, d))).select(*[F.round(c, 6).alias(c) for c in ("fc", "f1_avg", "pq_avg", "pc_avg", "f1_star_avg")]),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import ratio
 from ..functions.tables import PRIME
 from ..functions.text import shingles
+from ..staging import stage
 
 MIN_OFFERS = 4
 
@@ -69,7 +70,7 @@ def minhash(ids: Column, a: list[int], b: list[int], prime: int = PRIME) -> Colu
 def signatures(offers: DataFrame, num_perm: int = 120, seed: int = 123, min_offers: int = MIN_OFFERS, dense: bool = True) -> DataFrame:
     """brand, offer_id, sig of the offers in large blocks. An offer without shingles has the prime everywhere."""
     large, _ = split_blocks(offers, min_offers)
-    kept = filter_by_df(shingle_rows(large), large)
+    kept = stage(filter_by_df(stage(shingle_rows(large), "shingles"), large), "kept")
     ids = kept.join(shingle_ids(kept, dense), ["brand", "shingle"]).groupBy("offer_id").agg(F.collect_set("id").alias("ids"))
     each = large.select("brand", "offer_id").join(ids, "offer_id", "left")
     a, b = hash_family(num_perm, seed)
