@@ -222,7 +222,18 @@ _SPLIT = r"CASE WHEN regexp_matches(lower({0}), '^\d') THEN regexp_extract(lower
 _SPLIT_TEXT, _SPLIT_NUM = (lambda x: _SPLIT.format(x, 2, 1, f"lower({x})")), (lambda x: _SPLIT.format(x, 1, 2, "''"))
 _BLOCKED = "NOT list_has_any(p.strong, q.strong) AND (p.shop IS NOT DISTINCT FROM q.shop OR coalesce(p.reso <> q.reso, false) OR coalesce(p.size <> q.size, false))"
 
+_ALL = "flatten(list_transform(p.pw, lambda a: list_transform(q.pw, lambda b: {})))"
+_TEXT_LEV = _LEV.format(_SPLIT_TEXT("a"), _SPLIT_TEXT("b"))
+_ALIKE = "len(list_filter(" + _ALL.format(f"({_TEXT_LEV}) > 0.5 AND ({_SPLIT_NUM('a')}) {{}} ({_SPLIT_NUM('b')})") + ", lambda z: z)) > 0"
+_TITLE_SQL = (
+    "SELECT oid1, oid2, round(CASE WHEN same THEN 1 WHEN rival THEN -1 WHEN cos > 0.95 THEN 1 WHEN far THEN -1 WHEN alike THEN 0.5 * bare + 0.5 * (0.1 * cos + 0.9 * lev) ELSE 0.1 * cos + 0.9 * lev END, 6) AS score FROM ("
+    "SELECT *, x / (sqrt(n1) * sqrt(n2)) AS cos FROM (SELECT oid1, oid2, same, rival, far, alike, bare, lev, " + f"{_COS_TERMS.format('t1', 't2')} AS x, {_COS_TERMS.format('t1', 't1')} AS n1, {_COS_TERMS.format('t2', 't2')} AS n2 FROM ("
+    f"SELECT oid1, oid2, {_TERMS.format('p')} AS t1, {_TERMS.format('q')} AS t2, list_has_any(p.strong, q.strong) AS same, len(p.strong) > 0 AND len(q.strong) > 0 AS rival, {_ALIKE.format('<>')} AS far, {_ALIKE.format('=')} AS alike, "
+    f"coalesce(list_avg({_ALL.format(_TEXT_LEV)}), 0) AS bare, coalesce(list_avg({_ALL.format(_LEV.format('a', 'b'))}), 0) AS lev FROM {_TITLES} WHERE gap <= 4)))"
+)
+
 ORACLES = {
+    "title_comp": _with(_TITLE_SQL),
     "clean_titles": _with(f"SELECT offer_id, {_clean_sql('title', T.TITLE_RULES)} AS title FROM o"),
     "clean_feature_values": _with(" UNION ALL ".join(f"SELECT offer_id, k{i} AS key, v{i} AS value FROM c" for i in range(1, 5))),
     "extract_brand": _with("SELECT offer_id, own AS brand FROM xb"),
