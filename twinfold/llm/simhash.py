@@ -7,7 +7,7 @@ the partitions are more independent. Dynamic programming chooses the thresholds,
 number of partitions, with the least estimated cost of probes and candidate pairs; at larger inputs this
 moves to fewer and wider partitions, so candidates do not grow with the square of the input.
 
-Buckets of more than HOT fingerprints are split: the bits outside the bucket's key are dealt to R + 1 pieces, one of which
+Buckets of more than HOT fingerprints or so are split: the bits outside the bucket's key are dealt to R + 1 pieces, one of which
 must be equal for a pair within R, and joins the key. This repeats until no bucket is large, and
 loses no pair. Inside a bucket fingerprints are compared exactly and only a spanning forest
 of the links goes on.
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
@@ -31,8 +31,10 @@ from .graph import components
 
 BITS = 64
 SEED = 42
-#: Fingerprints in a bucket above which it is split.
-HOT = 256
+#: Buckets with more comparisons than of so many fingerprints with each other are split.
+HOT = 6000
+#: Keys of such buckets up to which they are broadcast; beyond they are joined by a shuffle.
+MAX_BROADCAST_KEYS = 20_000
 #: Estimated cost of a probe row, in comparisons of two fingerprints.
 ROW_COST = 20.0
 MAX_PARTITIONS = 6
@@ -172,7 +174,7 @@ def submasks(mask: int, pieces: int) -> list[int]:
 def buckets(fps: DataFrame, parts: list[tuple[int, int]], radius: int, hot: int = HOT) -> DataFrame:
     """(mask, value, fp, probe) rows: fingerprints within radius share a (mask, value) at least once, one of them unprobed.
 
-    Buckets of more than hot fingerprints are split by further equal pieces until none is left.
+    Buckets with more than hot * hot comparisons are split by further equal pieces until none is left.
     """
     rows = None
     for mask, t in parts:
@@ -181,24 +183,32 @@ def buckets(fps: DataFrame, parts: list[tuple[int, int]], radius: int, hot: int
     rows = rows.withColumn("value", (F.col("fp").bitwiseXOR(F.col("flip"))).bitwiseAND(F.col("mask")))
     if all(t == 0 for _, t in parts):
         rows = rows.withColumn("flip", F.lit(0).cast("long"))
-    masks, done = {m for m, _ in parts}, []
+    done = []
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask, fp, flip = (b.column(c).to_numpy() for c in ("mask", "fp", "flip"))
+            for m in np.unique(mask):
+                at = mask == m
+                for sub in submasks(int(m) & ((1 << BITS) - 1), radius + 1):
+                    sub = np.int64(signed(sub))
+                    cols = (np.full(at.sum(), sub), (fp[at] ^ flip[at]) & sub, fp[at], flip[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mask", "value", "fp", "flip"])
+
+    rows = rows.select("mask", "value", "fp", "flip")
     while True:
-        full = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).filter(F.col("n") > hot).filter(F.col("mask") != -1)
+        plain = F.count_if(F.col("flip") == 0)
+        full = rows.groupBy("mask", "value").agg((plain * F.count("*")).alias("n")).filter((F.col("n") > hot * hot) & (F.col("mask") != -1))
         full = stage(full.select(F.col("mask").alias("m"), F.col("value").alias("v")), "hot")
         n_full = full.count()
         if not n_full:
             done.append(rows)
             break
         same = (F.col("mask") == F.col("m")) & (F.col("value") == F.col("v"))
-        few = F.broadcast(full) if n_full <= 20_000 else full
+        few = F.broadcast(full) if n_full <= MAX_BROADCAST_KEYS else full
         done.append(rows.join(few, same, "left_anti"))
-        next_masks = {m: submasks(m, radius + 1) for m in masks}
-        deal: Column = F.lit(None)
-        for m, subs in next_masks.items():
-            deal = F.when(F.col("mask") == signed(m), F.array(*[F.lit(signed(s)) for s in subs])).otherwise(deal)
-        rows = rows.join(few, same, "left_semi").withColumn("mask", F.explode(deal))
-        rows = stage(rows.withColumn("value", (F.col("fp").bitwiseXOR(F.col("flip"))).bitwiseAND(F.col("mask"))).distinct(), "split")
-        masks = {s for subs in next_masks.values() for s in subs}
+        parted = rows.join(few, same, "left_semi").mapInArrow(split, "mask long, value long, fp long, flip long")
+        rows = stage(parted.distinct(), "split")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -243,21 +253,36 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what was not yet joined."""
-    over: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := over.setdefault(x, x)) != x:
-            over[x] = x = over.setdefault(y, y)
-        return x
+def spanning_pairs(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of those of the close_pairs that join what was not yet joined.
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (r := top(x)) != (s := top(y)):
-            over[max(r, s)] = min(r, s)
-            out.append((x, y))
-    return out
+    Pairs of one component are left out as they are found, so a dense bucket takes memory for its rows only.
+    """
+    names, node = np.unique(fp, return_inverse=True)
+    over = np.arange(len(names))
+    a_out, b_out, step = [], [], 1
+    live = np.flatnonzero(~probe)
+    while len(live):
+        live = live[live + step < len(fp)]
+        live = live[(mask[live] == mask[live + step]) & (value[live] == value[live + step])]
+        d = popcount(fp[live] ^ fp[live + step])
+        hit = live[(d <= radius) & (d > 0)]
+        a, b = node[hit], node[hit + step]
+        apart = over[a] != over[b]
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            r, t = x, y
+            while over[r] != r:
+                r = over[r]
+            while over[t] != t:
+                t = over[t]
+            if r != t:
+                over[max(r, t)] = min(r, t)
+                a_out.append(min(x, y))
+                b_out.append(max(x, y))
+        while apart.any() and (over[over] != over).any():
+            over = over[over]
+        step += 1
+    return names[np.array(a_out, np.int64)], names[np.array(b_out, np.int64)]
 
 
 def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT, accept: int | None = None) -> DataFrame:
@@ -273,11 +298,11 @@ def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp, probe in _sorted_runs(batches):
-            i, j = close_pairs(mask, value, fp, probe, limit)
-            a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
             if forest:
-                pairs = _forest(a, b)
-                a, b = np.array([x for x, _ in pairs], np.int64), np.array([y for _, y in pairs], np.int64)
+                a, b = spanning_pairs(mask, value, fp, probe, limit)
+            else:
+                i, j = close_pairs(mask, value, fp, probe, limit)
+                a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
