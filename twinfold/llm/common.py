@@ -1,64 +1,20 @@
-"""What the operators of this subpackage share: staging, keys and small text helpers."""
+"""What the operators of this subpackage share: written tables, keys and small text helpers."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path, stage
+
+__all__ = ["WORD", "WORD_RE", "crc_mod", "n_words", "new_path", "stage", "table"]
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            _OWN[app] = tempfile.mkdtemp(prefix="twinfold-")
-        else:
-            _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_twinfold"
-    return _OWN[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/twinfold-{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove_path, spark, path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Removes a staged path with Hadoop's file system; a stopped session leaves it to the owner of the folder."""
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone
-        pass
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends there and executors may be lost."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = new_path(spark, name), spark.conf.get(key, "false")
-    spark.conf.set(key, "true")  # what the table holds need not stay in shuffle files
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def n_words(text: Column) -> Column:
     """Number of words; null text has none."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .graph import components
+from ..operators.graph import components
 
 BITS = 64
 SEED = 42
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 #: Punctuation that is cut off both ends of a word.
 PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&"
 #: Words in a fingerprint's shingle, bits within which probes are complete, bits up to which a met pair is compared.
-CANDIDATE = (2, 7, 13)
+CANDIDATE = (2, 7, 9)
 #: Documents of a candidate group in a block; larger groups are compared by pairs of blocks.
 BLOCK = 800
 #: Ids up to which a set of documents is broadcast; beyond it is joined by a shuffle.
