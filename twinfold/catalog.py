@@ -20,7 +20,7 @@ from .plans import experiment as X
 from .sources.offers import FLAT_SQL, from_tables
 from .staging import stage
 
-NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 60
+NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 320
 SWEEP = [(4, 6), (8, 3), (12, 2)]
 
 
@@ -41,22 +41,23 @@ def pairs(spark: SparkSession, d: str, offers: DataFrame | None = None) -> DataF
     return B.lsh_pairs(sigs(spark, d, offers), BANDS, ROWS)
 
 
-def model_pairs(spark: SparkSession, d: str, *cols: Column, offers: DataFrame | None = None) -> DataFrame:
-    """Pairs of neighbouring offers of a block, with columns of both sides (suffix 1 and 2)."""
+def model_pairs(spark: SparkSession, d: str, *cols: Column, offers: DataFrame | None = None, gap: int = 12) -> DataFrame:
+    """Pairs of offers of a block at most gap places apart, with columns of both sides (suffix 1 and 2), by an equality join on the place."""
     o = (offers or ready(spark, d)).select("brand", "offer_id", "ord", *cols)
-    a = o.select("brand", *[F.col(c).alias(f"{c}1") for c in o.columns if c != "brand"])
-    b = o.select("brand", *[F.col(c).alias(f"{c}2") for c in o.columns if c != "brand"])
-    return a.join(b, "brand").filter("ord1 < ord2 and ord2 <= ord1 + 12")
+    names = [c for c in o.columns if c != "brand"]
+    a = o.select("brand", *[F.col(c).alias(f"{c}1") for c in names], F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + gap)).alias("ord2"))
+    b = o.select("brand", *[F.col(c).alias(f"{c}2") for c in names])
+    return a.join(b, ["brand", "ord2"])
 
 
 def unbranded(spark: SparkSession, d: str) -> DataFrame:
     """Offers whose titles spell brands with a blank; every third cluster lost its features."""
     bare = F.filter("features", lambda f: F.lit(False))
-    return raw(spark, d).withColumn("title", F.regexp_replace("title", "#", " ")).withColumn("features", F.when(F.col("cluster_id").cast("int") % 30 == 0, bare).otherwise(F.col("features")))
+    return raw(spark, d).withColumn("title", F.regexp_replace("title", "#", " ")).withColumn("features", F.when(F.col("cluster_id").cast("int") % 3 == 0, bare).otherwise(F.col("features")))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 7 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     part = lambda m: (F.col("o_orderkey") % m) / F.lit(float(m))
     return o.select(part(1000).alias("fc"), part(97).alias("f1"), part(89).alias("pq"), part(83).alias("pc"), part(79).alias("f1_star"))
 
@@ -84,7 +85,7 @@ def hard_blocks(spark: SparkSession, d: str) -> DataFrame:
 def title_comp(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
     p = S.profile(o)
-    near = model_pairs(spark, d, offers=o).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    near = model_pairs(spark, d, offers=o, gap=4).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
     j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
     s = S.title_score(F.col("p1"), F.col("p2"), *[F.lit(x) for x in (0.95, 0.1, 0.5, 0.5)])
     return j.select("oid1", "oid2", F.round(s, 6).alias("score"))
@@ -93,7 +94,7 @@ def title_comp(spark: SparkSession, d: str) -> DataFrame:
 def key_match(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
     p = S.profile(o)
-    near = model_pairs(spark, d, offers=o).filter("ord2 <= ord1 + 4").select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
+    near = model_pairs(spark, d, offers=o, gap=4).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
     j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2").withColumn("x", S.match_keys(F.col("p1.f"), F.col("p2.f"), F.lit(0.5)))
     return j.select("oid1", "oid2", F.round("x.sim", 6).alias("sim"), F.round("x.w", 6).alias("w"), F.col("x.m").alias("m"))
 
@@ -215,7 +216,7 @@ _Q = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr('
 _LEV = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 0 ELSE 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) END"
 _COS_TERMS = "list_sum(list_transform(list_distinct({0}), lambda t: len(list_filter({0}, lambda u: u = t)) * len(list_filter({1}, lambda u: u = t))))"
 _EDGES = np.arange(0.0, 1.0 + X.BIN_WIDTH, X.BIN_WIDTH).tolist()
-_POINTS = "pt AS (SELECT (o_orderkey % 1000) / 1000.0::DOUBLE AS fc, (o_orderkey % 97) / 97.0::DOUBLE AS f1, (o_orderkey % 89) / 89.0::DOUBLE AS pq, (o_orderkey % 83) / 83.0::DOUBLE AS pc, (o_orderkey % 79) / 79.0::DOUBLE AS f1_star FROM orders WHERE o_orderkey % 7 = 0)"
+_POINTS = "pt AS (SELECT (o_orderkey % 1000) / 1000.0::DOUBLE AS fc, (o_orderkey % 97) / 97.0::DOUBLE AS f1, (o_orderkey % 89) / 89.0::DOUBLE AS pq, (o_orderkey % 83) / 83.0::DOUBLE AS pc, (o_orderkey % 79) / 79.0::DOUBLE AS f1_star FROM orders)"
 _BINS = "bi AS (SELECT avg(fc) AS fc, avg(f1) AS f1, avg(pq) AS pq, avg(pc) AS pc, avg(f1_star) AS f1_star, count(*)::BIGINT AS n FROM (SELECT *, CASE " + " ".join(f"WHEN fc {'>=' if i == 0 else '>'} {a!r}::DOUBLE AND fc <= {b!r}::DOUBLE THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False))) + " END AS bin FROM pt) WHERE bin IS NOT NULL GROUP BY bin)"
 _FOUR = ("f1", "pq", "pc", "f1_star")
 _SPLIT = r"CASE WHEN regexp_matches(lower({0}), '^\d') THEN regexp_extract(lower({0}), '^(\d+)(\D*)', {1}) WHEN regexp_matches(lower({0}), '^\D+\d') THEN regexp_extract(lower({0}), '^(\D+)(\d+)', {2}) ELSE {3} END"
@@ -239,7 +240,7 @@ ORACLES = {
     "extract_brand": _with("SELECT offer_id, own AS brand FROM xb"),
     "brand_majority": _with("SELECT cluster_id, top FROM maj"),
     "guess_brand_title": _with("SELECT offer_id, coalesce(nullif(lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand (1|3|5|7|9|11|13|15|17|19|21|23|25)\\b')), ''), 'unknown') AS brand FROM o".replace("\\\\", "\\")),
-    "brand_fill": _with("SELECT o.offer_id, CASE WHEN o.cluster_id::INT % 30 <> 0 THEN coalesce(top, g.b, 'unknown') ELSE coalesce(g.b, 'unknown') END AS brand FROM o LEFT JOIN maj ON maj.cluster_id = o.cluster_id LEFT JOIN (SELECT DISTINCT top AS b FROM maj WHERE cluster_id::INT % 30 <> 0) g ON g.b = lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+'))"),
+    "brand_fill": _with("SELECT o.offer_id, CASE WHEN o.cluster_id::INT % 3 <> 0 THEN coalesce(top, g.b, 'unknown') ELSE coalesce(g.b, 'unknown') END AS brand FROM o LEFT JOIN maj ON maj.cluster_id = o.cluster_id LEFT JOIN (SELECT DISTINCT top AS b FROM maj WHERE cluster_id::INT % 3 <> 0) g ON g.b = lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+'))"),
     "numeric_features": _with("SELECT offer_id, unnest(nums) AS number FROM tw"),
     "title_model_words": _with("SELECT offer_id, unnest(words) AS word FROM tw"),
     "shingles": _with("SELECT offer_id, ord, shingle FROM sh"),

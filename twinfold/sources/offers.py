@@ -50,7 +50,7 @@ SELECT cast(part AS varchar(20)) AS cluster_id, cast(idx AS int) AS idx, concat(
        'Maximum Resolution' AS k3, CASE WHEN part % 3 = 0 THEN '1920 x 1080' WHEN part % 3 = 1 THEN '1366 x 768' ELSE concat('4:3 ', CASE WHEN supp % 2 = 0 THEN '1024x768' ELSE 'XGA' END) END AS v3,
        'Weight' AS k4, concat(cast(10 + size AS varchar(20)), '.', cast(part % 10 AS varchar(20)), CASE WHEN supp % 3 = 0 THEN ' pounds' ELSE ' lbs.' END) AS v4
 FROM (SELECT d.part, d.supp, p.p_brand AS brand, p.p_name AS name, p.p_size AS size, row_number() OVER (PARTITION BY d.part ORDER BY d.supp) - 1 AS idx
-      FROM (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_partkey % 10 = 0 AND l_suppkey % 10 < 4) d JOIN part p ON p.p_partkey = d.part) x
+      FROM (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem) d JOIN part p ON p.p_partkey = d.part) x
 """
 
 
