@@ -20,7 +20,7 @@ from .plans import experiment as X
 from .sources.offers import FLAT_SQL, from_tables
 from .staging import stage
 
-NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 320
+NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 2050
 SWEEP = [(4, 6), (8, 3), (12, 2)]
 
 
@@ -67,13 +67,22 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return M.score(M.pair_profiles(B.candidates(o, sigs(spark, d, o), BANDS, ROWS), o))
 
 
-def _text_pairs(f, name: str, c: str = "title"):  # noqa: ANN001, ANN202
+def _text_pairs(prepare, f, name: str = "sim"):  # noqa: ANN001, ANN202
+    """Similarity f of neighbours, of what prepare makes of each title once."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return model_pairs(spark, d, F.col("title")).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"), F.round(f(F.col("title1"), F.col("title2")), 6).alias(name))
+        o = stage(ready(spark, d).withColumn("x", prepare(F.col("title"))).select("brand", "offer_id", "ord", "x"), "prepared_titles")
+        near = model_pairs(spark, d, F.col("x"), offers=o)
+        return near.select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"), F.round(f(F.col("x1"), F.col("x2")), 6).alias(name))
 
     return run
 
 
+def digest(pairs: DataFrame) -> DataFrame:
+    """Of each offer that is first in pairs: how many it is first in, and the least and greatest second."""
+    return pairs.groupBy("brand", "oid1").agg(F.count("*").alias("n"), F.min("oid2").alias("low"), F.max("oid2").alias("high"))
+
+
 def hard_blocks(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
     p = S.profile(o)
@@ -114,20 +123,20 @@ QUERIES = {
     "shingle_ids": lambda s, d: B.shingle_ids(B.filter_by_df(B.shingle_rows(o := ready(s, d)), o)),
     "minhash_signatures": lambda s, d: sigs(s, d).select("offer_id", F.posexplode("sig").alias("k", "h")),
     "lsh_bands": lambda s, d: B.bands(sigs(s, d), BANDS, ROWS, NUM_PERM),
-    "lsh_prefix_keff": lambda s, d: B.lsh_pairs(sigs(s, d), 11, 2),
+    "lsh_prefix_keff": lambda s, d: digest(B.lsh_pairs(sigs(s, d), 11, 2)),
     "lsh_pairs": pairs,
     "lsh_adjacency_degree": lambda s, d: B.adjacency(pairs(s, d, o := ready(s, d)), o).select("offer_id", F.size("partners").alias("degree")),
     "factor_pairs": lambda s, d: s.createDataFrame(B.factor_pairs(120), "b int, r int"),
     "lsh_configs": lambda s, d: s.createDataFrame(B.band_configs(120), "k int, b int, r int"),
-    "small_brand_pairs": lambda s, d: B.block_pairs(B.split_blocks(ready(s, d), SMALL)[1]),
-    "all_brand_pairs": lambda s, d: B.every_pair(ready(s, d), SMALL),
+    "small_brand_pairs": lambda s, d: digest(B.block_pairs(B.split_blocks(ready(s, d), SMALL)[1])),
+    "all_brand_pairs": lambda s, d: digest(B.every_pair(ready(s, d), SMALL)),
     "lsh_metrics": lambda s, d: B.lsh_metrics(pairs(s, d, o := ready(s, d)), o).select(*[c if c.endswith("s") or c == "tp" else F.round(c, 6).alias(c) for c in ("tp", "cand_pairs", "true_pairs", "possible_pairs", "pc", "pq", "fc", "f1_star")]),
     "lsh_sweep": lambda s, d: B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP).select("b", "r", "tp", "cand_pairs", F.round("fc", 6).alias("fc")),
     "lsh_best": lambda s, d: B.best_config(B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP), 0.5).select("b", "r"),
-    "qgram_sim": _text_pairs(S.qgram_similarity, "sim"),
-    "cosine_sim": _text_pairs(lambda a, b: S.cosine(S.terms(a), S.terms(b)), "sim"),
-    "norm_lev": _text_pairs(S.norm_lev, "sim"),
-    "avg_lev": _text_pairs(lambda a, b: S.avg_lev(T.pair_words(a), T.pair_words(b)), "sim"),
+    "qgram_sim": _text_pairs(S.qgrams, S.jaccard),
+    "cosine_sim": _text_pairs(S.terms, S.cosine),
+    "norm_lev": _text_pairs(lambda t: t, S.norm_lev),
+    "avg_lev": _text_pairs(T.pair_words, S.avg_lev),
     "split_numeric": lambda s, d: ready(s, d).select("offer_id", F.explode(S.terms(F.col("title"))).alias("word")).distinct().select("offer_id", "word", T.split_numeric(F.col("word")).alias("x")).select("offer_id", "word", "x.text", "x.number"),
     "size_inches": lambda s, d: ready(s, d).select("offer_id", T.size_inches(F.col("title"), F.col("features")).alias("size")),
     "resolution_match": lambda s, d: ready(s, d).select("offer_id", T.resolution(F.col("features")).alias("reso")),
@@ -233,6 +242,8 @@ _TITLE_SQL = (
     f"coalesce(list_avg({_ALL.format(_TEXT_LEV)}), 0) AS bare, coalesce(list_avg({_ALL.format(_LEV.format('a', 'b'))}), 0) AS lev FROM {_TITLES} WHERE gap <= 4)))"
 )
 
+_DIGEST = "SELECT brand, oid1, count(*)::BIGINT AS n, min(oid2) AS low, max(oid2) AS high FROM ({}) GROUP BY brand, oid1"
+
 ORACLES = {
     "title_comp": _with(_TITLE_SQL),
     "clean_titles": _with(f"SELECT offer_id, {_clean_sql('title', T.TITLE_RULES)} AS title FROM o"),
@@ -249,13 +260,13 @@ ORACLES = {
     "shingle_ids": _with("SELECT * FROM ids"),
     "minhash_signatures": _with("SELECT offer_id, k, h FROM sg"),
     "lsh_bands": _with("SELECT * FROM bd", _LP),
-    "lsh_prefix_keff": _with("SELECT * FROM lp", _band_sql(11, 2)),
+    "lsh_prefix_keff": _with(_DIGEST.format("SELECT * FROM lp"), _band_sql(11, 2)),
     "lsh_pairs": _with("SELECT * FROM lp", _LP),
     "lsh_adjacency_degree": _with("SELECT c.offer_id, count(x)::INT AS degree FROM c LEFT JOIN (SELECT oid1 AS x, oid2 AS y FROM lp UNION ALL SELECT oid2, oid1 FROM lp) e ON e.x = c.offer_id GROUP BY c.offer_id", _LP),
     "factor_pairs": "SELECT b::INT AS b, (120 // b)::INT AS r FROM range(1, 121) t(b) WHERE 120 % b = 0",
     "lsh_configs": "SELECT k::INT AS k, b::INT AS b, (k // b)::INT AS r FROM range(118, 123) x(k), range(1, 123) y(b) WHERE b <= k AND k % b = 0",
-    "small_brand_pairs": _with(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord JOIN bn ON bn.brand = a.brand WHERE n < {SMALL}"),
-    "all_brand_pairs": _with(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand JOIN bn ON bn.brand = a.brand WHERE CASE WHEN n < {SMALL} THEN a.ord < b.ord ELSE a.offer_id < b.offer_id END"),
+    "small_brand_pairs": _with(_DIGEST.format(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord JOIN bn ON bn.brand = a.brand WHERE n < {SMALL}")),
+    "all_brand_pairs": _with(_DIGEST.format(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand JOIN bn ON bn.brand = a.brand WHERE CASE WHEN n < {SMALL} THEN a.ord < b.ord ELSE a.offer_id < b.offer_id END")),
     "lsh_metrics": _with("SELECT *, round(tp / true_pairs, 6) AS pc, round(tp / cand_pairs, 6) AS pq, round(cand_pairs / possible_pairs, 6) AS fc, round(2 * (tp / true_pairs) * (tp / cand_pairs) / (tp / true_pairs + tp / cand_pairs), 6) AS f1_star FROM mt", _LP + "," + _metrics_sql()),
     "lsh_sweep": _with(" UNION ALL ".join(f"SELECT {b} AS b, {r} AS r, tp, cand_pairs, round(cand_pairs / possible_pairs, 6) AS fc FROM mt{b}" for b, r in SWEEP), ",".join(_band_sql(b, r, str(b)) + "," + _metrics_sql(str(b)) for b, r in SWEEP)),
     "lsh_best": _with("SELECT b, r FROM (" + " UNION ALL ".join(f"SELECT {b} AS b, {r} AS r, tp / true_pairs AS pc, cand_pairs / possible_pairs AS fc FROM mt{b}" for b, r in SWEEP) + ") WHERE pc > 0.5 AND fc < 1 ORDER BY fc, b LIMIT 1", ",".join(_band_sql(b, r, str(b)) + "," + _metrics_sql(str(b)) for b, r in SWEEP)),
@@ -268,7 +279,6 @@ ORACLES = {
     "resolution_match": _with("SELECT offer_id, reso FROM st"),
     "strong_words": _with("SELECT offer_id, unnest(strong) AS word FROM st"),
     "hard_blocks": _with(f"SELECT oid1, oid2, list_has_any(p.strong, q.strong) AS strong, {_BLOCKED} AS blocked FROM {_TITLES}"),
-    "components": _with("SELECT x AS node, least(x, min(y)) AS label FROM reach GROUP BY x", _LP + ", e AS (SELECT oid1 AS x, oid2 AS y FROM lp UNION SELECT oid2, oid1 FROM lp), reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)", True),
     "pair_metrics": _with("SELECT tp, cand_pairs - tp AS fp, true_all - tp AS fn, true_all AS n_true_pairs, cand_pairs AS n_pred_pairs, round(tp / cand_pairs, 6) AS precision, round(tp / true_all, 6) AS recall, round(2 * (tp / cand_pairs) * (tp / true_all) / (tp / cand_pairs + tp / true_all), 6) AS f1 FROM (SELECT *, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY model_id))::BIGINT AS true_all FROM mt)", _LP + "," + _metrics_sql()),
     "curve_bins": f"WITH {_POINTS}, {_BINS} SELECT round(fc, 6) AS fc, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FOUR) + ", n FROM bi",
     "curve_rolling_median": f"WITH {_POINTS}, {_BINS} SELECT round(fc, 6) AS fc, " + ", ".join(f"round(quantile_cont({c}, 0.5) OVER (ORDER BY fc ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS {c}_avg" for c in _FOUR) + " FROM bi",
