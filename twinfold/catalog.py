@@ -133,7 +133,7 @@ QUERIES = {
     "lsh_metrics": lambda s, d: B.lsh_metrics(pairs(s, d, o := ready(s, d)), o).select(*[c if c.endswith("s") or c == "tp" else F.round(c, 6).alias(c) for c in ("tp", "cand_pairs", "true_pairs", "possible_pairs", "pc", "pq", "fc", "f1_star")]),
     "lsh_sweep": lambda s, d: B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP).select("b", "r", "tp", "cand_pairs", F.round("fc", 6).alias("fc")),
     "lsh_best": lambda s, d: B.best_config(B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP), 0.5).select("b", "r"),
-    "qgram_sim": _text_pairs(S.qgrams, S.jaccard),
+    "qgram_sim": _text_pairs(S.qgrams, S.jaccard_sets),
     "cosine_sim": _text_pairs(S.terms, S.cosine),
     "norm_lev": _text_pairs(lambda t: t, S.norm_lev),
     "avg_lev": _text_pairs(T.pair_words, S.avg_lev),

@@ -17,6 +17,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return ratio(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+def bind(x: Column, f) -> Column:  # noqa: ANN001
+    """f(x) with x computed once, also inside higher-order functions."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def jaccard_sets(a: Column, b: Column) -> Column:
+    """jaccard of arrays without repeats, with one pass over both."""
+    return bind(F.size(F.array_intersect(a, b)), lambda n: F.coalesce(F.try_divide(n.cast("double"), F.size(a) + F.size(b) - n), F.lit(0.0)))
+
+
 def terms(text: Column) -> Column:
     """Blank-separated words in lower case."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
@@ -41,7 +51,7 @@ def qgrams(text: Column, q: int = 3) -> Column:
 
 
 def qgram_similarity(a: Column, b: Column, q: int = 3) -> Column:
-    return jaccard(qgrams(a, q), qgrams(b, q))
+    return jaccard_sets(qgrams(a, q), qgrams(b, q))
 
 
 def norm_lev(a: Column, b: Column) -> Column:
@@ -104,13 +114,15 @@ def match_keys(f1: Column, f2: Column, gamma: Column) -> Column:
     start = F.struct(f2.alias("rest"), F.array().cast("array<string>").alias("alone"), F.lit(0.0).alias("sim"), F.lit(0.0).alias("w"), F.lit(0).alias("m"))
 
     def step(acc: Column, x: Column) -> Column:
-        hit = F.get(F.filter(acc["rest"], lambda y: jaccard(x["kg"], y["kg"]) > gamma), F.lit(0))
-        found = hit.isNotNull()
-        ks = jaccard(x["kg"], hit["kg"])
+        rated = F.transform(acc["rest"], lambda y: F.struct(y.alias("y"), jaccard_sets(x["kg"], y["kg"]).alias("s")))
+        return bind(F.get(F.filter(rated, lambda z: z["s"] > gamma), F.lit(0)), lambda hit: take(acc, x, hit))
+
+    def take(acc: Column, x: Column, hit: Column) -> Column:
+        y, ks, found = hit["y"], hit["s"], hit.isNotNull()
         return F.struct(
-            F.when(found, F.filter(acc["rest"], lambda y: y["key"] != hit["key"])).otherwise(acc["rest"]).alias("rest"),
+            F.when(found, F.filter(acc["rest"], lambda z: z["key"] != y["key"])).otherwise(acc["rest"]).alias("rest"),
             F.when(found, acc["alone"]).otherwise(F.concat(acc["alone"], F.array(x["value"]))).alias("alone"),
-            F.when(found, acc["sim"] + ks * jaccard(x["vg"], hit["vg"])).otherwise(acc["sim"]).alias("sim"),
+            F.when(found, acc["sim"] + ks * jaccard_sets(x["vg"], y["vg"])).otherwise(acc["sim"]).alias("sim"),
             F.when(found, acc["w"] + ks).otherwise(acc["w"]).alias("w"),
             F.when(found, acc["m"] + 1).otherwise(acc["m"]).alias("m"),
         )
