@@ -115,3 +115,25 @@ def test_blocks_of_a_large_group_find_what_one_block_finds():
         return out
 
     assert label(whole) == label(parts)
+
+
+def test_links_do_not_depend_on_fingerprints(spark, monkeypatch):
+    """Short texts with scattered changes: many at 0.8 and above have fingerprints more than 9 bits apart."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(0, 400, 2):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(30, 60)))]
+        other = [*words]
+        other[int(rng.integers(0, 3))] = "changed"
+        other[-1] = "end"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    tail = " " + " ".join(f"same{x}" for x in range(12))  # shingles that all share
+    rows = [(i, t + tail) for i, t in rows]
+    sets = [set(S.shingle_set(t, 5).tolist()) for _, t in rows]
+    fps = [np.array([S.majority(S.shingle_set(t, S.CANDIDATE[0]))]) for _, t in rows]
+    near = [i for i in range(0, 400, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    far = [i for i in near if S.popcount(fps[i] ^ fps[i + 1])[0] > S.CANDIDATE[2]]
+    assert far
+    monkeypatch.setattr(S, "PAIRS_HELD", 10, raising=False)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.drop_near_duplicates(d).collect()} == {i for i, _ in rows} - {i + 1 for i in near}

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -234,16 +234,16 @@ def close_pairs(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, probe: np.n
     return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows sorted by mask and value, in blocks that end where a bucket ends."""
+def _sorted_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("mask", "value", "fp", "probe"), keys: int = 2) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by the first keys of them, in blocks that end where a bucket ends."""
     held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        cols = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "value", "fp", "probe"))
+        cols = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in names)
         if not len(cols[0]):
             continue
-        other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+        other = np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))
         cut = int(other[-1]) + 1 if len(other) else 0
-        if cut == 0 and held and held[-1][0][-1] == cols[0][0] and held[-1][1][-1] == cols[1][0]:
+        if cut == 0 and held and all(h[-1] == c[0] for h, c in zip(held[-1][:keys], cols[:keys], strict=True)):
             held.append(cols)
             continue
         held.append(tuple(c[:cut] for c in cols))
@@ -333,6 +333,13 @@ CANDIDATE = (2, 7, 9)
 BLOCK = 800
 #: Ids up to which a set of documents is broadcast; beyond it is joined by a shuffle.
 MAX_BROADCAST_IDS = 100_000
+#: Texts whose prefixes share a shingle beyond which it goes to the end of the order, how many at most, and how often this is done.
+#: Any order finds every pair; these only save comparisons.
+LATE, MAX_LATE, REORDERS = 8, 100_000, 2
+#: Shared shingles up to which they are broadcast.
+MAX_BROADCAST_SHARED = 200_000
+#: Met pairs that a task holds before it gives them out.
+PAIRS_HELD = 1 << 20
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -383,12 +390,104 @@ def similar_pairs(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], side:
     return out
 
 
+def prefix_of(s: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
+    """The set's first hashes in rising order, those of late (sorted) after all others: sets of at least that similarity share one of them."""
+    if len(late):
+        at = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+        s = np.concatenate([s[~at], s[at]])
+    return s[: len(s) - max(1, ceil(similarity * len(s) - 1e-9)) + 1]
+
+
+def meeting_pairs(h: np.ndarray, part: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs with one h (rows sorted by h and size), of different parts, whose sizes and places allow the similarity."""
+    a_out, b_out, held, step = [], [], 0, 1
+    live = np.arange(len(h))
+    while len(live):
+        live = live[live + step < len(h)]
+        live = live[(h[live] == h[live + step]) & (size[live] >= similarity * size[live + step])]
+        o = live + step
+        both = np.minimum(size[live] - pos[live], size[o] - pos[o])  # at most, if this is their first common hash
+        hit = live[(part[live] != part[o]) & (both >= similarity * (size[live] + size[o] - both))]
+        a_out.append(hit)
+        b_out.append(hit + step)
+        held += len(hit)
+        if held > PAIRS_HELD:
+            yield np.concatenate(a_out), np.concatenate(b_out)
+            a_out, b_out, held = [], [], 0
+        step += 1
+    if held:
+        yield np.concatenate(a_out), np.concatenate(b_out)
+
+
+def similar_links(docs: DataFrame, parts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of documents in parts (doc_id, part) that are in different parts and have at least that Jaccard similarity.
+
+    Exact, by prefixes: of two such sets in one order of all hashes, the first n - ceil(similarity * n) + 1 of each have one in common.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def prefixes(late: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+                firsts = [prefix_of(s, late, similarity).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "size", "first"])
+
+        rows = stage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, size int, first array<long>"), "prefixes")
+        return rows.join(_few(parts, n_parts), "doc_id").select("doc_id", "part", "size", F.posexplode("first").alias("pos", "h"))
+
+    n_parts = parts.count()
+    late = np.empty(0, np.uint64)
+    for turn in range(REORDERS + 1):
+        rows = prefixes(late)
+        shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+        shared = stage(shared.select("h", "n"), "shared")
+        often = shared.filter(F.col("n") > LATE).orderBy(F.desc("n"), "h").limit(MAX_LATE).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+        more = np.union1d(late, often)
+        if turn == REORDERS or len(more) == len(late) or len(more) > MAX_LATE:
+            break
+        late = more
+    n_shared = shared.count()
+    keys = shared.select("h")
+    rows = rows.join(F.broadcast(keys) if n_shared <= MAX_BROADCAST_SHARED else keys, "h")
+    rows = rows.select("h", F.col("doc_id").cast("long").alias("id"), "part", "size", "pos").repartition("h").sortWithinPartitions("h", "size")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, ids, part, size, pos in _sorted_runs(batches, ("h", "id", "part", "size", "pos"), 1):
+            for i, j in meeting_pairs(h, part, size, pos, similarity):
+                got = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+
+    met = stage(rows.mapInArrow(meet, "a long, b long").distinct(), "met")
+    ids = stage(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), "metids")
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "s"])
+
+    sets = docs.select("doc_id", "text").join(_few(ids, ids.count()), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = stage(sets.mapInArrow(with_set, "id long, s binary"), "metsets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = met.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b").select("a", "b", "s1", "s2")
+    return pairs.mapInArrow(verify, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows and columns of docs (doc_id integer, text, ...) without near-duplicates: the smallest doc_id of each group stays.
 
     Texts are linked if the Jaccard similarity of their sets of shingle-word shingles (words in lower case, without
-    punctuation at the ends) is at least ``similarity``, or if they are equal; groups are chains of links. Candidates are pairs whose fingerprints, of
-    shorter shingles that survive more edits, a probe brings together. Null and wordless texts are linked
+    punctuation at the ends) is at least ``similarity``, or if they are equal; groups are chains of links. Most links are found
+    between texts whose fingerprints, of shorter shingles that survive more edits, a probe brings together; the groups so found are completed
+    by similar_links, so that no link is missed. Null and wordless texts are linked
     only to equal ones. Of rows with equal id and text one stays; ids are taken to be unique otherwise.
     """
     k, radius, bits = CANDIDATE
@@ -429,8 +528,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         found = similar_pairs(ids, fp, [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], side, similarity, bits)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    edges = dealt.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long")
-    groups = components(edges)
+    edges = stage(dealt.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long"), "edges")
+    # what the fingerprints missed: all similar pairs between the groups found so far
+    first = components(edges)
+    parts = texts.filter("not empty").join(first.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("doc_id"), F.coalesce("label", "first").cast("long").alias("part"))
+    parts = stage(parts.filter("doc_id is not null"), "parts")
+    more = stage(similar_links(docs, parts, shingle, similarity), "missed")
+    groups = first if more.isEmpty() else components(edges.unionByName(more))
     gone = each.join(texts.select("h", "g", "first"), ["h", "g"]).filter("doc_id <> first or (doc_id is null and first is not null)").select("doc_id")
     gone = stage(gone.unionByName(groups.filter("node <> label").select(F.col("node").alias("doc_id"))).distinct(), "gone")
     out = docs.join(_few(gone, gone.count()), "doc_id", "left_anti")
