@@ -137,3 +137,28 @@ def test_links_do_not_depend_on_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(S, "PAIRS_HELD", 10, raising=False)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in S.drop_near_duplicates(d).collect()} == {i for i, _ in rows} - {i + 1 for i in near}
+
+
+def test_candidate_links_do_not_depend_on_the_plan(spark, monkeypatch):
+    """Fingerprints of the pipeline's stage are linked at the radius and not beyond, whatever partitions are probed."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(0, 300, 2):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+        other = [*words]
+        other[int(rng.integers(0, 40))] = other[-1] = "changed"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    fps = [S.majority(S.shingle_set(t, S.CANDIDATE[0])) for _, t in rows]
+    at = {tuple(sorted(p)) for p in combinations(fps, 2) if 0 < S.popcount(np.array([p[0] ^ p[1]]))[0] <= S.CANDIDATE[1]}
+    assert any(S.CANDIDATE[1] < S.popcount(np.array([fps[i] ^ fps[i + 1]]))[0] <= S.CANDIDATE[2] for i in range(0, 300, 2))
+    links, found = S.links, []
+
+    def seen(fps, *args, **kwargs):
+        found.append({(r.a, r.b) for r in links(fps, *args, forest=False, **kwargs).collect()})
+        return links(fps, *args, **kwargs)
+
+    monkeypatch.setattr(S, "links", seen)
+    for m in (4, 8):  # so many partitions, each at 8 / m - 1 bits: complete for 7
+        monkeypatch.setattr(S, "plan_partitions", lambda fps, radius, m=m: [((1 << 64 // m) - 1 << 64 // m * i, (radius + 1) // m - 1) for i in range(m)])
+        S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert found == [at, at]

@@ -285,23 +285,21 @@ def spanning_pairs(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, probe: n
     return names[np.array(a_out, np.int64)], names[np.array(b_out, np.int64)]
 
 
-def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT, accept: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT) -> DataFrame:
     """(a, b) links between different fingerprints of fps (fp, distinct) at radius bits or fewer.
 
     With forest, only links that join what a task has not yet joined: the same components. Without, every
-    link once or more. No fingerprint, no link. With accept > radius, pairs up to that many bits apart
-    that a probe meets anyway are links too.
+    link once or more. No fingerprint, no link.
     """
-    limit = max(radius, accept or 0)
     rows = buckets(fps, plan_partitions(fps, radius), radius, hot)
     rows = rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "probe")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp, probe in _sorted_runs(batches):
             if forest:
-                a, b = spanning_pairs(mask, value, fp, probe, limit)
+                a, b = spanning_pairs(mask, value, fp, probe, radius)
             else:
-                i, j = close_pairs(mask, value, fp, probe, limit)
+                i, j = close_pairs(mask, value, fp, probe, radius)
                 a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -327,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 # Near-duplicates by similarity: fingerprints find candidates, shingle sets decide.
 #: Punctuation that is cut off both ends of a word.
 PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&"
-#: Words in a fingerprint's shingle, bits within which probes are complete, bits up to which a met pair is compared.
+#: Words in a fingerprint's shingle, bits within which fingerprints are linked, bits up to which texts of a chain of such links are compared.
 CANDIDATE = (2, 7, 9)
 #: Documents of a candidate group in a block; larger groups are compared by pairs of blocks.
 BLOCK = 800
@@ -506,7 +504,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     # equal texts (128 bits of hash): the first stands for all
     texts = stage(each.groupBy("h", "g", "fp", "empty").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "texts")
     fps = stage(texts.filter("not empty").select("fp").distinct(), "fps")
-    labels = components(links(fps, radius, accept=bits))
+    labels = components(links(fps, radius))
     at = texts.filter("not empty").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("first", "fp", F.coalesce("label", "fp").alias("part"))
     sizes = at.groupBy("part").agg(F.count("*").alias("size")).filter("size > 1")
     members = stage(at.join(sizes, "part").select(F.col("first").alias("doc_id"), "fp", "part", "size"), "members")
