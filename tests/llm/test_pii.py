@@ -64,3 +64,18 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert P.replace_entities(no_docs).count() == 0
     long = "plain words " * 9000 + "a.b@c.example.org " + "more " * 9000
     assert "a.b@c.example.org" not in swap(spark, long)[0]
+
+
+def test_hexadecimal_secrets_in_any_case(spark):
+    upper, mixed, iban = "9233A8EC" * 5, "9233a8EC" * 5, "DE89370400440532013000"
+    a, b, c, d = swap(spark, f'token = "{upper}"', f'token = "{mixed}"', f"pay {iban} now", "ABCDEFAB" * 2)
+    assert re.fullmatch(r'token = "[0-9A-F]{40}"', a)
+    assert upper not in a
+    assert re.fullmatch(r'token = "[0-9A-Fa-f]{40}"', b)
+    assert mixed not in b
+    assert [x.isupper() for x in b[9:49]] == [x.isupper() for x in mixed]
+    assert re.fullmatch(r"pay [A-Z]{2}[0-9]{20} now", c)
+    assert iban not in c
+    assert re.fullmatch(r"[A-F]{16}", d)
+    assert d != "ABCDEFAB" * 2
+    assert [r.k for r in spark.createDataFrame([(iban,)], "e string").select(P.type_of(F.col("e")).alias("k")).collect()] == ["iban"]

@@ -22,9 +22,10 @@ MAX_ATTEMPTS = 32
 
 # Patterns of the types, in the order in which they are tried.
 _EDGE, _STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_BARE_IBAN = r"[A-F]{2}[0-9]{14,32}" + _STOP  # an IBAN without blanks whose letters are hexadecimal digits
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": _EDGE + r"(?:[0-9a-f]{0,64}[a-f][0-9a-f]{15,64}|(?=[0-9]{0,16}[a-f])[0-9a-f]{16,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})" + _STOP,
+    "secret": _EDGE + r"(?:(?!" + _BARE_IBAN + r")(?:[0-9A-Fa-f]{0,64}[A-Fa-f][0-9A-Fa-f]{15,64}|(?=[0-9]{0,16}[A-Fa-f])[0-9A-Fa-f]{16,128})|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})" + _STOP,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _STOP,
     "phone": _EDGE + r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}" + _STOP,
     "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _STOP,
@@ -35,7 +36,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without a match of this has no entity.
-GUARD = r"[@0-9]|[a-f]{16}|AKIA|gh[pousr]_|sk-|(?:Mrs?|Ms|Miss|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\.? \p{Lu}"
+GUARD = r"[@0-9]|[A-Fa-f]{16}|AKIA|gh[pousr]_|sk-|(?:Mrs?|Ms|Miss|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\.? \p{Lu}"
 # Given names by gender.
 FEMALE = "Anna Maria Laura Julia Clara Elena Sofia Emma Nora Lena Irene Paula Alice Marta Eva Lucia".split()
 MALE = "Paul Martin Lukas David Simon Jonas Felix Victor Oscar Hugo Leon Adam Daniel Bruno Robert Emil".split()
@@ -49,7 +50,8 @@ ALPHABETS = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
-HEX = ("0123456789", "abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ghijklmnopqrstuvwxyz")
+KEYS = ("0123456789", "abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ghijklmnopqrstuvwxyz")
+HEX = ("0123456789", "abcdef", "ABCDEF")
 
 
 def type_of(e: Column) -> Column:
@@ -138,7 +140,8 @@ def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
         .when(kind == "ip", _ip(e, stream))
         .when(kind == "card", _card(e, stream))
         .when(kind.isin("phone", "local_phone", "ssn"), _digits_by_rank(e, stream, plus))
-        .when(kind == "secret", _swap_all(e, stream, HEX, F.when(e.startswith("AKIA") | e.rlike("^gh[pousr]_"), F.lit(4)).otherwise(F.lit(0))))
+        .when((kind == "secret") & e.rlike("^[0-9A-Fa-f]+$"), _swap_all(e, stream, HEX))
+        .when(kind == "secret", _swap_all(e, stream, KEYS, F.when(e.startswith("AKIA") | e.rlike("^gh[pousr]_"), F.lit(4)).otherwise(F.lit(0))))
         .when(kind == "name", _name(e, stream))
         .otherwise(_swap_all(e, stream))
     )
