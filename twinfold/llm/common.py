@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..staging import new_path, stage
 
-__all__ = ["WORD", "WORD_RE", "crc_mod", "n_words", "new_path", "stage", "table"]
+__all__ = ["WORD", "WORD_RE", "crc_mod", "in_sample", "n_words", "new_path", "sample_limit", "stage", "table"]
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sample_limit(rows: int, n: int) -> int:
+    """Bound below which a 63-bit hash lies for about that many of n rows; of any n, however large, some are below."""
+    return (1 << 63) - 1 if n <= rows else max(1, (rows << 63) // n)
+
+
+def in_sample(key: Column | str, limit: Column | int, seed: int = 42) -> Column:
+    """Whether the key's 63-bit hash is below limit (of sample_limit)."""
+    h = F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+    return h < (F.lit(limit) if isinstance(limit, int) else limit)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

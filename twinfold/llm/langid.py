@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, in_sample, sample_limit, table
 
 #: Ranks in a profile; n-grams of a document that are compared.
 PROFILE = 400
@@ -56,8 +56,8 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE_PER_LANG
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * 1_000_000)))])
-    part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit[F.col("lang")])
+    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(sample_limit(sample, n)))])
+    part = known.filter(in_sample("doc_id", limit[F.col("lang")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
