@@ -25,7 +25,7 @@ from .common import n_words, stage, table
 #: Rows of the source table up to which it is broadcast; beyond it is joined by a shuffle.
 MAX_BROADCAST_SOURCES = 10_000
 #: Documents to a hash bucket, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -52,12 +52,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """One row per document: doc_id, source, size, source_size, target, epochs, taken, and the columns in keep.
 
     epochs is how often the mix repeats the document, taken is epochs times size in words. Null text
-    has size 0 and takes nothing; null sources form one source; rows with equal ids draw
-    the same hash and are ordered by size. An empty table gives an empty mix. Only doc_id, text and
-    source are read.
+    has size 0 and takes nothing; null sources form one source; the hash is of id and text, so rows with
+    equal or no ids are told apart by their texts, and equal rows are alike. No document is repeated more than max_epochs
+    times. An empty table gives an empty mix. Only doc_id, text, source and the columns in keep are read.
     """
     spark = docs.sparkSession
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))), 1, 15), 16, 10).cast("long")
     size = n_words(F.col("text"))
     sized = stage(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "sized")
     bits = max(0, min(20, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS))))
@@ -77,10 +77,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         sized = docs.select("doc_id", "source", *[F.col(c).alias(f"kept_{c}") for c in keep], size.alias("size"), h.alias("h")).withColumn("bucket", F.shiftright("h", 60 - bits))
     each = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("ps")))
     at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    sure = each.filter(~at_edge).withColumn("again", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(1)))
+    sure = each.filter(~at_edge).withColumn("again", F.when(F.col("more") > 0, F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(1))).otherwise(0))
     run = W.partitionBy("source").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(run) - F.col("size") / 2.0
-    tried = each.filter(at_edge).withColumn("again", (middle <= F.col("more")).cast("long"))
+    tried = each.filter(at_edge).withColumn("again", ((middle <= F.col("more")) & (F.col("more") > 0)).cast("long"))
     out = sure.unionByName(tried).withColumn("epochs", F.col("whole") + F.col("again"))
     return out.select("doc_id", "source", *[F.col(f"kept_{c}").alias(c) for c in keep], "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
 
@@ -92,7 +92,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, source_size * 2.0::DOUBLE AS cap, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
@@ -106,6 +106,6 @@ m AS (SELECT d.*, q.source_size, q.target, q.whole,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
       FROM sized d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN middle <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN middle <= target - whole * source_size AND target > whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM m
 """
