@@ -1,10 +1,10 @@
 """Quality classifier: random Fourier features, ridge by partition-summed normal equations, isotonic calibration.
 
 Statistics of a text are standardised and mapped to cosines and sines of seeded random
-projections, which approximate a Gaussian kernel. Every partition adds up its part of the normal
-equations; the parts are added in a second step over salted keys, and the driver gets a bounded number
-of matrices. The ridge scores are calibrated by the pool-adjacent-violators algorithm over
-score bins.
+projections, which approximate a Gaussian kernel. The labelled sample lies in PARTS partitions; each
+adds up its part of the normal equations, apart for each of FOLDS folds, and the driver adds the PARTS * FOLDS matrices. The ridge
+scores are calibrated by the pool-adjacent-violators algorithm over score bins: each labelled row is scored by the
+weights of the other folds, so the calibration does not see the scores of rows that the weights were fitted to.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stage, table
+from .common import crc_mod, in_sample, sample_limit, stage, table
 from .textstats import TextStats
 
 #: Labelled documents, about, from which the classifier is fitted.
@@ -26,8 +25,8 @@ SAMPLE_ROWS = 12_000
 FREQUENCIES = 160
 RIDGE = 1e-3
 SEED = 5
-#: Keys over which the partitions' matrices are added before the driver gets them.
-SUM_KEYS = 16
+#: Partitions that add up equations, and folds for the calibration: the driver gets so many matrices, whatever the input's size.
+PARTS, FOLDS = 4, 4
 BINS = 400
 N_FEATURES = 16
 
@@ -87,14 +86,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
     n = known.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)
+    part = in_sample("doc_id", sample_limit(sample, n), SEED)
     some = docs.select("doc_id", "text").join(F.broadcast(known.filter(part)), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y"), b.column("fold")], ["x", "y", "fold"])
 
-    rows = stage(some.select("text", "y").mapInArrow(measure, "x array<double>, y double"), "labelled")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = some.select("text", "y", fold).mapInArrow(measure, "x array<double>, y double, fold int")
+    rows = stage(rows.repartition(PARTS, "x"), "labelled")
     at = [F.col("x")[i] for i in range(N_FEATURES)]
     r = rows.select(F.count("*"), *[F.avg(c) for c in at], *[F.stddev_pop(c) for c in at]).first()
     if not r[0]:
@@ -104,25 +105,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
     size = 2 * FREQUENCIES + N_FEATURES + 1
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, k = np.zeros((size, size + 1)), 0
+        total = np.zeros((FOLDS, size, size + 1))
         for b in batches:
             x = model.kernel(np.array(b.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES))
-            y = b.column("y").to_numpy(zero_copy_only=False)
-            total += x.T @ np.hstack([x, y[:, None]])
-            k += len(y)
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array([k % SUM_KEYS]), pa.array([total.tobytes()], pa.binary())], ["k", "m"])
+            y, fold = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
+            for f in np.unique(fold):
+                total[f] += x[fold == f].T @ np.hstack([x, y[:, None]])[fold == f]
+        for f in range(FOLDS):
+            if total[f].any():
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([total[f].tobytes()], pa.binary())], ["fold", "m"])
 
-    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
+    eq = np.zeros((FOLDS, size, size + 1))
+    for p in rows.repartition(PARTS, "x").mapInArrow(equations, "fold int, m binary").collect():
+        eq[p["fold"]] += np.frombuffer(p["m"]).reshape(size, size + 1)
 
-    parts = rows.mapInArrow(equations, "k long, m binary").groupBy("k").applyInPandas(add, "m binary").collect()
-    eq = sum(np.frombuffer(p["m"]) for p in parts).reshape(size, size + 1)
-    model.weights = np.linalg.solve(eq[:, :-1] + RIDGE * r[0] * np.eye(size), eq[:, -1])
+    def solve(e: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(e[:, :-1] + RIDGE * e[-1, -2] * np.eye(size), e[:, -1])  # e[-1, -2]: number of rows, by the constant feature
+
+    model.weights = solve(eq.sum(0))
+    others = np.stack([solve(eq.sum(0) - eq[f]) if eq[f].any() and (eq.sum(0) - eq[f])[-1, -2] > 0 else model.weights for f in range(FOLDS)])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.raw(np.array(b.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES))
+            x = model.kernel(np.array(b.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES))
+            s = (x * others[b.column("fold").to_numpy()]).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(s, -0.5, 1.5) * BINS).astype(np.int64)), pa.array(s), b.column("y")], ["bin", "s", "y"])
 
     bins = rows.mapInArrow(binned, "bin long, s double, y double").groupBy("bin").agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
