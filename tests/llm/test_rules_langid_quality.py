@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.llm import langid, quality, rules
-from twinfold.llm.common import crc_mod, table
+from twinfold.llm.common import crc_mod, in_sample, sample_limit, table
 from twinfold.llm.textstats import TextStats
 
 
@@ -26,12 +26,38 @@ def test_repeated_windows():
 
 def test_order_is_by_rejections_per_cost_and_verdicts_do_not_depend_on_it():
     texts = ["# " * 30, "a b c d e f g h " * 9, None, "", "fine words " * 20] * 4
-    order = rules.order_rules(texts, rules.RULES)
+    order = rules.order_rules([rules.measure(t, rules.RULES) for t in texts], rules.RULES)
+    assert rules.order_rules([], rules.RULES) == rules.RULES or set(rules.order_rules([], rules.RULES)) == set(rules.RULES)
     assert set(order) == set(rules.RULES)
     for t in texts:
         assert (rules.passes(TextStats(t), order) is None) == (rules.passes(TextStats(t), rules.RULES) is None)
 
 
+def test_order_takes_rejections_per_second_and_then_what_is_left():
+    a, b, c = (rules.Rule(x, lambda t: False) for x in "abc")
+    measured = [([4.0, 1.0, 1.0], [True, True, False])] * 3 + [([4.0, 1.0, 1.0], [True, False, False])] + [([4.0, 1.0, 1.0], [False, False, True])] * 2
+    assert [r.name for r in rules.order_rules(measured, (a, b, c))] == ["b", "c", "a"]
+
+
+def test_what_a_rule_computes_beyond_the_base_statistics_can_be_skipped():
+    t = TextStats("# " * 30)
+    assert rules.passes(t, rules.RULES) == "symbols"
+    assert "top_word" not in vars(t)
+
+
+@pytest.mark.parametrize("n", [2 * 10**9, 10**11, 10**15])
+def test_samples_of_large_tables_are_not_empty(n):
+    for rows in (rules.SAMPLE_ROWS, langid.SAMPLE_PER_LANG, quality.SAMPLE_ROWS):
+        assert sample_limit(rows, n) * n / 2**63 == pytest.approx(rows, rel=1e-3)
+    assert sample_limit(10, 3) == 2**63 - 1
+
+
+def test_sample_takes_about_what_it_should(spark):
+    limit = sample_limit(500, 2 * 10**9)
+    assert spark.range(10).filter(in_sample("id", limit)).count() <= 10
+    assert 300 < spark.range(100_000).filter(in_sample("id", sample_limit(500, 100_000))).count() < 700
+
+
 def test_cascade_on_odd_rows(odd_docs, no_docs):
     got = rules.cascade(odd_docs).collect()
     assert len(got) == odd_docs.count()

@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Each rule rejects a document or passes it on. On a bounded sample every rule is timed and its
-rejections are counted; then the rule with the most rejections per second among the sample's
-remaining documents comes next, and so on. The order decides what a document costs, never
-its verdict, so reruns agree although timings differ.
+The base statistics are returned for every document, so they are computed first and cost no rule anything. Each rule then
+rejects a document or passes it on. On a bounded sample each rule's further cost (what it computes beyond the base
+statistics) is timed and its rejections are counted, in the tasks that hold the sample; then the rule with the most
+rejections per second among the sample's remaining documents comes next, and so on. The order decides what a document
+costs, never its verdict, so reruns agree although timings differ.
 """
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_sample, sample_limit, table
 from .textstats import TextStats
 
 #: Documents, about, on which costs and rejections are estimated.
@@ -39,31 +41,50 @@ RULES = (
     Rule("shouting", lambda t: t.n_upper > t.n_lower),
     Rule("exclamation", lambda t: 2 * t.n_exclaim > t.n_words),
     Rule("digits", lambda t: 2 * t.n_digits > t.word_chars),
+    Rule("one_word", lambda t: 10 * t.top_word > 3 * t.n_words),
+    Rule("bullets", lambda t: len(t.lines) > 2 and 10 * t.n_bullets > 9 * len(t.lines)),
+    Rule("ellipses", lambda t: len(t.lines) > 2 and 10 * t.n_ellipses > 3 * len(t.lines)),
 )
+BASE_STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def order_rules(texts: list[str | None], rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
-    """Rules by rejections per second, each measured on what the earlier ones pass; ties and no sample keep the given order."""
-    cost, hit = {}, {}
+def measure(text: str | None, rules: tuple[Rule, ...]) -> tuple[list[float], list[bool]]:
+    """Seconds that each rule takes on the text beyond the base statistics, and whether it rejects."""
+    base = TextStats(text)
+    for x in BASE_STATISTICS:
+        getattr(base, x)
+    cost, hit = [], []
     for r in rules:
-        docs = [TextStats(x) for x in texts]
+        t = copy.copy(base)  # with the statistics that it has, and none that another rule needed
         start = time.perf_counter()
-        hit[r] = [r.rejects(t) for t in docs]
-        cost[r] = max(time.perf_counter() - start, 1e-9)
-    left, order, rest = range(len(texts)), [], list(rules)
+        hit.append(r.rejects(t))
+        cost.append(time.perf_counter() - start)
+    return cost, hit
+
+
+def order_rules(measured: list[tuple[list[float], list[bool]]], rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """Rules by rejections per second, each on what the earlier ones pass; rules that reject none of these come by cost, ties keep the given order."""
+    left, order, rest = list(range(len(measured))), [], list(range(len(rules)))
     while rest:
-        best = max(rest, key=lambda r: sum(hit[r][i] for i in left) / cost[r])
-        left = [i for i in left if not hit[best][i]]
+        cost = {r: max(sum(measured[i][0][r] for i in left), 1e-9) for r in rest}
+        best = max(rest, key=lambda r: (sum(measured[i][1][r] for i in left) / cost[r], -cost[r], -r))
+        left = [i for i in left if not measured[i][1][best]]
         order.append(best)
         rest.remove(best)
-    return tuple(order)
+    return tuple(rules[r] for r in order)
+
 
+def sample_measures(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS) -> list[tuple[list[float], list[bool]]]:
+    """measure of about that many documents, chosen by hash of the id and text; the driver gets numbers, no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [measure(t, rules) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.bool_()))], ["cost", "hit"])
 
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """About that many texts, at most, by hash of the id."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(min(1.0, rows / max(n, 1)) * 1_000_000))
-    return [r[0] for r in docs.filter(part).select("text").limit(2 * rows).collect()]
+    key = F.struct("doc_id", F.md5("text").alias("text"))
+    some = docs.select("doc_id", "text").filter(in_sample(key, sample_limit(rows, docs.count())))
+    return [(list(r["cost"]), list(r["hit"])) for r in some.select("text").mapInArrow(run, "cost array<double>, hit array<boolean>").collect()]
 
 
 def passes(stats: TextStats, rules: tuple[Rule, ...]) -> str | None:
@@ -77,9 +98,10 @@ def passes(stats: TextStats, rules: tuple[Rule, ...]) -> str | None:
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: Rule | None = BASE_FAILS) -> DataFrame:
     """doc_id, base statistics, base_failed and kept, for each row of docs (doc_id, text; other columns are ignored).
 
-    Null and empty texts have no words and fail the base rule. Repeated rows are judged alike.
+    Null and empty texts have no words and fail the base rule. Repeated rows are judged alike; an empty table gives no
+    row. Very long texts are judged whole. A null id stays null.
     """
-    ordered = order_rules(sample_texts(docs), rules)
+    ordered = order_rules(sample_measures(docs, rules), rules)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
@@ -113,11 +135,14 @@ s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
         length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS n_lower,
+        coalesce(list_max(map_values(list_aggregate(ws, 'histogram'))), 0) AS top_word, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullets,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
         length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digits
       FROM w LEFT JOIN c ON w.rid = c.rid),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) OR n_upper > n_lower OR 2 * n_exclaim > n_words OR 2 * n_digits > word_chars) AS kept
+            OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) OR n_upper > n_lower OR 2 * n_exclaim > n_words OR 2 * n_digits > word_chars
+            OR 10 * top_word > 3 * n_words OR (n_lines > 2 AND 10 * n_bullets > 9 * n_lines) OR (n_lines > 2 AND 10 * n_ellipses > 3 * n_lines)) AS kept
 FROM b
 """

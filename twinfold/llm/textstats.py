@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cached_property
 from itertools import count
 
@@ -71,6 +72,21 @@ class TextStats:
         first: dict[str, int] = {}
         return np.fromiter(map(first.setdefault, self.words, count()), dtype=np.int64, count=self.n_words)
 
+    @cached_property
+    def top_word(self) -> int:
+        """How often the most frequent word stands."""
+        return max(Counter(self.words).values(), default=0)
+
+    @cached_property
+    def n_bullets(self) -> int:
+        """Lines with a word that start with a bullet."""
+        return sum(x.lstrip(" \t").startswith(("-", "*", "\u2022")) for x in self.lines)
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        """Lines with a word that end in three dots."""
+        return sum(x.rstrip(" \t\v\f\r").endswith(("...", "\u2026")) for x in self.lines)
+
     @cached_property
     def n_distinct_words(self) -> int:
         return len(set(self.words))
