@@ -112,3 +112,30 @@ def test_search_and_band_errors(spark):
     p, m = X.tune_score(lambda p: {"f1": p.gamma}, trials=5, seed=1)
     assert m["f1"] == p.gamma
     assert all(lo <= getattr(p, k) <= hi for k, (lo, hi) in X.RANGES.items())
+
+
+def test_components_of_paths_stars_and_random_links(spark):
+    import random
+
+    from twinfold.operators.graph import components
+
+    def brute(edges):
+        over = {}
+
+        def top(x):
+            while over.setdefault(x, x) != x:
+                x = over[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                a, b = sorted((top(a), top(b)))
+                over[b] = a
+        return {x: top(x) for x in over}
+
+    rng = random.Random(1)
+    path = list(range(300))
+    rng.shuffle(path)
+    for edges in ([*zip(path, path[1:], strict=False)], [(rng.randrange(2000), rng.randrange(2000)) for _ in range(900)], [(5, i) for i in range(300)] + [(i, i + 1000) for i in range(300)], [(1, 1), (None, 2)]):
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == brute([e for e in edges if None not in e])

@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _star(links: DataFrame) -> DataFrame:
+    """One round on links (u, v) with u > v: first every v gives way to its smallest neighbour, then each u and its smaller neighbours are tied to the least of these."""
+    low = links.select(F.col("v").alias("x"), F.col("v").alias("m")).unionByName(links.select(F.col("u").alias("x"), F.col("v").alias("m"))).groupBy("x").agg(F.min("m").alias("m"))
+    wide = links.join(low.withColumnRenamed("x", "v"), "v").select("u", F.col("m").alias("v")).distinct()
+    least = wide.groupBy("u").agg(F.min("v").alias("m"))
+    tied = wide.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(least.withColumnRenamed("m", "v")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, label): label is the smallest node that a chain of links reaches.
 
-    Each round every node takes the smallest label among itself and its neighbours, then the
-    label of its label, so labels travel a distance that doubles. A round's result is a
-    written table. Null ends and loops are ignored; nodes without links are not in the result.
+    Alternating large-star and small-star rounds, each a written table, until every component is one star around
+    its smallest node; there are never more links than at first. A node with very many links is a skewed key
+    of a sort-merge join, which adaptive execution splits, and is aggregated before the shuffle. Null ends
+    and loops are ignored; nodes without links are not in the result.
     """
-    links = edges.filter("a <> b")
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("over"))
-        step = stage(met.join(up, "label").select("node", "old", F.least("label", "over").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.filter("old <> label").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    links = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = links.agg(*mark).first()
+    while True:
+        links = stage(_star(links), "links")
+        after = links.agg(*mark).first()
+        if after == before:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        before = after
