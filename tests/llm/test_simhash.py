@@ -5,6 +5,7 @@ import xxhash
 
 from twinfold.llm import simhash as S
 from twinfold.llm.common import table
+from twinfold.operators.graph import components
 
 
 def plain_fp(text, k=3):
@@ -50,7 +51,12 @@ def test_links_are_exact_also_in_split_buckets(spark):
             fps.add(S.signed(x))
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
     want = {(min(a, b), max(a, b)) for a, b in combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
-    assert {(r.a, r.b) for r in S.links(frame, 3, forest=False, hot=30).collect()} == want
+    assert {(r.a, r.b) for r in S.links(frame, 3, hot=30).collect()} == want
+    # a forest names the same components, in one row a fingerprint and task at most
+    rows = S.forest(frame, 3, hot=30).collect()
+    assert all((min(r.node, r.near), max(r.node, r.near)) in want or r.near == r.root for r in rows)
+    tops = lambda pairs: {r.node: r.label for r in components(spark.createDataFrame(list(pairs), "a long, b long")).collect()}
+    assert tops((r.node, r.root) for r in rows) == tops(want)
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -69,96 +75,3 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.component_id for r in got if r.fp == 0} == {3}
     assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
     assert S.near_duplicates(no_docs).count() == 0
-
-
-def test_near_duplicates_equal_brute_force(spark, sf_dir, odd_docs, no_docs):
-    d = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
-    sets = {r.doc_id: set(S.shingle_set(r.text, 5).tolist()) for r in d.collect()}
-    over = {x: x for x in sets}
-
-    def top(x):
-        while over[x] != x:
-            x = over[x]
-        return x
-
-    for a, b in combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = top(a), top(b)
-            over[max(x, y)] = min(x, y)
-    assert {r.doc_id for r in S.drop_near_duplicates(d).collect()} == {x for x in sets if top(x) == x}
-    kept = S.drop_near_duplicates(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 5, 6, 7]
-    assert S.drop_near_duplicates(no_docs).count() == 0
-
-
-def test_blocks_of_a_large_group_find_what_one_block_finds():
-    rng = np.random.default_rng(2)
-    base = np.unique(rng.integers(0, 2**62, 60).astype(np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**62, 3).astype(np.uint64)])) for _ in range(30)]
-    ids, fp = np.arange(30), np.zeros(30, np.int64)
-    fp[:] = [1 << (i % 3) for i in range(30)]
-    whole = S.similar_pairs(ids, fp, sets, np.zeros(30, int), 0.8, 13)
-    side = ids % 2
-    parts = []
-    for x in (0, 1):
-        at = np.flatnonzero(side == x)
-        parts += S.similar_pairs(ids[at], fp[at], [sets[i] for i in at], side[at], 0.8, 13)
-    parts += S.similar_pairs(ids, fp, sets, side, 0.8, 13)
-
-    def label(pairs):
-        out = list(range(30))
-        for _ in range(30):
-            for a, b in pairs:
-                out[a] = out[b] = min(out[a], out[b])
-        return out
-
-    assert label(whole) == label(parts)
-
-
-def test_links_do_not_depend_on_fingerprints(spark, monkeypatch):
-    """Short texts with scattered changes: many at 0.8 and above have fingerprints more than 9 bits apart."""
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(0, 400, 2):
-        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(30, 60)))]
-        other = [*words]
-        other[int(rng.integers(0, 3))] = "changed"
-        other[-1] = "end"
-        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
-    tail = " " + " ".join(f"same{x}" for x in range(12))  # shingles that all share
-    rows = [(i, t + tail) for i, t in rows]
-    sets = [set(S.shingle_set(t, 5).tolist()) for _, t in rows]
-    fps = [np.array([S.majority(S.shingle_set(t, S.CANDIDATE[0]))]) for _, t in rows]
-    near = [i for i in range(0, 400, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
-    far = [i for i in near if S.popcount(fps[i] ^ fps[i + 1])[0] > S.CANDIDATE[2]]
-    assert far
-    monkeypatch.setattr(S, "PAIRS_HELD", 10, raising=False)
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in S.drop_near_duplicates(d).collect()} == {i for i, _ in rows} - {i + 1 for i in near}
-
-
-def test_candidate_links_do_not_depend_on_the_plan(spark, monkeypatch):
-    """Fingerprints of the pipeline's stage are linked at the radius and not beyond, whatever partitions are probed."""
-    rng = np.random.default_rng(9)
-    rows = []
-    for i in range(0, 300, 2):
-        words = [f"w{x}" for x in rng.integers(0, 5000, 40)]
-        other = [*words]
-        other[int(rng.integers(0, 40))] = other[-1] = "changed"
-        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
-    fps = [S.majority(S.shingle_set(t, S.CANDIDATE[0])) for _, t in rows]
-    at = {tuple(sorted(p)) for p in combinations(fps, 2) if 0 < S.popcount(np.array([p[0] ^ p[1]]))[0] <= S.CANDIDATE[1]}
-    assert any(S.CANDIDATE[1] < S.popcount(np.array([fps[i] ^ fps[i + 1]]))[0] <= S.CANDIDATE[2] for i in range(0, 300, 2))
-    links, found = S.links, []
-
-    def seen(fps, *args, **kwargs):
-        found.append({(r.a, r.b) for r in links(fps, *args, forest=False, **kwargs).collect()})
-        return links(fps, *args, **kwargs)
-
-    monkeypatch.setattr(S, "links", seen)
-    for m in (4, 8):  # so many partitions, each at 8 / m - 1 bits: complete for 7
-        monkeypatch.setattr(S, "plan_partitions", lambda fps, radius, m=m: [((1 << 64 // m) - 1 << 64 // m * i, (radius + 1) // m - 1) for i in range(m)])
-        S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert found == [at, at]

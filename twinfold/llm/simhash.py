@@ -9,20 +9,21 @@ moves to fewer and wider partitions, so candidates do not grow with the square o
 
 Buckets of more than HOT fingerprints or so are split: the bits outside the bucket's key are dealt to R + 1 pieces, one of which
 must be equal for a pair within R, and joins the key. This repeats until no bucket is large, and
-loses no pair. Inside a bucket fingerprints are compared exactly and only a spanning forest
-of the links goes on.
+loses no pair. Inside a bucket fingerprints are compared exactly. A task holds one forest over all its buckets and
+gives one row for each fingerprint that it linked, whatever the number of links; equal rows of different tasks are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,10 @@ MAX_BROADCAST_KEYS = 20_000
 #: Estimated cost of a probe row, in comparisons of two fingerprints.
 ROW_COST = 20.0
 MAX_PARTITIONS = 6
-#: Keys over which the partitions' bit counts are added before the driver gets them.
-SUM_KEYS = 16
+#: Keys over which the partitions' bit counts are added, first by partition, then before the driver gets them.
+SUM_KEYS = (1024, 16)
+#: Linked fingerprints that a task's forest holds before it gives them out and starts another.
+FOREST_NODES = 500_000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -54,13 +57,23 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter((h(join(s), SEED) for s in zip(*(words[i : i + n] for i in range(k)), strict=True)), dtype=np.uint64, count=n)
 
 
+_LANES = np.uint64(0x0101010101010101)
+
+
 def majority(hashes: np.ndarray) -> int:
-    """The fingerprint, as a signed 64-bit number: bits that are set in over half the hashes."""
-    total = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        part = hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
+    """The fingerprint, as a signed 64-bit number: bits that are set in over half the hashes.
+
+    Bit k of all eight bytes is counted at once, in byte lanes that are added up before they can overflow.
+    """
+    if not len(hashes):
+        return 0
+    total = np.zeros((8, 8), dtype=np.int64)  # bit in its byte, byte
+    for i in range(0, len(hashes), 255 * 64):
+        part = hashes[i : i + 255 * 64]
+        for k in range(8):
+            lanes = np.add.reduceat((part >> np.uint64(k)) & _LANES, np.arange(0, len(part), 255))
+            total[k] += lanes.astype("<u8").view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total.T.ravel() > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -86,12 +99,15 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
             total += bits.T @ bits
             n += len(bits)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n % SUM_KEYS]), pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["k", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_KEYS[0]]), pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["k", "n", "m"])
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [group["n"].sum()], "m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
+        return pd.DataFrame({"k": [int(key[0]) % SUM_KEYS[1]], "n": [group["n"].sum()], "m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
 
-    parts = fps.select("fp").mapInArrow(count, "k long, n long, m binary").groupBy("k").applyInPandas(add, "n long, m binary").collect()
+    parts = fps.select("fp").mapInArrow(count, "k long, n long, m binary")
+    for _ in SUM_KEYS:
+        parts = parts.groupBy("k").applyInPandas(add, "k long, n long, m binary")
+    parts = parts.collect()
     return sum(p["n"] for p in parts), sum((np.frombuffer(p["m"]) for p in parts), np.zeros(BITS * BITS)).reshape(BITS, BITS)
 
 
@@ -285,260 +301,81 @@ def spanning_pairs(mask: np.ndarray, value: np.ndarray, fp: np.ndarray, probe: n
     return names[np.array(a_out, np.int64)], names[np.array(b_out, np.int64)]
 
 
-def links(fps: DataFrame, radius: int = 3, forest: bool = True, hot: int = HOT) -> DataFrame:
-    """(a, b) links between different fingerprints of fps (fp, distinct) at radius bits or fewer.
+class Forest:
+    """Fingerprints that links join, with the smallest of their component and the first smaller one that each was linked to."""
 
-    With forest, only links that join what a task has not yet joined: the same components. Without, every
-    link once or more. No fingerprint, no link.
-    """
-    rows = buckets(fps, plan_partitions(fps, radius), radius, hot)
-    rows = rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "probe")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mask, value, fp, probe in _sorted_runs(batches):
-            if forest:
-                a, b = spanning_pairs(mask, value, fp, probe, radius)
-            else:
-                i, j = close_pairs(mask, value, fp, probe, radius)
-                a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def __init__(self) -> None:
+        self.over: dict[int, int] = {}
+        self.near: dict[int, int] = {}
 
-    return rows.mapInArrow(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp and component_id for each row of docs (doc_id, text; other columns are ignored).
-
-    component_id is the smallest doc_id among the documents that a chain of links reaches; equal fingerprints are
-    linked, also those of texts without words (0). A null doc_id never names a component unless there is no other.
-    """
-    each = stage(fingerprints(docs, k), "fingerprints")
-    fps = stage(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    comps = components(links(fps.select("fp"), radius))
-    joined = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    low = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = stage(joined.join(low, "label").select("fp", "component_id"), "components")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-# Near-duplicates by similarity: fingerprints find candidates, shingle sets decide.
-#: Punctuation that is cut off both ends of a word.
-PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&"
-#: Words in a fingerprint's shingle, bits within which fingerprints are linked, bits up to which texts of a chain of such links are compared.
-CANDIDATE = (2, 7, 9)
-#: Documents of a candidate group in a block; larger groups are compared by pairs of blocks.
-BLOCK = 800
-#: Ids up to which a set of documents is broadcast; beyond it is joined by a shuffle.
-MAX_BROADCAST_IDS = 100_000
-#: Texts whose prefixes share a shingle beyond which it goes to the end of the order, how many at most, and how often this is done.
-#: Any order finds every pair; these only save comparisons.
-LATE, MAX_LATE, REORDERS = 8, 100_000, 2
-#: Shared shingles up to which they are broadcast.
-MAX_BROADCAST_SHARED = 200_000
-#: Met pairs that a task holds before it gives them out.
-PAIRS_HELD = 1 << 20
-
-
-def normal_words(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case, without punctuation at their ends."""
-    return [w for w in (x.strip(PUNCTUATION) for x in (text or "").encode().lower().split()) if w]
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's k-word shingles (of normal_words)."""
-    return np.unique(shingle_hashes(b" ".join(normal_words(text)).decode("utf-8", "replace"), k))
-
-
-def _few(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= MAX_BROADCAST_IDS else df
+    def top(self, x: int) -> int:
+        over = self.over
+        while (up := over.setdefault(x, x)) != x:
+            over[x] = x = over[up]
+        return x
 
+    def link(self, a: int, b: int) -> None:
+        r, t = self.top(a), self.top(b)
+        if r != t:
+            self.over[max(r, t)] = min(r, t)
+        self.near.setdefault(max(a, b), min(a, b))
 
-def similar_pairs(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
-    """Links that join what is not yet joined: pairs of different sides (or any, if there is one side) with at least that Jaccard similarity.
+    def rows(self) -> pa.RecordBatch:
+        """node, root and near of each node that isn't the smallest; near is the node's own link, or the root where it was never the greater end."""
+        nodes = [x for x in self.over if self.top(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, [self.top(x) for x in nodes], [self.near.get(x, self.top(x)) for x in nodes])], ["node", "root", "near"])
 
-    Pairs are tried by rising distance of their fingerprints, up to bits, and only between parts that aren't joined.
-    """
-    one_side = len(np.unique(side)) == 1
-    tried: list[list[tuple[int, int]]] = [[] for _ in range(bits + 1)]
-    for i in range(len(ids) - 1):
-        d = popcount(fp[i + 1 :] ^ fp[i])
-        ok = (d <= bits) if one_side else (d <= bits) & (side[i + 1 :] != side[i])
-        for j in np.flatnonzero(ok):
-            tried[d[j]].append((i, i + 1 + int(j)))
-    over = list(range(len(ids)))
-
-    def top(x: int) -> int:
-        while over[x] != x:
-            over[x] = x = over[over[x]]
-        return x
 
-    out = []
-    for pairs in tried:
-        for i, j in pairs:
-            if (a := top(i)) == (b := top(j)):
-                continue
-            n, m = len(sets[i]), len(sets[j])
-            if min(n, m) < similarity * max(n, m):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (n + m - both):
-                over[max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+def _compared(fps: DataFrame, radius: int, hot: int) -> DataFrame:
+    rows = buckets(fps, plan_partitions(fps, radius), radius, hot)
+    return rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "probe")
 
 
-def prefix_of(s: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
-    """The set's first hashes in rising order, those of late (sorted) after all others: sets of at least that similarity share one of them."""
-    if len(late):
-        at = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-        s = np.concatenate([s[~at], s[at]])
-    return s[: len(s) - max(1, ceil(similarity * len(s) - 1e-9)) + 1]
+def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: every link between different fingerprints of fps (fp, distinct) at radius bits or fewer, once or more."""
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mask, value, fp, probe in _sorted_runs(batches):
+            i, j = close_pairs(mask, value, fp, probe, radius)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], ["a", "b"])
 
-def meeting_pairs(h: np.ndarray, part: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs with one h (rows sorted by h and size), of different parts, whose sizes and places allow the similarity."""
-    a_out, b_out, held, step = [], [], 0, 1
-    live = np.arange(len(h))
-    while len(live):
-        live = live[live + step < len(h)]
-        live = live[(h[live] == h[live + step]) & (size[live] >= similarity * size[live + step])]
-        o = live + step
-        both = np.minimum(size[live] - pos[live], size[o] - pos[o])  # at most, if this is their first common hash
-        hit = live[(part[live] != part[o]) & (both >= similarity * (size[live] + size[o] - both))]
-        a_out.append(hit)
-        b_out.append(hit + step)
-        held += len(hit)
-        if held > PAIRS_HELD:
-            yield np.concatenate(a_out), np.concatenate(b_out)
-            a_out, b_out, held = [], [], 0
-        step += 1
-    if held:
-        yield np.concatenate(a_out), np.concatenate(b_out)
+    return _compared(fps, radius, hot).mapInArrow(compare, "a long, b long")
 
 
-def similar_links(docs: DataFrame, parts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of documents in parts (doc_id, part) that are in different parts and have at least that Jaccard similarity.
+def forest(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
+    """node, root, near: for each fingerprint of fps (fp, distinct) that a task linked, the smallest of its component in that task, and one
+    to which it is linked directly.
 
-    Exact, by prefixes: of two such sets in one order of all hashes, the first n - ceil(similarity * n) + 1 of each have one in common.
+    (node, root) connect the same components as all links at radius bits or fewer do. No fingerprint, no row.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def prefixes(late: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-                firsts = [prefix_of(s, late, similarity).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "size", "first"])
-
-        rows = stage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, size int, first array<long>"), "prefixes")
-        return rows.join(_few(parts, n_parts), "doc_id").select("doc_id", "part", "size", F.posexplode("first").alias("pos", "h"))
-
-    n_parts = parts.count()
-    late = np.empty(0, np.uint64)
-    for turn in range(REORDERS + 1):
-        rows = prefixes(late)
-        shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-        shared = stage(shared.select("h", "n"), "shared")
-        often = shared.filter(F.col("n") > LATE).orderBy(F.desc("n"), "h").limit(MAX_LATE).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-        more = np.union1d(late, often)
-        if turn == REORDERS or len(more) == len(late) or len(more) > MAX_LATE:
-            break
-        late = more
-    n_shared = shared.count()
-    keys = shared.select("h")
-    rows = rows.join(F.broadcast(keys) if n_shared <= MAX_BROADCAST_SHARED else keys, "h")
-    rows = rows.select("h", F.col("doc_id").cast("long").alias("id"), "part", "size", "pos").repartition("h").sortWithinPartitions("h", "size")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, part, size, pos in _sorted_runs(batches, ("h", "id", "part", "size", "pos"), 1):
-            for i, j in meeting_pairs(h, part, size, pos, similarity):
-                got = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
-
-    met = stage(rows.mapInArrow(meet, "a long, b long").distinct(), "met")
-    ids = stage(met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), "metids")
-
-    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "s"])
-
-    sets = docs.select("doc_id", "text").join(_few(ids, ids.count()), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(sets.mapInArrow(with_set, "id long, s binary"), "metsets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
+        for mask, value, fp, probe in _sorted_runs(batches):
+            for a, b in zip(*(x.tolist() for x in spanning_pairs(mask, value, fp, probe, radius)), strict=True):
+                trees.link(a, b)
+            if len(trees.over) > FOREST_NODES:
+                yield trees.rows()
+                trees = Forest()
+        yield trees.rows()
 
-    pairs = met.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b").select("a", "b", "s1", "s2")
-    return pairs.mapInArrow(verify, "a long, b long")
+    return _compared(fps, radius, hot).mapInArrow(compare, "node long, root long, near long")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows and columns of docs (doc_id integer, text, ...) without near-duplicates: the smallest doc_id of each group stays.
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fp and component_id for each row of docs (doc_id, text; other columns are ignored).
 
-    Texts are linked if the Jaccard similarity of their sets of shingle-word shingles (words in lower case, without
-    punctuation at the ends) is at least ``similarity``, or if they are equal; groups are chains of links. Most links are found
-    between texts whose fingerprints, of shorter shingles that survive more edits, a probe brings together; the groups so found are completed
-    by similar_links, so that no link is missed. Null and wordless texts are linked
-    only to equal ones. Of rows with equal id and text one stays; ids are taken to be unique otherwise.
+    component_id is the smallest doc_id among the documents that a chain of links reaches; equal fingerprints are
+    linked, also those of texts without words (0). A null doc_id never names a component unless there is no other.
     """
-    k, radius, bits = CANDIDATE
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            fp = [majority(shingle_set(t, k)) for t in texts]
-            empty = [not normal_words(t) for t in texts]
-            h = [int(np.uint64(xxhash.xxh3_64_intdigest((t or "").encode())).view(np.int64)) for t in texts]
-            g = [int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 7)).view(np.int64)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(empty, pa.bool_())], ["doc_id", "fp", "h", "g", "empty"])
-
-    each = stage(docs.select("doc_id", "text").mapInArrow(look, f"doc_id {id_type}, fp long, h long, g long, empty boolean"), "looks")
-    # equal texts (128 bits of hash): the first stands for all
-    texts = stage(each.groupBy("h", "g", "fp", "empty").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "texts")
-    fps = stage(texts.filter("not empty").select("fp").distinct(), "fps")
-    labels = components(links(fps, radius))
-    at = texts.filter("not empty").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("first", "fp", F.coalesce("label", "fp").alias("part"))
-    sizes = at.groupBy("part").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stage(at.join(sizes, "part").select(F.col("first").alias("doc_id"), "fp", "part", "size"), "members")
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), b.column("part"), b.column("size"), pa.array(sets, pa.binary())], ["doc_id", "fp", "part", "size", "s"])
-
-    some = docs.select("doc_id", "text").join(_few(members, members.count()), "doc_id").select("doc_id", "text", "fp", "part", "size")
-    sets = some.mapInArrow(with_sets, f"doc_id {id_type}, fp long, part long, size long, s binary")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), n_blocks.cast("long")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = sets.withColumn("blocks", n_blocks).withColumn("own", own).select("doc_id", "fp", "part", "s", "own", F.explode(cells).alias("c")).select("doc_id", "fp", "part", "s", "own", "c.i", "c.j")
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, fp, side = (t.column(c).to_numpy() for c in ("doc_id", "fp", "own"))
-        found = similar_pairs(ids, fp, [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], side, similarity, bits)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    edges = stage(dealt.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long"), "edges")
-    # what the fingerprints missed: all similar pairs between the groups found so far
-    first = components(edges)
-    parts = texts.filter("not empty").join(first.withColumnRenamed("node", "first"), "first", "left").select(F.col("first").alias("doc_id"), F.coalesce("label", "first").cast("long").alias("part"))
-    parts = stage(parts.filter("doc_id is not null"), "parts")
-    more = stage(similar_links(docs, parts, shingle, similarity), "missed")
-    groups = first if more.isEmpty() else components(edges.unionByName(more))
-    gone = each.join(texts.select("h", "g", "first"), ["h", "g"]).filter("doc_id <> first or (doc_id is null and first is not null)").select("doc_id")
-    gone = stage(gone.unionByName(groups.filter("node <> label").select(F.col("node").alias("doc_id"))).distinct(), "gone")
-    out = docs.join(_few(gone, gone.count()), "doc_id", "left_anti")
-    if not each.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    each = stage(fingerprints(docs, k), "fingerprints")
+    fps = stage(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    comps = components(forest(fps.select("fp"), radius).select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    joined = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    low = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = stage(joined.join(low, "label").select("fp", "component_id"), "components")
+    return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
