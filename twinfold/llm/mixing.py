@@ -24,6 +24,8 @@ from .common import n_words, stage, table
 
 #: Rows of the source table up to which it is broadcast; beyond it is joined by a shuffle.
 MAX_BROADCAST_SOURCES = 10_000
+#: The mix's own columns.
+COLUMNS = ("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 #: Documents to a hash bucket, about.
 BUCKET_ROWS = 256
 
