@@ -1,4 +1,5 @@
 import gzip
+import zlib
 
 import pytest
 
@@ -52,5 +53,33 @@ def test_no_pages(spark):
     assert warc.read_warc(spark, out).count() == 0
 
 
+def test_both_versions_are_converted_in_one_run_and_members_stand_alone(spark, sf_dir):
+    """The query's own path on a table: odd ids in version 1, even ones in version 2; a record a gzip member."""
+    arc, out = new_path(spark, "t-arc"), new_path(spark, "t-warc")
+    warc.pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arc)
+    facts = warc.arc_facts(spark, arc).select("version", "page_id").collect()
+    assert {(r.version, r.page_id % 2) for r in facts} == {(1, 1), (2, 0)}
+    warc.arc_to_warc(spark, arc, out)
+    for path in (arc, out):
+        content = bytes(warc.read_archive(spark, path).first().content)
+        assert gzip.decompress(content) == warc.unpack(content)
+        z = zlib.decompressobj(31)
+        assert z.decompress(content).startswith((b"filedesc://", b"WARC/1.0\r\nWARC-Type: warcinfo"))
+        z2 = zlib.decompressobj(31)
+        one = z2.decompress(z.unused_data)
+        assert len(list(warc.parse_warc(one))) == 1 if path == out else one.count(b"X-Page-Id") == 1
+
+
+def test_very_long_pages_clashing_columns_and_shuffled_revisits(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_PAYLOADS", 0)
+    long = "<p>" + "long text " * 600_000
+    rows = [(1, "http://a", long, "x", b"y"), (2, "http://b", long, "x", b"y"), (3, "http://c", "short", "x", b"y"), (None, "http://d", "lone", "x", b"y"), (None, "http://e", "lone", "x", b"y")]
+    arc, out = new_path(spark, "t-arc"), new_path(spark, "t-warc")
+    warc.pages_to_arc(spark.createDataFrame(rows, "page_id long, url string, html string, value string, content binary"), arc)
+    warc.arc_to_warc(spark, arc, out)
+    got = {(r.url, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, out).collect()}
+    assert got == {("http://a", "response", None, len(long)), ("http://b", "revisit", 1, len(long)), ("http://c", "response", None, 5), ("http://d", "response", None, 4), ("http://e", "response", None, 4)}
+
+
 def test_query_equals_sql(spark, sf_dir):
     assert rows_of(warc.op3_warc(spark, sf_dir).toPandas()) == rows_of(duck(sf_dir).sql(warc.OP3_SQL).df())

@@ -7,8 +7,11 @@ date is the ARC date in ISO form, the type follows from scheme and content, and
 payload get SHA-1 digests. Records with equal payloads are stored once: the smallest key is the response, the others
 revisit it.
 
-Files are written and read by Spark (text writer, binaryFile reader), so any file system of the cluster will do. An
-archive row holds at most about CHUNK bytes and a file FILE_ROWS rows, so no reader needs a large file in memory.
+Archives are gzipped record by record, so any member can be read alone. Files are written and read by Spark (text writer with
+a separator that is an empty gzip member, binaryFile reader), so any file system of the cluster will do. An
+archive row holds at most about CHUNK bytes and a file FILE_ROWS rows, so no reader needs a large file in memory. The
+converter reads an archive twice: for the digests, and with the list of its revisits for the records; payloads stay inside one
+function and go through no join or shuffle.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, stage, table
 
 CHUNK = 2 << 20
 FILE_ROWS = 4
-#: Shared payloads up to which their table is broadcast; beyond it is joined by a shuffle.
+#: Shared payloads, or revisits, up to which their table is broadcast; beyond it is joined by a shuffle.
 MAX_BROADCAST_PAYLOADS = 50_000
+GZIP_LEVEL = 1
 ARC_DATE = "20240101000000"
 # Fixed values of the two ARC versions: names of the fields of a record's line.
 ARC_FIELDS = {
@@ -101,19 +105,23 @@ def iso_date(arc: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(rec: dict) -> dict:
-    """An ARC record as the parts of an equivalent WARC record."""
-    body = rec["body"]
-    http = body.startswith(b"HTTP/")
-    cut = body.find(b"\r\n\r\n") + 4 if http else 0
+def parts_of(body: bytes) -> tuple[bytes, bytes, int | None]:
+    """HTTP head (empty if there is none), payload, and page id in the head."""
+    cut = body.find(b"\r\n\r\n") + 4 if body.startswith(b"HTTP/") else 0
     head, payload = (body[:cut], body[cut:]) if cut >= 4 else (b"", body)
     page = _PAGE.search(head)
+    return head, payload, int(page[1]) if page else None
+
+
+def to_warc(rec: dict) -> dict:
+    """An ARC record as the parts of an equivalent WARC record."""
+    head, payload, page = parts_of(rec["body"])
+    http, said = rec["body"].startswith(b"HTTP/"), digest(payload)
     return {
         "url": rec["URL"], "date": iso_date(rec["Archive-date"]), "ip": rec["IP-address"],
         "type": "response" if http else "resource", "mime": "application/http; msgtype=response" if http else rec["Content-type"],
-        "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{rec['URL']} {rec['Archive-date']} {digest(body)}")),
-        "head": head, "payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload),
-        "page_id": int(page[1]) if page else None,
+        "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{rec['URL']} {rec['Archive-date']} {page} {said}")),
+        "head": head, "payload": payload, "payload_bytes": len(payload), "payload_digest": said, "page_id": page,
     }
 
 
@@ -150,103 +158,114 @@ def unpack(content: bytes) -> bytes:
     return b"".join(out) if out else content
 
 
+def pack(data: bytes) -> bytes:
+    return zlib.compress(data, GZIP_LEVEL, 31)
+
+
 def write_archive(chunks: DataFrame, path: str) -> None:
-    """Writes binary rows (value), gzipped, each followed by a line feed that the parsers skip."""
-    chunks.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    """Writes binary rows (value) of gzip members; between them stand empty members."""
+    text = chunks.select(F.col("value").cast("string").alias("value"))
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", pack(b"").decode("latin-1")).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _chunks(records: Iterator[bytes], head: bytes) -> Iterator[pa.RecordBatch]:
-    part, size = [head], 0
-    for r in records:
-        part.append(r)
-        size += len(r)
-        if size >= CHUNK:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(part)], pa.binary())], ["value"])
-            part, size = [head], 0
-    if size:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(part)], pa.binary())], ["value"])
+class Chunks:
+    """Records gathered to archive rows that each start with head."""
 
+    def __init__(self, head: bytes):
+        self.head, self.parts, self.size = pack(head), [], 0
 
-def pages_to_arc(pages: DataFrame, path: str) -> None:
-    """Writes pages (page_id, url, html) as ARC archives, of both versions; null html is empty, a null address urn:page."""
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        self.parts.append(pack(record))
+        self.size += len(record)
+        if self.size >= CHUNK:
+            yield from self.end()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(batches):
-            version, name = k % 2 + 1, "pages.arc"
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join([self.head, *self.parts])], pa.binary())], ["value"])
+        self.parts, self.size = [], 0
 
-            def records(b=b, version=version, name=name) -> Iterator[bytes]:
-                for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                    payload = (html or "").encode()
-                    head = "HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Page-Id: {page}\r\n" if page is not None else "") + f"Content-Length: {len(payload)}\r\n\r\n"
-                    yield arc_record(version, url or "urn:page", head.encode() + payload, name)
 
-            yield from _chunks(records(), arc_head(version, name))
+def pages_to_arc(pages: DataFrame, path: str) -> None:
+    """Writes pages (page_id, url, html) as ARC archives, odd page_ids and those without one in version 1, even ones in version 2.
 
-    write_archive(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(pack, "value binary"), path)
+    Null html is empty, a null address is urn:page; other columns are ignored.
+    """
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = "pages.arc"
+        archives = {v: Chunks(arc_head(v, name)) for v in ARC_FIELDS}
+        for b in batches:
+            for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                version = 1 if page is None else 2 - page % 2
+                payload = (html or "").encode()
+                head = "HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Page-Id: {page}\r\n" if page is not None else "") + f"Content-Length: {len(payload)}\r\n\r\n"
+                yield from archives[version].add(arc_record(version, url or "urn:page", head.encode() + payload, name))
+        for x in archives.values():
+            yield from x.end()
 
-_FACTS = {"page_id": pa.int64(), "record_id": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
-_FULL = _FACTS | {"url": pa.string(), "date": pa.string(), "ip": pa.string(), "type": pa.string(), "mime": pa.string(), "head": pa.binary(), "payload": pa.binary()}
-_DDL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    write_archive(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(write, "value binary"), path)
 
 
-def arc_records(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
-    """The converted records of the ARC archives at path; without head and payload unless full."""
-    cols = _FULL if full else _FACTS
+def arc_facts(spark: SparkSession, path: str) -> DataFrame:
+    """path, version, page_id, record_id, payload_bytes, payload_digest of the records of the ARC archives at path, as converted."""
+    names = ("version", "page_id", "record_id", "payload_bytes", "payload_digest")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows, size = [], 0
-                for rec in parse_arc(unpack(content.as_py())):
-                    rows.append(to_warc(rec))
-                    size += len(rec["body"]) if full else 100
-                    if size > CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in cols.items()], list(cols))
-                        rows, size = [], 0
+            for at, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                rows = [(rec["version"], *(w[c] for c in names[1:])) for rec in parse_arc(unpack(content.as_py())) for w in [to_warc(rec)]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in cols.items()], list(cols))
+                    cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows)), *cols], ["path", *names])
+
+    return read_archive(spark, path).mapInArrow(read, "path string, version int, page_id long, record_id string, payload_bytes long, payload_digest string")
+
 
-    return read_archive(spark, path).mapInArrow(convert, ", ".join(f"{c} {_DDL[t]}" for c, t in cols.items()))
+def revisits(facts: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """path and list (digest, bytes, page, record) of the payloads in an archive of which another record is the response."""
+    facts = facts.filter(F.col("payload_bytes") >= min_bytes)
+    by = ["payload_digest", "payload_bytes"]
+    first = facts.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")).alias("f"))
+    first = stage(first.filter("n > 1").select(*by, F.col("f.page_id").alias("page"), F.col("f.record_id").alias("record")), "payloads")
+    few = first.count() <= MAX_BROADCAST_PAYLOADS
+    again = facts.join(F.broadcast(first) if few else first, by).filter(~F.col("page_id").eqNullSafe(F.col("page")))
+    return again.select("path", F.struct(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"), "page", "record").alias("x")).groupBy("path").agg(F.collect_set("x").alias("list"))
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """Converts the archives at arc_path; of equal payloads of at least min_bytes only the one with the smallest page_id is stored.
 
-    Rows that share that smallest page_id and payload are all responses; a null page_id comes after any other.
+    Rows that share that smallest page_id and payload are all responses; a null page_id comes after any other, and
+    records of which none has a page_id are all responses.
     """
-    facts = arc_records(spark, arc_path, full=False).filter(F.col("payload_bytes") >= min_bytes)
-    first = facts.groupBy(F.col("payload_digest").alias("fd"), F.col("payload_bytes").alias("fb")).agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")).alias("f")
-    )
-    first = first.filter("n > 1").select("fd", "fb", F.col("f.page_id").alias("first_page"), F.col("f.record_id").alias("first_record"))
-    few = first.limit(MAX_BROADCAST_PAYLOADS + 1).count() <= MAX_BROADCAST_PAYLOADS
-    recs = arc_records(spark, arc_path)
-    same = (F.col("payload_digest") == F.col("fd")) & (F.col("payload_bytes") == F.col("fb"))
-    joined = recs.join(F.broadcast(first) if few else first, same, "left").drop("fd", "fb")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:6a5fd5f0-0f5c-5d5e-9c4c-3c9b7a4ac2a1>"), ("WARC-Date", iso_date(ARC_DATE)), ("Content-Type", "application/warc-fields")], b"software: twinfold\r\nformat: WARC File Format 1.0\r\n")
+    lists = stage(revisits(stage(arc_facts(spark, arc_path), "facts"), min_bytes), "revisits")
+    few = (lists.agg(F.sum(F.size("list"))).first()[0] or 0) <= MAX_BROADCAST_PAYLOADS
+    archives = read_archive(spark, arc_path).join(F.broadcast(lists) if few else lists, "path", "left").select("content", "list")
 
-        def records() -> Iterator[bytes]:
-            for b in batches:
-                for r in b.to_pylist():
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:6a5fd5f0-0f5c-5d5e-9c4c-3c9b7a4ac2a1>"), ("WARC-Date", iso_date(ARC_DATE)), ("Content-Type", "application/warc-fields")], b"software: twinfold\r\nformat: WARC File Format 1.0\r\n")
+        out = Chunks(info)
+        for b in batches:
+            for content, known in zip(b.column("content"), b.column("list").to_pylist(), strict=True):
+                first = {(x["digest"], x["bytes"]): x for x in known or ()}
+                for rec in parse_arc(unpack(content.as_py())):
+                    r = to_warc(rec)
                     fields = [("WARC-Record-ID", f"<urn:uuid:{r['record_id']}>"), ("WARC-Target-URI", r["url"]), ("WARC-Date", r["date"]), ("WARC-IP-Address", r["ip"]), ("Content-Type", r["mime"]), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}")]
-                    block = r["head"] + r["payload"]
-                    if r["first_record"] is not None and r["page_id"] != r["first_page"]:
-                        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{r['first_record']}>"), ("X-Refers-To-Page", str(r["first_page"])), ("X-Payload-Length", str(r["payload_bytes"]))]
+                    f = first.get((r["payload_digest"], r["payload_bytes"]))
+                    if f and r["page_id"] != f["page"]:
+                        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{f['record']}>"), ("X-Refers-To-Page", str(f["page"])), ("X-Payload-Length", str(r["payload_bytes"]))]
                         kind, block = "revisit", r["head"]
                     else:
-                        kind = r["type"]
-                    yield warc_record([("WARC-Type", kind), *fields, ("WARC-Block-Digest", f"sha1:{digest(block)}")], block)
-
-        yield from _chunks(records(), info)
+                        kind, block = r["type"], rec["body"]
+                    yield from out.add(warc_record([("WARC-Type", kind), *fields, ("WARC-Block-Digest", f"sha1:{digest(block)}")], block))
+        yield from out.end()
 
-    write_archive(joined.mapInArrow(pack, "value binary"), warc_path)
+    write_archive(archives.mapInArrow(convert, "value binary"), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -254,24 +273,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Digests are computed anew; one that differs from its header raises ValueError.
     """
+    ddl = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     cols = {"page_id": pa.int64(), "url": pa.string(), "record_id": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
+            for content in b.column("content"):
                 rows, size = [], 0
                 for f, block in parse_warc(unpack(content.as_py())):
                     if f["WARC-Type"] == "warcinfo":
                         continue
                     if f["WARC-Block-Digest"] != f"sha1:{digest(block)}":
                         raise ValueError(f"block digest of {f['WARC-Record-ID']} differs")
-                    cut = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
-                    head, payload = block[:cut], block[cut:]
-                    page, revisit = _PAGE.search(head), f["WARC-Type"] == "revisit"
+                    _, payload, page = parts_of(block)
+                    revisit = f["WARC-Type"] == "revisit"
                     said = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and digest(payload) != said:
                         raise ValueError(f"payload digest of {f['WARC-Record-ID']} differs")
-                    rows.append((int(page[1]) if page else None, f["WARC-Target-URI"], f["WARC-Record-ID"].strip("<>"), int(f["X-Payload-Length"]) if revisit else len(payload), said, f["WARC-Type"], int(f["X-Refers-To-Page"]) if revisit else None, None if revisit else payload))
+                    rows.append((page, f["WARC-Target-URI"], f["WARC-Record-ID"].strip("<>"), int(f["X-Payload-Length"]) if revisit else len(payload), said, f["WARC-Type"], int(f["X-Refers-To-Page"]) if revisit else None, None if revisit else payload))
                     size += len(block)
                     if size > CHUNK:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), cols.values(), strict=True)], list(cols))
@@ -279,10 +298,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), cols.values(), strict=True)], list(cols))
 
-    return read_archive(spark, path).mapInArrow(parse, ", ".join(f"{c} {_DDL[t]}" for c, t in cols.items()))
+    return read_archive(spark, path).select("content").mapInArrow(parse, ", ".join(f"{c} {ddl[t]}" for c, t in cols.items()))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC 1 or 2, by its id, to WARC and back."""
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     pages_to_arc(table(spark, sf_dir, "pages"), arc)
     arc_to_warc(spark, arc, warc)
@@ -297,7 +317,7 @@ g AS (SELECT *, '0x' || substr(hex, 1, 10) AS a1, '0x' || substr(hex, 11, 10) AS
         min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM h)
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(flatten(list_transform([a1, a2, a3, a4], lambda a: list_transform(range(8), lambda i: (a::BIGINT >> (35 - 5 * i)) & 31))), lambda v: substr('{_BASE32}', v::INT + 1, 1)), '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM g
 """
