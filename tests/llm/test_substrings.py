@@ -52,7 +52,21 @@ def test_equals_brute_force_on_made_rows(spark):
         a, n = rng.randint(0, 300), rng.randint(0, 120)
         rows.append((rng.randint(0, 50), "".join(rng.choice("xyz") for _ in range(rng.randint(0, 80))) + common[a : a + n] + "".join(rng.choice("xyz") for _ in range(30))))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert got(S.remove_repeats(d)) == plain(rows)
+    want = plain(rows)
+    for hot in (0, 1, S.HOT_BLOCKS):
+        assert got(S.remove_repeats(d, hot=hot)) == want
+
+
+def test_suffix_order_and_common_prefixes():
+    rng = random.Random(7)
+    for length in (3, 4, 8, 11, 16, 50):
+        for letters in ("ab", "abcdefgh"):
+            text = "".join(rng.choice(letters) for _ in range(400)).encode() * 2
+            at = np.array(sorted(rng.sample(range(len(text) - length + 1), 200)))
+            order, lcp = S.suffix_order(np.frombuffer(text, np.uint8), at, length)
+            w = [text[i : i + length] for i in at[order]]
+            assert w == sorted(w)
+            assert lcp.tolist() == [0] + [next((i for i in range(length) if x[i] != y[i]), length) for x, y in zip(w, w[1:])]
 
 
 def test_query_equals_brute_force(spark, sf_dir):

@@ -6,20 +6,22 @@ strings are first dealt so that equal ones meet:
 
 1. Every window of ``length`` bytes takes the least hash of its GRAM-byte pieces as its key; equal windows have equal
    keys. Neighbouring windows mostly share a key and form a run. Documents are held in blocks (by hash of the id), and
-   each block sends its distinct keys; a key that other documents have too comes back.
-2. Blocks send the bytes of the runs with such keys, equal runs once. Where the keys meet, all
+   each block sends its distinct keys; a key that other documents have too comes back, with a mark if many blocks have it.
+2. Blocks send the bytes of the runs with such keys, equal runs once. Runs of marked (hot) keys are parted again, by the least of a
+   second hash of the same pieces, and equal ones of several blocks are made one in salted tasks first; so neither a
+   piece with many contexts nor a passage in many documents fills one task. Where the keys meet, all
    windows are sorted as suffixes; longest common prefixes of neighbours, and the previous and next
    suffix with a smaller document in suffix order, give each window's longest previous factor.
 3. Windows whose factor reaches the length come back as byte ranges, are united, and removed.
 
-Hashes only bring windows together; bytes decide. Runs between tasks are packed in binary cells. A passage that a third of the
-documents share is sent once for each block.
+Hashes only bring windows together; bytes decide. Runs between tasks are packed in binary cells.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,14 @@ KEYS_BYTES = 6 << 20
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 17
 LAST = np.iinfo(np.int64).max
+#: Blocks that have a key beyond which it is hot. This deals work only; any number gives the same result.
+HOT_BLOCKS = 48
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def window_keys(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """For each window of length bytes that starts in data, its key; data holds at least length bytes."""
+def window_keys(data: bytes, length: int = LENGTH, gram: int = GRAM, second: bool = False) -> np.ndarray:
+    """For each window of length bytes that starts in data, its key (or second key); data holds at least length bytes."""
     n = len(data)
     raw = data + b"\0" * 8
     x = np.ndarray((n + 1,), dtype="<u8", buffer=raw, strides=(1,)).copy()
@@ -54,6 +58,9 @@ def window_keys(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarr
     h ^= h >> np.uint64(32)
     h *= _M[3]
     h ^= h >> np.uint64(29)
+    if second:
+        h *= _M[0]
+        h ^= h >> np.uint64(31)
     width, step = length - gram + 1, 1
     while step * 2 <= width:
         h = np.minimum(h[:-step], h[step:])
@@ -120,6 +127,43 @@ def previous_factors(order: np.ndarray, lcp: np.ndarray, doc: np.ndarray, enough
     return out
 
 
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of data that start at ``at``, by their first length bytes, and the common prefix of each with the one before.
+
+    Eight bytes at a time, from the first: only suffixes that are still equal to a neighbour are sorted on.
+    """
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype=">u8", buffer=raw, strides=(1,))
+    width = min(8, length)
+    cut = np.uint64(64 - 8 * width)
+
+    def column(rows: np.ndarray, off: int) -> np.ndarray:
+        return eight[at[rows] + off].astype(np.uint64) >> cut
+
+    n = len(at)
+    order, lcp, new = np.arange(n), np.full(n, length, dtype=np.int64), np.zeros(n, dtype=bool)
+    new[:1] = True
+    lcp[:1] = 0
+    for off in [*range(0, length - width + 1, 8), length - width] if length % 8 else range(0, length, 8):
+        edge = np.append(new[1:], True)
+        live = np.flatnonzero(~(new & edge))  # in a group of several
+        if not len(live):
+            break
+        rows, group = order[live], np.cumsum(new)[live]
+        x = column(rows, off)
+        by = np.lexsort((x, group)) if off else np.argsort(x, kind="stable")
+        order[live], x = rows[by], x[by]
+        differ = np.flatnonzero((x[1:] != x[:-1]) & ~new[live[1:]]) + 1
+        places = live[differ]
+        new[places] = True
+        diff = (x[differ] ^ x[differ - 1]) << cut
+        same = np.zeros(len(diff), dtype=np.int64)  # equal bytes of the eight
+        for k in range(1, 8):
+            same += diff >> np.uint64(64 - 8 * k) == 0
+        lcp[places] = off + same
+    return order, lcp
+
+
 def factor_lengths(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each content and each of its windows: the longest previous factor up to length, by document."""
     counts = np.array([len(c) - length + 1 for c in contents])
@@ -128,10 +172,7 @@ def factor_lengths(contents: list[bytes], docs: np.ndarray, length: int = LENGTH
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     first = np.cumsum([0, *map(len, contents)])[:-1]
     at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    rows = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-    order = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
-    same = rows[order[1:]] == rows[order[:-1]]
-    lcp = np.concatenate([[0], np.where(same.all(1), length, same.argmin(1))]).astype(np.int64)
+    order, lcp = suffix_order(data, at, length)
     got = previous_factors(order, lcp, np.repeat(docs, counts), length)
     return np.split(got, np.cumsum(counts)[:-1])
 
@@ -165,8 +206,8 @@ def _table(cols: dict, schema: pa.Schema) -> pa.Table:
 
 
 _KEYS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("one", pa.binary()), ("more", pa.binary())])
-_LISTS = pa.schema([("block", pa.int64()), ("keys", pa.binary())])
-_RUNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("heads", pa.binary()), ("bytes", pa.binary()), ("ranges", pa.binary())])
+_LISTS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
+_RUNS = pa.schema([("bucket", pa.int64()), ("salt", pa.int64()), ("block", pa.int64()), ("heads", pa.binary()), ("bytes", pa.binary()), ("ranges", pa.binary())])
 _RANGES = pa.schema([("block", pa.int64()), ("ranges", pa.binary())])
 
 
@@ -194,54 +235,81 @@ def send_keys(t: pa.Table, n_buckets: int, length: int, gram: int) -> pa.Table:
     return _table(out, _KEYS)
 
 
-def shared_keys(t: pa.Table) -> pa.Table:
-    """Step 1 of a bucket: for each block its keys that several documents have."""
-    blocks, one, more = t.column("block").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("one").to_pylist()], [np.frombuffer(x, np.uint64) for x in t.column("more").to_pylist()]
-    every = np.sort(np.concatenate([*one, *more]))
-    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *more]))
-    out: dict[str, list] = {"block": [], "keys": []}
-    for b, x, y in zip(blocks, one, more, strict=True):
-        both = np.concatenate([x[np.isin(x, twice)], y])
-        if len(both):
-            out["block"].append(b)
-            out["keys"].append(both.tobytes())
+def shared_keys(t: pa.Table, hot: int) -> pa.Table:
+    """Step 1 of a bucket: for each block its keys that several documents have, and which of these more than hot blocks have."""
+    one, more = ([np.frombuffer(x, np.uint64) for x in t.column(c).to_pylist()] for c in ("one", "more"))
+    sizes = [(len(x), len(y)) for x, y in zip(one, more, strict=True)]
+    keys = np.concatenate([z for x in zip(one, more, strict=True) for z in x])
+    known = np.repeat([z for _ in sizes for z in (False, True)], [z for x in sizes for z in x])
+    row = np.repeat(np.arange(len(sizes)), [sum(x) for x in sizes])
+    order = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.empty(0, np.int64)
+    n = np.diff(np.append(new, len(keys)))  # blocks with the key
+    shared = np.empty(len(keys), dtype=bool)
+    many = np.empty(len(keys), dtype=bool)
+    if len(keys):
+        shared[order] = np.repeat((n > 1) | np.logical_or.reduceat(known[order], new), n)
+        many[order] = np.repeat(n > hot, n)
+    cuts = np.searchsorted(row, np.arange(len(sizes) + 1))
+    out: dict[str, list] = {"block": [], "keys": [], "hot": []}
+    for block, a, b in zip(t.column("block").to_pylist(), cuts, cuts[1:], strict=False):
+        at = np.flatnonzero(shared[a:b]) + a
+        if len(at):
+            out["block"].append(block)
+            out["keys"].append(keys[at].tobytes())
+            out["hot"].append(many[at].tobytes())
     return _table(out, _LISTS)
 
 
-def send_runs(t: pa.Table, lists: pa.Table, n_buckets: int, length: int, gram: int) -> pa.Table:
-    """Step 2 of a block: the runs with shared keys, equal ones once, for its smallest document; later documents' copies are ranges at once."""
+def send_runs(t: pa.Table, lists: pa.Table, n_buckets: int, n_salts: int, length: int, gram: int) -> pa.Table:
+    """Step 2 of a block: the runs with shared keys, equal ones once, for its smallest document; later documents' copies are ranges at once.
+
+    Runs of hot keys are parted by the second key, and salted by block.
+    """
     out: dict[str, list] = {f.name: [] for f in _RUNS}
     if not t.num_rows or not lists.num_rows:
         return _table(out, _RUNS)
     docs, ids, _ = block_rows(t)
     block = t.column("block")[0].as_py()
-    keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in lists.column("keys").to_pylist()]))
+    keys, hot = (np.concatenate([np.frombuffer(x, kind) for x in lists.column(c).to_pylist()]) for c, kind in (("keys", np.uint64), ("hot", bool)))
+    order = np.argsort(keys)
+    keys, hot = keys[order], hot[order]
     first: dict[bytes, int] = {}
-    send: dict[int, tuple[list, list]] = {}
+    send: dict[tuple[int, int], tuple[list, list]] = {}
     local: list[tuple[int, int, int]] = []
+
+    def put(bucket: int, salt: int, p: int, s: int, content: bytes) -> None:
+        d = int(ids[p])
+        if first.setdefault(content, d) < d:
+            local.append((p, s, s + len(content)))
+            return
+        heads, parts = send.setdefault((bucket, salt), ([], []))
+        heads.append((d, p, s, len(content)))
+        parts.append(content)
+
     for k, place, start, n in runs(docs, length, gram):
         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        for i in np.flatnonzero(keys[at] == k):  # in the order of ids
-            p, s, m = int(place[i]), int(start[i]), int(n[i])
+        hits = np.flatnonzero(keys[at] == k)  # in the order of ids
+        for bucket, many, p, s, m in zip((k[hits] % np.uint64(n_buckets)).tolist(), hot[at[hits]].tolist(), place[hits].tolist(), start[hits].tolist(), n[hits].tolist(), strict=True):
             content = docs[p][s : s + m + length - 1]
-            d = int(ids[p])
-            if first.setdefault(content, d) < d:
-                local.append((p, s, s + m + length - 1))
+            if not many:
+                put(bucket, -1, p, s, content)
                 continue
-            heads, parts = send.setdefault(int(k[i] % np.uint64(n_buckets)), ([], []))
-            heads.append((d, p, s, len(content)))
-            parts.append(content)
-    for bucket, (heads, parts) in send.items():
-        for name, x in zip(out, (bucket, block, np.array(heads, np.int64).tobytes(), b"".join(parts), None), strict=True):
+            second = window_keys(content, length, gram, second=True)
+            edges = [0, *(np.flatnonzero(second[1:] != second[:-1]) + 1).tolist(), m]
+            for a, b in zip(edges, edges[1:], strict=False):
+                put((bucket + int(second[a] % np.uint64(n_buckets))) % n_buckets, block % n_salts, p, s + a, content[a : b + length - 1])
+    for (bucket, salt), (heads, parts) in send.items():
+        for name, x in zip(out, (bucket, salt, block, np.array(heads, np.int64).tobytes(), b"".join(parts), None), strict=True):
             out[name].append(x)
     if local:
-        for name, x in zip(out, (block % n_buckets, block, None, None, np.array(local, np.int64).tobytes()), strict=True):
+        for name, x in zip(out, (block % n_buckets, -1, block, None, None, np.array(local, np.int64).tobytes()), strict=True):
             out[name].append(x)
     return _table(out, _RUNS)
 
 
-def find_ranges(t: pa.Table, length: int) -> pa.Table:
-    """Step 2 of a bucket: byte ranges to remove, for each block."""
+def unpack_runs(t: pa.Table) -> tuple[dict[int, list[np.ndarray]], list[tuple[int, int, int, int]], list[bytes], dict[bytes, int]]:
+    """Ranges found before by block; block, document, place and start of each run; its bytes; and the smallest document of equal bytes."""
     found: dict[int, list[np.ndarray]] = {}
     heads, contents = [], []
     for block, h, data, ranges in zip(*(t.column(c).to_pylist() for c in ("block", "heads", "bytes", "ranges")), strict=True):
@@ -253,10 +321,40 @@ def find_ranges(t: pa.Table, length: int) -> pa.Table:
                 heads.append((block, d, p, s))
                 contents.append(data[at : at + n])
                 at += n
-    # equal contents: only the smallest document's can be new
     low: dict[bytes, int] = {}
     for (_, d, _, _), c in zip(heads, contents, strict=True):
-        low[c] = min(low.get(c, d), d)
+        if low.setdefault(c, d) > d:
+            low[c] = d
+    return found, heads, contents, low
+
+
+def merge_runs(t: pa.Table) -> pa.Table:
+    """Hot runs of some blocks: of equal ones the smallest document's goes on, later documents' are ranges."""
+    out: dict[str, list] = {f.name: [] for f in _RUNS}
+    bucket = t.column("bucket")[0].as_py()
+    _, heads, contents, low = unpack_runs(t)
+    gone: dict[int, list] = {}
+    left: dict[int, tuple[list, list]] = {}
+    for (block, d, p, s), c in zip(heads, contents, strict=True):
+        if d > low[c]:
+            gone.setdefault(block, []).append((p, s, s + len(c)))
+        else:
+            h, parts = left.setdefault(block, ([], []))
+            h.append((d, p, s, len(c)))
+            parts.append(c)
+    for block, (h, parts) in left.items():
+        for name, x in zip(out, (bucket, -1, block, np.array(h, np.int64).tobytes(), b"".join(parts), None), strict=True):
+            out[name].append(x)
+    for block, x in gone.items():
+        for name, v in zip(out, (bucket, -1, block, None, None, np.array(x, np.int64).tobytes()), strict=True):
+            out[name].append(v)
+    return _table(out, _RUNS)
+
+
+def find_ranges(t: pa.Table, length: int) -> pa.Table:
+    """Step 2 of a bucket: byte ranges to remove, for each block."""
+    found, heads, contents, low = unpack_runs(t)
+    # the factor arrays are of the distinct contents, each of its smallest document: a later document's equal content goes whole
     distinct = list(low)
     lengths = dict(zip(distinct, factor_lengths(distinct, np.array([low[c] for c in distinct], np.int64), length), strict=True))
     more: dict[int, list[tuple[int, int, int]]] = {}
@@ -290,7 +388,7 @@ def cut(t: pa.Table, ranges: pa.Table, with_text: bool) -> pa.Table:
     return pa.table(out)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes) of each row of docs (doc_id integer, text).
 
     Null text is empty. Rows with equal ids don't remove each other's bytes; a row without an id counts as the last, so
@@ -300,7 +398,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, n_buckets = max(conf, total // BLOCK_BYTES), max(conf, total // KEYS_BYTES)
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"))
+    n_salts = ceil(sqrt(n_blocks))
+    # rows with equal ids meet in a block by text only where there is none: equal ids never remove each other's bytes
+    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.md5("text"))), F.lit(n_blocks)).alias("block")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block)
     by_block = each.groupBy("block")
 
     def ddl(s: pa.Schema) -> str:
@@ -309,8 +410,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     def keys_of(t: pa.Table) -> pa.Table:
         return send_keys(t, n_buckets, length, gram)
 
+    def shared_of(t: pa.Table) -> pa.Table:
+        return shared_keys(t, hot)
+
     def runs_of(t: pa.Table, lists: pa.Table) -> pa.Table:
-        return send_runs(t, lists, n_buckets, length, gram)
+        return send_runs(t, lists, n_buckets, n_salts, length, gram)
 
     def ranges_of(t: pa.Table) -> pa.Table:
         return find_ranges(t, length)
@@ -319,9 +423,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         return cut(t, ranges, with_text)
 
     keys = by_block.applyInArrow(keys_of, ddl(_KEYS))
-    lists = stage(keys.groupBy("bucket").applyInArrow(shared_keys, ddl(_LISTS)), "keys")
-    found = by_block.cogroup(lists.groupBy("block")).applyInArrow(runs_of, ddl(_RUNS))
-    ranges = stage(found.groupBy("bucket").applyInArrow(ranges_of, ddl(_RANGES)), "ranges")
+    lists = stage(keys.groupBy("bucket").applyInArrow(shared_of, ddl(_LISTS)), "keys")
+    found = stage(by_block.cogroup(lists.groupBy("block")).applyInArrow(runs_of, ddl(_RUNS)), "runs")
+    merged = found.filter("salt >= 0").groupBy("bucket", "salt").applyInArrow(merge_runs, ddl(_RUNS))
+    met = found.filter("salt < 0").unionByName(merged)
+    ranges = stage(met.groupBy("bucket").applyInArrow(ranges_of, ddl(_RANGES)), "ranges")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return by_block.cogroup(ranges.groupBy("block")).applyInArrow(rest_of, out)
 
