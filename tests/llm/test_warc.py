@@ -1,4 +1,5 @@
 import gzip
+import random
 import zlib
 
 import pytest
@@ -33,6 +34,11 @@ def test_damage_is_reported(bad):
 
 def test_unpack_members():
     assert warc.unpack(gzip.compress(b"ab") + gzip.compress(b"cd")) == b"abcd"
+    long = bytes(random.Random(1).randbytes(100_000))
+    assert warc.unpack(gzip.compress(long) + gzip.compress(b"") + gzip.compress(long[:5])) == long + long[:5]
+    assert warc.unpack(b"plain") == b"plain"
+    with pytest.raises(ValueError, match="cut"):
+        warc.unpack(gzip.compress(long)[:-9])
 
 
 def test_revisits_nulls_and_repeats(spark):

@@ -34,6 +34,8 @@ FILE_ROWS = 4
 #: Shared payloads, or revisits, up to which their table is broadcast; beyond it is joined by a shuffle.
 MAX_BROADCAST_PAYLOADS = 50_000
 GZIP_LEVEL = 1
+#: Bytes that a member is given at a time.
+PIECE = 8 << 10
 ARC_DATE = "20240101000000"
 # Fixed values of the two ARC versions: names of the fields of a record's line.
 ARC_FIELDS = {
@@ -149,13 +151,19 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def unpack(content: bytes) -> bytes:
-    """The content, after gunzip (of all members) if it is compressed."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
+    """The content, after gunzip of all members if it is compressed. Members get the content in pieces, so what follows them is not copied each time."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, view, at = [], memoryview(content), 0
+    while at < len(view) and view[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(content) + z.flush())
-        content = z.unused_data
-    return b"".join(out) if out else content
+        while not z.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        if not z.eof:
+            raise ValueError(f"the member that ends at byte {at} is cut")
+    return b"".join(out)
 
 
 def pack(data: bytes) -> bytes:
