@@ -247,13 +247,20 @@ def _with_parts(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     return rows.join(_few(parts, parts.count()), "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
 
 
-def one_pair_each(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """(a, b): of each document and hash of its, one document of another part with this hash, the first by part or else the last; no task has all rows of a hash."""
+def one_pair_each(rows: DataFrame, parts: DataFrame | None, similarity: float) -> DataFrame:
+    """(a, b): of each document and hash of its, one document of another part with this hash, the first by part or else the last, if sizes and places allow the similarity.
+
+    No task has all rows of a hash.
+    """
     rows = _with_parts(rows, parts)
-    at = F.struct("part", "id")
+    at = F.struct("part", "id", "size", "pos")
     ends = rows.groupBy("h").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low.part <> high.part")
-    to = F.when(F.col("part") != F.col("low.part"), F.col("low.id")).otherwise(F.col("high.id"))
-    return rows.join(ends, "h").filter((F.col("part") != F.col("low.part")) | (F.col("part") != F.col("high.part"))).select("id", to.alias("to")).select(*_pairs("id", "to")).distinct()
+    to = F.when(F.col("part") != F.col("low.part"), F.col("low")).when(F.col("part") != F.col("high.part"), F.col("high"))
+    met = rows.join(ends, "h").withColumn("to", to).filter("to is not null")
+    both = F.least(F.col("size") - F.col("pos"), F.col("to.size") - F.col("to.pos"))
+    near = F.least("size", "to.size") >= similarity * F.greatest("size", "to.size")
+    met = met.filter(near & (both >= similarity * (F.col("size") + F.col("to.size") - both) - 1e-9))
+    return met.select("id", F.col("to.id").alias("to")).select(*_pairs("id", "to")).distinct()
 
 
 def all_pairs(rows: DataFrame, parts: DataFrame | None, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -289,18 +296,20 @@ def groups(docs: DataFrame, each: DataFrame, classes: DataFrame, shingle: int, s
 
     parts = joined()
     rows = prefix_rows(docs, classes.select(F.col("first").alias("id")), each.select(F.explode("heavy").alias("x")).select("x.h", "x.n"), shingle, similarity)
+    last = False
     for turn in range(rounds + 1):
-        met = one_pair_each(rows, parts) if turn < rounds else all_pairs(rows, parts, similarity)
+        last = last or turn == rounds
+        met = all_pairs(rows, parts, similarity) if last else one_pair_each(rows, parts, similarity)
         met = stage(met.join(pairs, ["a", "b"], "left_anti"), "met")
-        if met.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        pairs = stage(pairs.unionByName(met), "tried") if turn < rounds else pairs
         more = verified(docs, met, shingle, similarity)
-        if not more.isEmpty():
+        found = not more.isEmpty()
+        if found:
             edges = edges.unionByName(more)
             parts = joined()
+        if last:
+            return parts
+        pairs = stage(pairs.unionByName(met), "tried")
+        last = not found  # another such round would find little more; the next one finds all
     return parts
 
 
