@@ -40,8 +40,14 @@ def kept(spark, texts, **more):
 
 
 def test_sets_equal_plain_ones():
-    for t in ("", None, "a", "One, two  three.", "(A) b c d e f! A b C d e", "- * |", "Äb c d e f " * 30):
-        assert len(N.shingle_set(t, 5)) == len(plain_set(t))
+    texts = ["", None, "a", "One, two  three.", "(A) b c d e f! A b C d e", "- * |", "Äb c d e f " * 30, *(f"w{i} " * (i % 9) + "x, " * (i % 4) for i in range(60))]
+    texts += [" ".join(f"v{i * i}" for i in range(60_000)), "z" * 400_000 + " y", "last one, of them all here"]
+    sets = list(N.shingle_sets(texts, 5))
+    assert [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
+    by = {}
+    for t, s in zip(texts, sets, strict=True):
+        assert by.setdefault(frozenset(plain_set(t)), s.tobytes()) == s.tobytes()
+        assert (s == N.shingle_set(t, 5)).all()
     assert (N.shingle_set("A, b. C d e f", 5) == N.shingle_set("a b c D e f!", 5)).all()
 
 
@@ -64,6 +70,19 @@ def variants(rng, n, words, edits):
     return out
 
 
+def test_fingerprints_of_many_texts_are_those_of_each():
+    texts = ["", "a", "a b", None, *("w%d " % i * (i % 700) + "x y" for i in range(1, 3000, 7)), "end"]
+    got = []
+    for _, _, h, ends in N.word_chunks(texts):
+        got += N.majorities(*N.shingles(h, ends, 2)).tolist()
+    for t, fp in zip(texts, got, strict=True):
+        h, ends = next((h, e) for _, _, h, e in N.word_chunks([t]))
+        x, a, b = N.shingles(h, ends, 2)
+        x = x[a[0] : b[0]].tolist()
+        want = sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in x) > len(x)) if x else 0
+        assert fp & (1 << 64) - 1 == want
+
+
 @pytest.mark.parametrize("settings", [{}, {"radius": 3}, {"rounds": 0}, {"block": 5}, {"late": 3}])
 def test_links_depend_on_nothing_but_the_texts(spark, monkeypatch, settings):
     """Groups of copies with scattered changes, chains, a passage that all share, short texts; whatever fingerprints, rounds, blocks and orders find first."""
@@ -93,8 +112,8 @@ def test_prefixes_meet():
     for _ in range(2000):
         a = np.unique(rng.integers(0, 300, int(rng.integers(1, 30))).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 300, 1).astype(np.uint64)]))
-        for order in ((late, rank), (late[:0], rank[:0])):
-            p, q = (N.prefix_of(x, *order, 0.8) for x in (a, b))
+        for order in (N.Order(late, rank), N.Order(late[:0], rank[:0])):
+            p, q = (order.prefix(x, 0.8) for x in (a, b))
             assert set(p.tolist()) <= set(a.tolist())
             assert not N.similar(a, b, 0.8) or set(p.tolist()) & set(q.tolist())
 

@@ -15,7 +15,9 @@ Documents are linked if the Jaccard similarity of their sets of word shingles re
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from math import ceil
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .simhash import _sorted_runs, forest, majority
+from .simhash import _sorted_runs, forest, majorities
 from ..operators.graph import components
 
 #: Punctuation that is cut off both ends of a word.
@@ -39,6 +41,8 @@ MAX_BROADCAST_SHARED = 200_000
 #: Hashes that so many sets and this share of the sets of a stretch of documents hold go to the end of the order, the most frequent
 #: MAX_LATE of them at most. Any order finds every pair; this only saves comparisons.
 LATE, LATE_SHARE, MAX_LATE = 8, 0.001, 100_000
+#: Low bits by which late hashes are told from others.
+LATE_BITS = 22
 #: Hashes that a task gathers before it counts them.
 COUNTED = 1 << 22
 #: Documents that share a hash beyond which they are compared block by block.
@@ -47,65 +51,151 @@ BLOCK = 4096
 PAIRS_HELD = 1 << 20
 #: Rounds that verify one pair of each document with another part, before all remaining pairs.
 ROUNDS = 2
-#: Words whose hashes a task keeps.
-KEPT_WORDS = 1 << 20
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 17
+BASE = 0xD6E8FEB86659FD93
 _M = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """Hash of each word in lower case without punctuation at its ends; 0 if nothing is left."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        bare = word.strip(PUNCTUATION)
-        h = self[word] = (xxhash.xxh64_intdigest(bare, 42) | 1) if bare else 0
-        return h
-
-
-def words_of(text: str | None, known: WordHashes) -> np.ndarray:
-    """Hashes of the text's words (A-Z in lower case, without punctuation at their ends), in order."""
-    words = (text or "").encode().lower().split()
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    return h[h != 0]
-
-
-def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the shingles of k words; fewer words make one shingle, none make none."""
-    if not len(words):
-        return words
-    k = min(k, len(words))
-    n = len(words) - k + 1
-    h = words[:n] * _M
-    for i in range(1, k):
-        h = (h + words[i : i + n]) * _M
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(32))
-
-
-def shingle_set(text: str | None, k: int, known: WordHashes | None = None) -> np.ndarray:
-    """Sorted distinct hashes of the text's k-word shingles."""
-    return np.unique(shingles_of(words_of(text, WordHashes() if known is None else known), k))
-
-
-def prefix_of(s: np.ndarray, late: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The set's first hashes: rising, those of late (sorted) after all others by their rank. Sets of at least that similarity share one of them."""
-    n = len(s) - max(1, ceil(similarity * len(s) - 1e-9)) + 1
-    if not len(late):
-        return s[:n]
-
-    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(late, x), len(late) - 1)
-        return late[at] == x, at
-
-    for part in (s[: 2 * n], s):
-        is_late, at = split(part)
-        first = part[~is_late]
-        if len(first) >= n:
-            return first[:n]
-    last = s[is_late][np.argsort(rank[at[is_late]], kind="stable")]
-    return np.concatenate([first, last])[:n]
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _powers(n: int, x: int) -> np.ndarray:
+    """x to the power of 0 to n - 1, modulo 2 ** 64."""
+    out = np.full(n, x, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(2)
+def _tables(n: int) -> tuple[np.ndarray, ...]:
+    """Class of each byte (0: of a word, 1: blank, 2: punctuation), a random number for each, and powers and inverse powers of a base."""
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[list(b" \t\n\v\f\r")] = 1
+    kind[list(PUNCTUATION)] = 2
+    value = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype=np.uint64)
+    return kind, value, _powers(n, BASE), _powers(n, pow(BASE, -1, 1 << 64))
+
+
+def _hash_words(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in data (in lower case, without punctuation at their ends), and where each starts; n: bytes that tables are made for."""
+    kind, value, power, inverse = _tables(n)
+    x = np.frombuffer(data.lower(), dtype=np.uint8)
+    k = kind[x]
+    live = np.flatnonzero(k == 0)
+    if not len(live):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    word = np.cumsum(k == 1)[live]
+    new = np.flatnonzero(word[1:] != word[:-1]) + 1
+    first, last = live[np.append(0, new)], live[np.append(new, len(live)) - 1] + 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[x] * power[: len(x)], dtype=np.uint64)])
+    h = (total[last] - total[first]) * inverse[first]
+    h ^= h >> np.uint64(32)
+    return h * _M, first
+
+
+def word_chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts i to j, some at a time: hashes of all their words in order, and the number of words before each text and in all."""
+    i = 0
+    while i < len(texts):
+        parts, size, j = [], 0, i
+        while j < len(texts) and (not parts or size < CHUNK):
+            parts.append((texts[j] or "").encode())
+            size += len(parts[-1]) + 1
+            j += 1
+        if size <= 2 * CHUNK:
+            h, first = _hash_words(b" ".join(parts) + b" ", 2 * CHUNK)
+            ends = np.searchsorted(first, np.cumsum([0, *(len(x) + 1 for x in parts)]))
+        else:  # a long text comes last: the others first, then it in stretches that end at a blank
+            found = [_hash_words(b" ".join(parts[:-1]) + b" ", 2 * CHUNK)]
+            ends = np.searchsorted(found[0][1], np.cumsum([0, *(len(x) + 1 for x in parts[:-1])]))
+            long, at = parts[-1], 0
+            while at < len(long):
+                cut = _BLANK.search(long, at + CHUNK)
+                stop = cut.end() if cut else len(long)
+                found.append(_hash_words(long[at:stop], 1 << max(2 * CHUNK, stop - at).bit_length()))
+                at = stop
+            h = np.concatenate([x for x, _ in found])
+            ends = np.append(ends, len(h))
+        yield i, j, h, ends
+        i = j
+
+
+def shingles(h: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of k words of texts with words h, cut at ends; where each text's start and stop.
+
+    Fewer words make one shingle, none make none. What stands between the texts' shingles is 0.
+    """
+    n, start, words = len(h), ends[:-1], np.diff(ends)
+    out = np.zeros(n, dtype=np.uint64)
+    if n >= k:
+        x = h[: n - k + 1] * _M
+        for i in range(1, k):
+            x = (x + h[i : n - k + 1 + i]) * _M
+        out[: n - k + 1] = x
+    for t in np.flatnonzero((words > 0) & (words < k)):
+        x = np.uint64(0)
+        for w in h[ends[t] : ends[t + 1]]:
+            x = np.multiply(np.add(x, w), _M)
+        out[ends[t]] = x
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(32)
+    stop = start + np.where(words >= k, words - k + 1, np.minimum(words, 1))
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, stop, -1)
+    out[np.cumsum(edge[:-1]) == 0] = 0
+    return out, start, stop
+
+
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's k-word shingles."""
+    for _, _, h, ends in word_chunks(texts):
+        x, start, stop = shingles(h, ends, k)
+        for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+            yield np.unique(x[a:b])
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    return next(shingle_sets([text], k))
+
+
+class Order:
+    """An order of all hashes: rising, those of late after all others by their rank."""
+
+    def __init__(self, late: np.ndarray, rank: np.ndarray):
+        at = np.argsort(late)
+        self.late, self.rank = late[at], rank[at]
+
+    @cached_property
+    def maybe(self) -> np.ndarray:
+        """Whether a late hash has these low bits; most others are told apart by them."""
+        out = np.zeros(1 << LATE_BITS, dtype=bool)
+        out[self.late & np.uint64(len(out) - 1)] = True
+        return out
+
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is late, and the ranks of those that are."""
+        is_late = self.maybe[s & np.uint64((1 << LATE_BITS) - 1)]
+        where = np.flatnonzero(is_late)
+        at = np.minimum(np.searchsorted(self.late, s[where]), len(self.late) - 1)
+        hit = self.late[at] == s[where]
+        is_late[where] = hit
+        return is_late, self.rank[at[hit]]
+
+    def prefix(self, s: np.ndarray, similarity: float) -> np.ndarray:
+        """The first hashes of a sorted set: sets of at least that similarity share one of them."""
+        n = len(s) - max(1, ceil(similarity * len(s) - 1e-9)) + 1
+        if not len(self.late) or not len(s):
+            return s[:n]
+        for part in (s[: 2 * n], s):
+            is_late, rank = self.split(part)
+            first = part[~is_late]
+            if len(first) >= n:
+                return first[:n]
+        return np.concatenate([first, s[is_late][np.argsort(rank, kind="stable")]])[:n]
+
+    def __getstate__(self) -> dict:
+        return {"late": self.late, "rank": self.rank}
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -154,8 +244,8 @@ def looks(docs: DataFrame, shingle: int) -> DataFrame:
     names = ["doc_id", "g", "h", "fp", "empty", "heavy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
+            texts = b.column("text").to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
             held: list[np.ndarray] = []
             n_held = 0
@@ -165,18 +255,19 @@ def looks(docs: DataFrame, shingle: int) -> DataFrame:
                 at = n >= max(LATE, LATE_SHARE * len(held))
                 return [{"h": x, "n": y} for x, y in zip(v[at].view(np.int64).tolist(), n[at].tolist(), strict=True)]
 
-            for i, t in enumerate(b.column("text").to_pylist()):
-                words = words_of(t, known)
-                s = np.unique(shingles_of(words, shingle))
-                raw, seed = (s.tobytes(), 0) if len(s) else ((t or "").encode(), 1)
-                held.append(s)
-                n_held += len(s)
-                heavy = []
-                if n_held >= COUNTED or i == b.num_rows - 1:
-                    heavy, held, n_held = count(held), [], 0
-                d = xxhash.xxh3_128_intdigest(raw, seed)
-                for x, v in zip(out, (_signed(d >> 64), _signed(d & (1 << 64) - 1), majority(shingles_of(words, FINGERPRINT_WORDS)), not len(s), heavy), strict=True):
-                    x.append(v)
+            for i, j, h, ends in word_chunks(texts):
+                x, start, stop = shingles(h, ends, shingle)
+                fps = majorities(*shingles(h, ends, FINGERPRINT_WORDS))
+                for t, a, e, fp in zip(range(i, j), start.tolist(), stop.tolist(), fps.tolist(), strict=True):
+                    s = np.unique(x[a:e])
+                    held.append(s)
+                    n_held += len(s)
+                    heavy = []
+                    if n_held >= COUNTED or t == len(texts) - 1:
+                        heavy, held, n_held = count(held), [], 0
+                    d = xxhash.xxh3_128_intdigest(s.tobytes(), 0) if len(s) else xxhash.xxh3_128_intdigest((texts[t] or "").encode(), 1)
+                    for col, v in zip(out, (_signed(d >> 64), _signed(d & (1 << 64) - 1), fp, not len(s), heavy), strict=True):
+                        col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
 
@@ -188,9 +279,8 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pairids")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t, shingle, known).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), shingle)], pa.binary())], ["id", "s"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids, ids.count()), "doc_id")
     sets = stage(some.select("doc_id", "text").mapInArrow(sets_of, "id long, s binary"), "pairsets")
@@ -221,18 +311,17 @@ def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
 def prefix_rows(docs: DataFrame, firsts: DataFrame, heavy: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """id, size, pos, h of each document in firsts (id): the hashes of its prefix that stand in the prefix of another, too."""
     often = heavy.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_LATE).toPandas()
-    late = often["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(late)
-    late, rank = late[order], len(order) - 1 - order  # by hash, and the place in the order: the most frequent last
+    order = Order(often["h"].to_numpy(np.int64).view(np.uint64), -np.arange(len(often)))  # the most frequent last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, shingle, known) for t in b.column("text").to_pylist()]
-            first = [prefix_of(s, late, rank, similarity) if len(s) else s for s in sets]
+            sizes, first = [], []
+            for s in shingle_sets(b.column("text").to_pylist(), shingle):
+                sizes.append(len(s))
+                first.append(order.prefix(s, similarity).copy())
             ends = np.cumsum([0, *map(len, first)])
             flat = np.concatenate(first).view(np.int64) if len(first) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "size", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "size", "first"])
 
     every = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
     rows = stage(every.mapInArrow(run, "id long, size int, first array<long>"), "prefixes")

@@ -60,20 +60,31 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 _LANES = np.uint64(0x0101010101010101)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The fingerprint, as a signed 64-bit number: bits that are set in over half the hashes.
+def majorities(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The fingerprints, as signed 64-bit numbers, of the texts with the hashes from start to stop: bits that are set in over half of them.
 
-    Bit k of all eight bytes is counted at once, in byte lanes that are added up before they can overflow.
+    Bit k of all eight bytes is counted at once, in byte lanes that are added up before they can overflow. Hashes between
+    one text's stop and the next one's start must be 0 and fewer than 56.
     """
-    if not len(hashes):
-        return 0
-    total = np.zeros((8, 8), dtype=np.int64)  # bit in its byte, byte
-    for i in range(0, len(hashes), 255 * 64):
-        part = hashes[i : i + 255 * 64]
-        for k in range(8):
-            lanes = np.add.reduceat((part >> np.uint64(k)) & _LANES, np.arange(0, len(part), 255))
-            total[k] += lanes.astype("<u8").view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total.T.ravel() > len(hashes), bitorder="little").view("<i8")[0])
+    n, out = stop - start, np.zeros(len(start), dtype=np.int64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    blocks = -(-n[some] // 200)
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(start[some] - 200 * first, blocks) + 200 * np.arange(blocks.sum())
+    total = np.empty((len(some), 8, 8), dtype=np.int64)  # byte, bit in its byte
+    part = hashes[: stop[some[-1]]]
+    for k in range(8):
+        lanes = np.add.reduceat((part >> np.uint64(k)) & _LANES, at)
+        total[:, :, k] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    bits = 2 * total.reshape(-1, BITS) > n[some, None]
+    out[some] = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    return int(majorities(hashes, np.zeros(1, np.int64), np.array([len(hashes)]))[0])
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
