@@ -14,7 +14,7 @@ strings are first dealt so that equal ones meet:
    suffix with a smaller document in suffix order, give each window's longest previous factor.
 3. Windows whose factor reaches the length come back as byte ranges, are united, and removed.
 
-Hashes only bring windows together; bytes decide. Runs between tasks are packed in binary cells.
+Hashes only bring windows together; bytes decide. Runs between tasks are packed in compressed binary cells.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 LENGTH = 50
-GRAM = 20
+GRAM = 16
 #: Bytes of text in a block of documents, and for each bucket of keys, about.
-BLOCK_BYTES = 3 << 20
-KEYS_BYTES = 6 << 20
+BLOCK_BYTES = 6 << 20
+KEYS_BYTES = 4 << 20
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 17
 LAST = np.iinfo(np.int64).max
@@ -70,8 +70,11 @@ def window_keys(data: bytes, length: int = LENGTH, gram: int = GRAM, second: boo
     return h
 
 
-def runs(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of windows with equal keys: key, place of the document, first window, number of windows; some documents at a time."""
+def runs(docs: list[bytes], length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with equal keys: key, place of the document, first window, number of windows, second key; some documents at a time.
+
+    Where the key is in hot (sorted), the second key is equal in a run, too; elsewhere it is 0.
+    """
     i = 0
     while i < len(docs):
         group, size = [], 0
@@ -82,17 +85,26 @@ def runs(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[
             i += 1
         if not group:
             continue
-        keys = window_keys(b"".join(docs[g] for g in group), length, gram)
+        data = b"".join(docs[g] for g in group)
+        keys = window_keys(data, length, gram)
         sizes = np.array([len(docs[g]) for g in group])
         ends = np.cumsum(sizes)
         breaks = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        second = np.zeros(1, dtype=np.uint64)
+        if hot is not None and len(hot):
+            begin = np.append(0, breaks)
+            at = np.minimum(np.searchsorted(hot, keys[begin]), len(hot) - 1)
+            is_hot = np.repeat(hot[at] == keys[begin], np.diff(np.append(begin, len(keys))))
+            if is_hot.any():
+                second = np.where(is_hot, window_keys(data, length, gram, second=True), np.uint64(0))
+                breaks = np.union1d(breaks, np.flatnonzero(second[1:] != second[:-1]) + 1)
         starts = np.unique(np.concatenate([[0], breaks, ends[:-1], ends - length + 1]))
         starts = starts[starts < len(keys)]
         place = np.searchsorted(ends, starts, side="right")
         stop = np.minimum(np.append(starts[1:], len(keys)), ends[place] - length + 1)
         ok = stop > starts
         starts, stop, place = starts[ok], stop[ok], place[ok]
-        yield keys[starts], np.array(group)[place], starts - (ends - sizes)[place], stop - starts
+        yield keys[starts], np.array(group)[place], starts - (ends - sizes)[place], stop - starts, second[starts] if len(second) > 1 else np.zeros(len(starts), np.uint64)
 
 
 def previous_factors(order: np.ndarray, lcp: np.ndarray, doc: np.ndarray, enough: int) -> np.ndarray:
@@ -201,6 +213,16 @@ def block_rows(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [texts[i] for i in order], ids[order], order
 
 
+def pack(x: bytes | np.ndarray) -> bytes:
+    """Compressed, behind its length."""
+    raw = x if isinstance(x, bytes) else x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack(x: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+
+
 def _table(cols: dict, schema: pa.Schema) -> pa.Table:
     return pa.table({f.name: pa.array(cols[f.name], f.type) for f in schema}, schema=schema)
 
@@ -214,7 +236,7 @@ _RANGES = pa.schema([("block", pa.int64()), ("ranges", pa.binary())])
 def send_keys(t: pa.Table, n_buckets: int, length: int, gram: int) -> pa.Table:
     """Step 1 of a block: its distinct keys by bucket, apart those that several of its documents have."""
     docs, ids, _ = block_rows(t)
-    got = [(k, ids[p]) for k, p, _, _ in runs(docs, length, gram)]
+    got = [(k, ids[p]) for k, p, *_ in runs(docs, length, gram)]
     out: dict[str, list] = {f.name: [] for f in _KEYS}
     if got:
         k, d = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -278,32 +300,24 @@ def send_runs(t: pa.Table, lists: pa.Table, n_buckets: int, n_salts: int, length
     send: dict[tuple[int, int], tuple[list, list]] = {}
     local: list[tuple[int, int, int]] = []
 
-    def put(bucket: int, salt: int, p: int, s: int, content: bytes) -> None:
-        d = int(ids[p])
-        if first.setdefault(content, d) < d:
-            local.append((p, s, s + len(content)))
-            return
-        heads, parts = send.setdefault((bucket, salt), ([], []))
-        heads.append((d, p, s, len(content)))
-        parts.append(content)
-
-    for k, place, start, n in runs(docs, length, gram):
+    salt = block % n_salts
+    for k, place, start, n, second in runs(docs, length, gram, keys[hot]):
         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
         hits = np.flatnonzero(keys[at] == k)  # in the order of ids
-        for bucket, many, p, s, m in zip((k[hits] % np.uint64(n_buckets)).tolist(), hot[at[hits]].tolist(), place[hits].tolist(), start[hits].tolist(), n[hits].tolist(), strict=True):
-            content = docs[p][s : s + m + length - 1]
-            if not many:
-                put(bucket, -1, p, s, content)
+        bucket = (k[hits] % np.uint64(n_buckets) + second[hits] % np.uint64(n_buckets)) % np.uint64(n_buckets)
+        for to, many, p, s, m in zip(bucket.tolist(), hot[at[hits]].tolist(), place[hits].tolist(), start[hits].tolist(), n[hits].tolist(), strict=True):
+            content, d = docs[p][s : s + m + length - 1], int(ids[p])
+            if first.setdefault(content, d) < d:
+                local.append((p, s, s + len(content)))
                 continue
-            second = window_keys(content, length, gram, second=True)
-            edges = [0, *(np.flatnonzero(second[1:] != second[:-1]) + 1).tolist(), m]
-            for a, b in zip(edges, edges[1:], strict=False):
-                put((bucket + int(second[a] % np.uint64(n_buckets))) % n_buckets, block % n_salts, p, s + a, content[a : b + length - 1])
+            heads, parts = send.setdefault((to, salt if many else -1), ([], []))
+            heads.append((d, p, s, len(content)))
+            parts.append(content)
     for (bucket, salt), (heads, parts) in send.items():
-        for name, x in zip(out, (bucket, salt, block, np.array(heads, np.int64).tobytes(), b"".join(parts), None), strict=True):
+        for name, x in zip(out, (bucket, salt, block, pack(np.array(heads, np.int64)), pack(b"".join(parts)), None), strict=True):
             out[name].append(x)
     if local:
-        for name, x in zip(out, (block % n_buckets, -1, block, None, None, np.array(local, np.int64).tobytes()), strict=True):
+        for name, x in zip(out, (block % n_buckets, -1, block, None, None, pack(np.array(local, np.int64))), strict=True):
             out[name].append(x)
     return _table(out, _RUNS)
 
@@ -314,9 +328,9 @@ def unpack_runs(t: pa.Table) -> tuple[dict[int, list[np.ndarray]], list[tuple[in
     heads, contents = [], []
     for block, h, data, ranges in zip(*(t.column(c).to_pylist() for c in ("block", "heads", "bytes", "ranges")), strict=True):
         if ranges is not None:
-            found.setdefault(block, []).append(np.frombuffer(ranges, np.int64).reshape(-1, 3))
+            found.setdefault(block, []).append(np.frombuffer(unpack(ranges), np.int64).reshape(-1, 3))
         if h is not None:
-            h, at = np.frombuffer(h, np.int64).reshape(-1, 4), 0
+            h, data, at = np.frombuffer(unpack(h), np.int64).reshape(-1, 4), unpack(data), 0
             for d, p, s, n in h.tolist():
                 heads.append((block, d, p, s))
                 contents.append(data[at : at + n])
@@ -343,10 +357,10 @@ def merge_runs(t: pa.Table) -> pa.Table:
             h.append((d, p, s, len(c)))
             parts.append(c)
     for block, (h, parts) in left.items():
-        for name, x in zip(out, (bucket, -1, block, np.array(h, np.int64).tobytes(), b"".join(parts), None), strict=True):
+        for name, x in zip(out, (bucket, -1, block, pack(np.array(h, np.int64)), pack(b"".join(parts)), None), strict=True):
             out[name].append(x)
     for block, x in gone.items():
-        for name, v in zip(out, (bucket, -1, block, None, None, np.array(x, np.int64).tobytes()), strict=True):
+        for name, v in zip(out, (bucket, -1, block, None, None, pack(np.array(x, np.int64))), strict=True):
             out[name].append(v)
     return _table(out, _RUNS)
 
@@ -365,13 +379,13 @@ def find_ranges(t: pa.Table, length: int) -> pa.Table:
             more.setdefault(block, []).extend((p, a, b) for a, b in to_ranges(hit, s, length))
     for block, x in more.items():
         found.setdefault(block, []).append(np.array(x, np.int64))
-    return _table({"block": list(found), "ranges": [np.concatenate(x).tobytes() for x in found.values()]}, _RANGES)
+    return _table({"block": list(found), "ranges": [pack(np.concatenate(x)) for x in found.values()]}, _RANGES)
 
 
 def cut(t: pa.Table, ranges: pa.Table, with_text: bool) -> pa.Table:
     """Step 3 of a block: what is left of each document."""
     docs, _, order = block_rows(t)
-    parts = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in ranges.column("ranges").to_pylist()]
+    parts = [np.frombuffer(unpack(x), np.int64).reshape(-1, 3) for x in ranges.column("ranges").to_pylist()]
     every = np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
     every = every[np.argsort(every[:, 0], kind="stable")]
     lo, hi = (np.searchsorted(every[:, 0], np.arange(len(docs)), side=s) for s in ("left", "right"))
