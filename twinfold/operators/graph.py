@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import scratch, stage
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -26,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     and loops are ignored; nodes without links are not in the result.
     """
     mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    links = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = links.agg(*mark).first()
-    while True:
-        links = stage(_star(links), "links")
-        after = links.agg(*mark).first()
-        if after == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = after
+    with scratch():
+        links = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        before, after = None, links.agg(*mark).first()
+        while after != before:
+            links = stage(_star(links), "links")
+            before, after = after, links.agg(*mark).first()
+        nodes = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        return stage(nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels", outer=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
+_LEVELS: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the paths made inside when it ends, but for those made with outer; what is returned must not read them."""
+    _LEVELS.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _LEVELS.pop():
+            remove_path(spark, path)
+
+
+def new_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A fresh path below the shared folder, removed when the driver ends or the enclosing scratch does; with outer, the one around that."""
     path = f"{shared_dir(spark)}/twinfold-{name}-{uuid.uuid4().hex[:12]}"
+    for level in (_LEVELS[:-1] if outer else _LEVELS)[-1:]:
+        level.append((spark, path))
     atexit.register(remove_path, spark, path)
     return path
 
@@ -38,13 +56,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again; shuffle files of the write are released."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = new_path(spark, name), spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def stage(df: DataFrame, name: str, outer: bool = False, batch: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again; shuffle files of the write are released. batch: rows of an Arrow batch meanwhile, at most."""
+    spark = df.sparkSession
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
+    path, before = new_path(spark, name, outer), {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
