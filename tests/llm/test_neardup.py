@@ -105,6 +105,16 @@ def test_links_depend_on_nothing_but_the_texts(spark, monkeypatch, settings):
     assert kept(spark, texts, **{k: v for k, v in settings.items() if k == "radius"}) == {x for x in texts if first[x] == x}
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(0, 300))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 62, int(rng.integers(0, 300))).astype(np.uint64)]))
+        least = N.differ_at_least(N.sketch(a), N.sketch(b))
+        assert least <= len(np.setxor1d(a, b))
+        assert least > 0.3 * len(np.setxor1d(a, b)) or len(np.setxor1d(a, b)) < 20 or len(np.setxor1d(a, b)) > 0.5 * min(len(a), len(b))
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(3)
     late = np.sort(rng.choice(300, 40, replace=False)).astype(np.uint64)

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import new_path, stage
+from ..staging import new_path, scratch, stage
 
-__all__ = ["WORD", "WORD_RE", "crc_mod", "in_sample", "n_words", "new_path", "sample_limit", "stage", "table"]
+__all__ = ["WORD", "WORD_RE", "crc_mod", "in_sample", "n_words", "new_path", "sample_limit", "scratch", "stage", "table"]
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

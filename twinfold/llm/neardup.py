@@ -9,7 +9,8 @@ Documents are linked if the Jaccard similarity of their sets of word shingles re
    n - ceil(similarity * n) + 1 hashes of each have one in common. Only hashes that stand in several parts matter. At first each
    document is verified against one document of another part by shared hash, which joins nearly all of
    a group of copies in a few pairs a document; then all pairs of different parts that share a hash and whose sizes and places allow
-   the similarity are verified. The second step makes the result exact: the links don't depend on the fingerprints, the
+   the similarity are verified. Pairs are first tested by sketches, which bound the difference of two sets from below, and
+   then by the sets themselves. The second step makes the result exact: the links don't depend on the fingerprints, the
    order of the hashes or the table's size.
 """
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 from .simhash import _sorted_runs, forest, majorities
 from ..operators.graph import components
 
@@ -44,7 +45,9 @@ LATE, LATE_SHARE, MAX_LATE = 8, 0.001, 100_000
 #: Low bits by which late hashes are told from others.
 LATE_BITS = 22
 #: Hashes that a task gathers before it counts them.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
+#: Rows of an Arrow batch of pairs of sets.
+PAIR_ROWS = 200
 #: Documents that share a hash beyond which they are compared block by block.
 BLOCK = 4096
 #: Met pairs that a task holds before it gives them out.
@@ -206,6 +209,24 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of about as many bins as the set has hashes, whether an odd number of them lies in it.
+
+    Two sets' sketches differ in no more bins than the sets have hashes that are not common.
+    """
+    bins = 1 << max(6, (len(s) - 1).bit_length() if len(s) else 0)
+    return np.packbits(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).tobytes()
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """Hashes that two sets don't have in common, at least: bins that differ after the longer sketch is folded to the shorter."""
+    a, b = (np.frombuffer(z, np.uint8) for z in (x, y))
+    if len(a) != len(b):
+        n = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(z.reshape(-1, n)) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def meeting_pairs(h: np.ndarray, part: np.ndarray, size: np.ndarray, pos: np.ndarray, own: np.ndarray, cross: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs with one h (rows sorted by h and size), of different parts, whose sizes and places allow the similarity.
 
@@ -274,6 +295,20 @@ def looks(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, g long, h long, fp long, empty boolean, heavy array<struct<h:long,n:long>>")
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (id, size, sketch) allow the similarity, as a written table; no similar pair is left out."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("na", "nb", "x", "y"))
+            # both >= similarity * (na + nb - both) leaves na + nb - 2 * both hashes that are not common, at most
+            ok = [differ_at_least(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9 for n, m, x, y in zip(*cols, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sketches.toDF("b", "nb", "y"), "b").join(sketches.toDF("a", "na", "x"), "a").select("a", "b", "na", "nb", "x", "y")
+    return stage(both.mapInArrow(test, "a long, b long"), "possible")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b: ids) whose sets reach the similarity, as a written table."""
     ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pairids")
@@ -282,16 +317,16 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), shingle)], pa.binary())], ["id", "s"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids, ids.count()), "doc_id")
-    sets = stage(some.select("doc_id", "text").mapInArrow(sets_of, "id long, s binary"), "pairsets")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(verify, "a long, b long"), "verified")
+    with scratch():
+        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids, ids.count()), "doc_id")
+        sets = stage(some.select("doc_id", "text").mapInArrow(sets_of, "id long, s binary"), "pairsets")
+        both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        return stage(both.mapInArrow(verify, "a long, b long"), "verified", outer=True, batch=PAIR_ROWS)
 
 
 def _pairs(a: str, b: str) -> list:
@@ -308,26 +343,27 @@ def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return stage(across.union(same).distinct(), "fppairs")
 
 
-def prefix_rows(docs: DataFrame, firsts: DataFrame, heavy: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """id, size, pos, h of each document in firsts (id): the hashes of its prefix that stand in the prefix of another, too."""
+def prefix_rows(docs: DataFrame, firsts: DataFrame, heavy: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows: id, size, pos, h of each document in firsts (id): the hashes of its prefix that stand in the prefix of another, too; sketches: id, size, sketch."""
     often = heavy.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_LATE).toPandas()
     order = Order(often["h"].to_numpy(np.int64).view(np.uint64), -np.arange(len(often)))  # the most frequent last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, first = [], []
+            sizes, first, sketches = [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), shingle):
                 sizes.append(len(s))
                 first.append(order.prefix(s, similarity).copy())
+                sketches.append(sketch(s))
             ends = np.cumsum([0, *map(len, first)])
             flat = np.concatenate(first).view(np.int64) if len(first) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "size", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(sketches, pa.binary())], ["id", "size", "first", "sketch"])
 
     every = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    rows = stage(every.mapInArrow(run, "id long, size int, first array<long>"), "prefixes")
-    rows = rows.join(firsts, "id", "left_semi").select("id", "size", F.posexplode("first").alias("pos", "h"))
+    written = stage(every.mapInArrow(run, "id long, size int, first array<long>, sketch binary"), "prefixes")
+    rows = written.select("id", "size", "first").join(firsts, "id", "left_semi").select("id", "size", F.posexplode("first").alias("pos", "h"))
     shared = stage(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
-    return stage(rows.join(_few(shared, shared.count(), MAX_BROADCAST_SHARED), "h"), "sharedrows")
+    return stage(rows.join(_few(shared, shared.count(), MAX_BROADCAST_SHARED), "h"), "sharedrows"), written.select("id", "size", "sketch").dropDuplicates(["id"])
 
 
 def _with_parts(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -377,24 +413,25 @@ def all_pairs(rows: DataFrame, parts: DataFrame | None, similarity: float, block
 
 def groups(docs: DataFrame, each: DataFrame, classes: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame | None:
     """(id, label) of the classes (first, fp) that have a similar one; label is the smallest id of the group. None if there are none."""
-    pairs = fingerprint_pairs(classes, radius)
-    edges = verified(docs, pairs, shingle, similarity)
+    heavy = each.select(F.explode("heavy").alias("x")).select("x.h", "x.n")
+    rows, sketches = prefix_rows(docs, classes.select(F.col("first").alias("id")), heavy, shingle, similarity)
 
-    def joined() -> DataFrame | None:
-        return None if edges.isEmpty() else components(edges).toDF("id", "label")
+    def links(pairs: DataFrame) -> DataFrame:
+        return verified(docs, possible(pairs, sketches, similarity), shingle, similarity)
 
-    parts = joined()
-    rows = prefix_rows(docs, classes.select(F.col("first").alias("id")), each.select(F.explode("heavy").alias("x")).select("x.h", "x.n"), shingle, similarity)
+    pairs = fingerprint_pairs(classes, radius)
+    edges = links(pairs)
+    parts = None if edges.isEmpty() else components(edges).toDF("id", "label")
     last = False
     for turn in range(rounds + 1):
         last = last or turn == rounds
         met = all_pairs(rows, parts, similarity) if last else one_pair_each(rows, parts, similarity)
         met = stage(met.join(pairs, ["a", "b"], "left_anti"), "met")
-        more = verified(docs, met, shingle, similarity)
+        more = links(met)
         found = not more.isEmpty()
         if found:
             edges = edges.unionByName(more)
-            parts = joined()
+            parts = components(edges).toDF("id", "label")
         if last:
             return parts
         pairs = stage(pairs.unionByName(met), "tried")
@@ -412,16 +449,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     and stay, equal ones once. An empty table stays empty; further columns of any name are kept as they are.
     """
     texts = docs.select("doc_id", "text")
-    each = stage(looks(texts, shingle), "looks")
     by = ["g", "h", "empty"]
-    classes = stage(each.filter("doc_id is not null").groupBy(*by).agg(F.min("doc_id").cast("long").alias("first"), F.min("fp").alias("fp")), "classes")
-    labels = groups(texts, each, classes.filter("not empty").select("first", "fp"), shingle, similarity, radius)
-    gone = each.select("doc_id", *by).join(classes.select(*by, "first"), by).filter("doc_id <> first").select(F.col("doc_id").cast("long").alias("gone"))
-    if labels is not None:
-        gone = gone.unionByName(labels.filter("id <> label").select(F.col("id").alias("gone")))
-    gone = stage(gone.distinct(), "gone")
+    with scratch():
+        each = stage(looks(texts, shingle), "looks")
+        classes = stage(each.filter("doc_id is not null").groupBy(*by).agg(F.min("doc_id").cast("long").alias("first"), F.min("fp").alias("fp")), "classes")
+        labels = groups(texts, each, classes.filter("not empty").select("first", "fp"), shingle, similarity, radius)
+        gone = each.select("doc_id", *by).join(classes.select(*by, "first"), by).filter("doc_id <> first").select(F.col("doc_id").cast("long").alias("gone"))
+        if labels is not None:
+            gone = gone.unionByName(labels.filter("id <> label").select(F.col("id").alias("gone")))
+        gone = stage(gone.distinct(), "gone", outer=True)
+        repeated = not each.groupBy("doc_id", "g", "h").count().filter("count > 1").isEmpty()
     ids = gone.withColumnRenamed("gone", "doc_id").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     out = docs.join(_few(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
-    if not each.groupBy("doc_id", "g", "h").count().filter("count > 1").isEmpty():
+    if repeated:
         out = out.dropDuplicates(["doc_id", "text"])
     return out
