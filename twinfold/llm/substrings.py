@@ -89,22 +89,25 @@ def runs(docs: list[bytes], length: int = LENGTH, gram: int = GRAM, hot: np.ndar
         keys = window_keys(data, length, gram)
         sizes = np.array([len(docs[g]) for g in group])
         ends = np.cumsum(sizes)
-        breaks = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        second = np.zeros(1, dtype=np.uint64)
+        new = np.zeros(len(data) + 1, dtype=bool)
+        new[1 : len(keys)] = keys[1:] != keys[:-1]
+        new[0] = True
+        second = None
         if hot is not None and len(hot):
-            begin = np.append(0, breaks)
+            begin = np.flatnonzero(new[: len(keys)])
             at = np.minimum(np.searchsorted(hot, keys[begin]), len(hot) - 1)
-            is_hot = np.repeat(hot[at] == keys[begin], np.diff(np.append(begin, len(keys))))
+            is_hot = hot[at] == keys[begin]
             if is_hot.any():
+                is_hot = np.repeat(is_hot, np.diff(np.append(begin, len(keys))))
                 second = np.where(is_hot, window_keys(data, length, gram, second=True), np.uint64(0))
-                breaks = np.union1d(breaks, np.flatnonzero(second[1:] != second[:-1]) + 1)
-        starts = np.unique(np.concatenate([[0], breaks, ends[:-1], ends - length + 1]))
-        starts = starts[starts < len(keys)]
+                new[1 : len(keys)] |= second[1:] != second[:-1]
+        new[ends] = new[ends - length + 1] = True
+        starts = np.flatnonzero(new[: len(keys)])
         place = np.searchsorted(ends, starts, side="right")
         stop = np.minimum(np.append(starts[1:], len(keys)), ends[place] - length + 1)
         ok = stop > starts
         starts, stop, place = starts[ok], stop[ok], place[ok]
-        yield keys[starts], np.array(group)[place], starts - (ends - sizes)[place], stop - starts, second[starts] if len(second) > 1 else np.zeros(len(starts), np.uint64)
+        yield keys[starts], np.array(group)[place], starts - (ends - sizes)[place], stop - starts, np.zeros(len(starts), np.uint64) if second is None else second[starts]
 
 
 def previous_factors(order: np.ndarray, lcp: np.ndarray, doc: np.ndarray, enough: int) -> np.ndarray:
@@ -176,17 +179,17 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     return order, lcp
 
 
-def factor_lengths(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each content and each of its windows: the longest previous factor up to length, by document."""
-    counts = np.array([len(c) - length + 1 for c in contents])
+def factor_lengths(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor up to length, by document, of all windows of the contents in order; and where each content's begin, and their number."""
+    counts = np.array([len(c) - length + 1 for c in contents], dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)])
     if not len(counts):
-        return []
+        return np.empty(0, np.int64), ends
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     first = np.cumsum([0, *map(len, contents)])[:-1]
-    at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    at = np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])
     order, lcp = suffix_order(data, at, length)
-    got = previous_factors(order, lcp, np.repeat(docs, counts), length)
-    return np.split(got, np.cumsum(counts)[:-1])
+    return previous_factors(order, lcp, np.repeat(docs, counts), length), ends
 
 
 def to_ranges(hit: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
@@ -297,70 +300,82 @@ def send_runs(t: pa.Table, lists: pa.Table, n_buckets: int, n_salts: int, length
     order = np.argsort(keys)
     keys, hot = keys[order], hot[order]
     first: dict[bytes, int] = {}
-    send: dict[tuple[int, int], tuple[list, list]] = {}
-    local: list[tuple[int, int, int]] = []
-
+    cols: list[np.ndarray] = []  # bucket, salt, document, place, start, bytes of the runs that are sent
+    gone: list[np.ndarray] = []  # place, start, stop of the others
+    contents: list[bytes] = []
     salt = block % n_salts
     for k, place, start, n, second in runs(docs, length, gram, keys[hot]):
         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
         hits = np.flatnonzero(keys[at] == k)  # in the order of ids
+        p, a, d = place[hits], start[hits], ids[place[hits]]
+        b = a + n[hits] + length - 1
+        later = np.zeros(len(hits), dtype=bool)
+        for i, (x, y, z, w) in enumerate(zip(p.tolist(), a.tolist(), b.tolist(), d.tolist(), strict=True)):
+            content = docs[x][y:z]
+            if first.setdefault(content, w) < w:
+                later[i] = True
+            else:
+                contents.append(content)
+        gone.append(np.stack([p, a, b], axis=1)[later])
         bucket = (k[hits] % np.uint64(n_buckets) + second[hits] % np.uint64(n_buckets)) % np.uint64(n_buckets)
-        for to, many, p, s, m in zip(bucket.tolist(), hot[at[hits]].tolist(), place[hits].tolist(), start[hits].tolist(), n[hits].tolist(), strict=True):
-            content, d = docs[p][s : s + m + length - 1], int(ids[p])
-            if first.setdefault(content, d) < d:
-                local.append((p, s, s + len(content)))
-                continue
-            heads, parts = send.setdefault((to, salt if many else -1), ([], []))
-            heads.append((d, p, s, len(content)))
-            parts.append(content)
-    for (bucket, salt), (heads, parts) in send.items():
-        for name, x in zip(out, (bucket, salt, block, pack(np.array(heads, np.int64)), pack(b"".join(parts)), None), strict=True):
-            out[name].append(x)
-    if local:
-        for name, x in zip(out, (block % n_buckets, -1, block, None, None, pack(np.array(local, np.int64))), strict=True):
+        cols.append(np.stack([bucket.astype(np.int64), np.where(hot[at[hits]], salt, -1), d, p, a, b - a], axis=1)[~later])
+    _put(out, np.concatenate(cols) if cols else np.empty((0, 6), np.int64), contents, block)
+    if sum(map(len, gone)):
+        for name, x in zip(out, (block % n_buckets, -1, block, None, None, pack(np.concatenate(gone))), strict=True):
             out[name].append(x)
     return _table(out, _RUNS)
 
 
-def unpack_runs(t: pa.Table) -> tuple[dict[int, list[np.ndarray]], list[tuple[int, int, int, int]], list[bytes], dict[bytes, int]]:
-    """Ranges found before by block; block, document, place and start of each run; its bytes; and the smallest document of equal bytes."""
+def _put(out: dict[str, list], cols: np.ndarray, contents: list[bytes], block: int) -> None:
+    """Rows of a block's runs, one for each bucket and salt."""
+    order = np.lexsort((cols[:, 1], cols[:, 0]))
+    cols = cols[order]
+    cuts = [0, *(np.flatnonzero((cols[1:, :2] != cols[:-1, :2]).any(1)) + 1).tolist(), len(cols)] if len(cols) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        data = b"".join([contents[i] for i in order[a:b].tolist()])
+        for name, x in zip(out, (int(cols[a, 0]), int(cols[a, 1]), block, pack(np.ascontiguousarray(cols[a:b, 2:])), pack(data), None), strict=True):
+            out[name].append(x)
+
+
+def unpack_runs(t: pa.Table) -> tuple[dict[int, list[np.ndarray]], np.ndarray, list[bytes], dict[bytes, int]]:
+    """Ranges found before by block; block, document, place, start and size of each run; its bytes; and the smallest document of equal bytes."""
     found: dict[int, list[np.ndarray]] = {}
-    heads, contents = [], []
+    heads, contents = [np.empty((0, 5), np.int64)], []
     for block, h, data, ranges in zip(*(t.column(c).to_pylist() for c in ("block", "heads", "bytes", "ranges")), strict=True):
         if ranges is not None:
             found.setdefault(block, []).append(np.frombuffer(unpack(ranges), np.int64).reshape(-1, 3))
         if h is not None:
-            h, data, at = np.frombuffer(unpack(h), np.int64).reshape(-1, 4), unpack(data), 0
-            for d, p, s, n in h.tolist():
-                heads.append((block, d, p, s))
-                contents.append(data[at : at + n])
-                at += n
+            h, data = np.frombuffer(unpack(h), np.int64).reshape(-1, 4), unpack(data)
+            ends = np.cumsum(h[:, 3]).tolist()
+            contents += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            heads.append(np.column_stack([np.full(len(h), block), h]))
+    heads = np.concatenate(heads)
     low: dict[bytes, int] = {}
-    for (_, d, _, _), c in zip(heads, contents, strict=True):
+    for d, c in zip(heads[:, 1].tolist(), contents, strict=True):
         if low.setdefault(c, d) > d:
             low[c] = d
     return found, heads, contents, low
 
 
+def by_block(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows grouped by their first column, without it."""
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    cuts = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)] if len(rows) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(rows[a, 0]), np.ascontiguousarray(rows[a:b, 1:])
+
+
 def merge_runs(t: pa.Table) -> pa.Table:
-    """Hot runs of some blocks: of equal ones the smallest document's goes on, later documents' are ranges."""
+    """Hot runs of some blocks: of equal ones the smallest document's go on, later documents' are ranges."""
     out: dict[str, list] = {f.name: [] for f in _RUNS}
     bucket = t.column("bucket")[0].as_py()
     _, heads, contents, low = unpack_runs(t)
-    gone: dict[int, list] = {}
-    left: dict[int, tuple[list, list]] = {}
-    for (block, d, p, s), c in zip(heads, contents, strict=True):
-        if d > low[c]:
-            gone.setdefault(block, []).append((p, s, s + len(c)))
-        else:
-            h, parts = left.setdefault(block, ([], []))
-            h.append((d, p, s, len(c)))
-            parts.append(c)
-    for block, (h, parts) in left.items():
-        for name, x in zip(out, (bucket, -1, block, pack(np.array(h, np.int64)), pack(b"".join(parts)), None), strict=True):
-            out[name].append(x)
-    for block, x in gone.items():
-        for name, v in zip(out, (bucket, -1, block, None, None, pack(np.array(x, np.int64))), strict=True):
+    later = heads[:, 1] > np.fromiter(map(low.__getitem__, contents), np.int64, len(contents))
+    left = np.flatnonzero(~later)
+    for block, rows in by_block(np.column_stack([heads[left, 0], np.full(len(left), bucket), np.full(len(left), -1), heads[left, 1:], left])):
+        _put(out, rows[:, :6], [contents[i] for i in rows[:, 6].tolist()], block)
+    for block, rows in by_block(np.column_stack([heads[later][:, [0, 2, 3]], heads[later, 3] + heads[later, 4]])):
+        for name, v in zip(out, (bucket, -1, block, None, None, pack(rows)), strict=True):
             out[name].append(v)
     return _table(out, _RUNS)
 
@@ -369,16 +384,19 @@ def find_ranges(t: pa.Table, length: int) -> pa.Table:
     """Step 2 of a bucket: byte ranges to remove, for each block."""
     found, heads, contents, low = unpack_runs(t)
     # the factor arrays are of the distinct contents, each of its smallest document: a later document's equal content goes whole
-    distinct = list(low)
-    lengths = dict(zip(distinct, factor_lengths(distinct, np.array([low[c] for c in distinct], np.int64), length), strict=True))
-    more: dict[int, list[tuple[int, int, int]]] = {}
-    for (block, d, p, s), c in zip(heads, contents, strict=True):
-        if d > low[c]:
-            more.setdefault(block, []).append((p, s, s + len(c)))
-        elif (hit := lengths[c] >= length).any():
-            more.setdefault(block, []).extend((p, a, b) for a, b in to_ranges(hit, s, length))
-    for block, x in more.items():
-        found.setdefault(block, []).append(np.array(x, np.int64))
+    place = {c: i for i, c in enumerate(low)}
+    at = np.fromiter(map(place.__getitem__, contents), np.int64, len(contents))
+    docs = np.fromiter(low.values(), np.int64, len(low))
+    factors, ends = factor_lengths(list(low), docs, length)
+    hit = factors >= length
+    some = np.logical_or.reduceat(hit, ends[:-1]) if len(low) else np.empty(0, bool)
+    later = heads[:, 1] > docs[at]
+    rows = [np.column_stack([heads[later][:, [0, 2, 3]], heads[later, 3] + heads[later, 4]])]
+    for i in np.flatnonzero(~later & some[at]).tolist():
+        block, _, p, s, _ = heads[i].tolist()
+        rows.append(np.array([(block, p, a, b) for a, b in to_ranges(hit[ends[at[i]] : ends[at[i] + 1]], s, length)], np.int64))
+    for block, x in by_block(np.concatenate(rows)):
+        found.setdefault(block, []).append(x)
     return _table({"block": list(found), "ranges": [pack(np.concatenate(x)) for x in found.values()]}, _RANGES)
 
 
@@ -416,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     # rows with equal ids meet in a block by text only where there is none: equal ids never remove each other's bytes
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.md5("text"))), F.lit(n_blocks)).alias("block")
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block)
-    by_block = each.groupBy("block")
+    blocks = each.groupBy("block")
 
     def ddl(s: pa.Schema) -> str:
         return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in s)
@@ -436,14 +454,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     def rest_of(t: pa.Table, ranges: pa.Table) -> pa.Table:
         return cut(t, ranges, with_text)
 
-    keys = by_block.applyInArrow(keys_of, ddl(_KEYS))
+    keys = blocks.applyInArrow(keys_of, ddl(_KEYS))
     lists = stage(keys.groupBy("bucket").applyInArrow(shared_of, ddl(_LISTS)), "keys")
-    found = stage(by_block.cogroup(lists.groupBy("block")).applyInArrow(runs_of, ddl(_RUNS)), "runs")
+    found = stage(blocks.cogroup(lists.groupBy("block")).applyInArrow(runs_of, ddl(_RUNS)), "runs")
     merged = found.filter("salt >= 0").groupBy("bucket", "salt").applyInArrow(merge_runs, ddl(_RUNS))
     met = found.filter("salt < 0").unionByName(merged)
     ranges = stage(met.groupBy("bucket").applyInArrow(ranges_of, ddl(_RANGES)), "ranges")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_block.cogroup(ranges.groupBy("block")).applyInArrow(rest_of, out)
+    return blocks.cogroup(ranges.groupBy("block")).applyInArrow(rest_of, out)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
