@@ -17,11 +17,14 @@ from .operators import brand as R
 from .operators import matching as M
 from .operators.graph import components as graph_components
 from .plans import experiment as X
+from .sources import offers as O
 from .sources.offers import FLAT_SQL, from_tables
 from .staging import stage
 
 NUM_PERM, BANDS, ROWS, SEED, SMALL = 24, 8, 3, 123, 2050
-SWEEP = [(4, 6), (8, 3), (12, 2)]
+SWEEP = B.factor_pairs(NUM_PERM)
+#: Offers of a model below which its block is small, where blocks are models.
+SMALL_MODEL = 26
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
@@ -41,13 +44,14 @@ def pairs(spark: SparkSession, d: str, offers: DataFrame | None = None) -> DataF
     return B.lsh_pairs(sigs(spark, d, offers), BANDS, ROWS)
 
 
-def model_pairs(spark: SparkSession, d: str, *cols: Column, offers: DataFrame | None = None, gap: int = 12) -> DataFrame:
-    """Pairs of offers of a block at most gap places apart, with columns of both sides (suffix 1 and 2), by an equality join on the place."""
-    o = (offers or ready(spark, d)).select("brand", "offer_id", "ord", *cols)
-    names = [c for c in o.columns if c != "brand"]
-    a = o.select("brand", *[F.col(c).alias(f"{c}1") for c in names], F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + gap)).alias("ord2"))
-    b = o.select("brand", *[F.col(c).alias(f"{c}2") for c in names])
-    return a.join(b, ["brand", "ord2"])
+def by_model(offers: DataFrame) -> DataFrame:
+    """Offers in blocks of their brand and model, of a few dozen offers at every size of the tables."""
+    return R.with_order(offers.withColumn("brand", F.concat_ws("/", "brand", "cluster_id")))
+
+
+def scored_pairs(spark: SparkSession, d: str, offers: DataFrame) -> DataFrame:
+    """All candidate pairs, written once."""
+    return stage(B.candidates(offers, sigs(spark, d, offers), BANDS, ROWS), "candidates")
 
 
 def unbranded(spark: SparkSession, d: str) -> DataFrame:
@@ -64,16 +68,23 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     o = ready(spark, d)
-    return M.score(M.pair_profiles(B.candidates(o, sigs(spark, d, o), BANDS, ROWS), o))
+    return M.score(M.pair_profiles(scored_pairs(spark, d, o), o))
+
+
+def _pairs_of(spark: SparkSession, d: str, offers: DataFrame, of: Column, prepare) -> DataFrame:  # noqa: ANN001
+    """All candidate pairs by what is compared: of of both sides (a, b), the number of pairs n_pairs that have these, and x1, x2: what prepare makes of each once."""
+    each = stage(offers.select("offer_id", of.alias("key")), "keys")
+    c = scored_pairs(spark, d, offers).join(each.toDF("oid1", "a"), "oid1").join(each.toDF("oid2", "b"), "oid2").groupBy("a", "b").agg(F.count("*").alias("n_pairs"))
+    x = stage(each.select("key").distinct().select("key", prepare(F.col("key")).alias("x")), "prepared_keys")
+    return c.join(x.toDF("a", "x1"), "a").join(x.toDF("b", "x2"), "b")
 
 
 def _text_pairs(prepare, f, name: str = "sim"):  # noqa: ANN001, ANN202
-    """Similarity f of neighbours, of what prepare makes of each title once."""
+    """Similarity f of the titles of all candidate pairs; each pair of titles is compared once."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        o = stage(ready(spark, d).withColumn("x", prepare(F.col("title"))).select("brand", "offer_id", "ord", "x"), "prepared_titles")
-        near = model_pairs(spark, d, F.col("x"), offers=o)
-        return near.select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"), F.round(f(F.col("x1"), F.col("x2")), 6).alias(name))
+        both = _pairs_of(spark, d, ready(spark, d), F.col("title"), prepare)
+        return both.select(F.col("a").alias("title1"), F.col("b").alias("title2"), "n_pairs", F.round(f(F.col("x1"), F.col("x2")), 6).alias(name))
 
     return run
 
@@ -84,28 +95,31 @@ def digest(pairs: DataFrame) -> DataFrame:
 
 
 def hard_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs: whether they share a strong word, and whether they are blocked."""
     o = ready(spark, d)
-    p = S.profile(o)
-    near = model_pairs(spark, d, offers=o).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
-    j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
+    p = stage(S.profile(o).select("offer_id", F.struct(*[f"p.{c}" for c in ("shop", "strong", "reso", "size")]).alias("p")), "short")
+    j = scored_pairs(spark, d, o).join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
     return j.select("oid1", "oid2", S.shares_strong(F.col("p1"), F.col("p2")).alias("strong"), S.blocked(F.col("p1"), F.col("p2")).alias("blocked"))
 
 
-def title_comp(spark: SparkSession, d: str) -> DataFrame:
-    o = ready(spark, d)
-    p = S.profile(o)
-    near = model_pairs(spark, d, offers=o, gap=4).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
-    j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2")
-    s = S.title_score(F.col("p1"), F.col("p2"), *[F.lit(x) for x in (0.95, 0.1, 0.5, 0.5)])
-    return j.select("oid1", "oid2", F.round(s, 6).alias("score"))
+def title_parts(title: Column) -> Column:
+    words = T.pair_words(title)
+    return F.struct(S.terms(title).alias("terms"), words.alias("words"), F.transform(words, T.split_numeric).alias("parts"), T.strong_words(title).alias("strong"))
 
 
 def key_match(spark: SparkSession, d: str) -> DataFrame:
-    o = ready(spark, d)
-    p = S.profile(o)
-    near = model_pairs(spark, d, offers=o, gap=4).select(F.col("offer_id1").alias("oid1"), F.col("offer_id2").alias("oid2"))
-    j = near.join(p.toDF("oid1", "p1"), "oid1").join(p.toDF("oid2", "p2"), "oid2").withColumn("x", S.match_keys(F.col("p1.f"), F.col("p2.f"), F.lit(0.5)))
-    return j.select("oid1", "oid2", F.round("x.sim", 6).alias("sim"), F.round("x.w", 6).alias("w"), F.col("x.m").alias("m"))
+    """Greedy matching of the features of all candidate pairs; each pair of feature lists is matched once."""
+    grams = lambda f: F.transform(f, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), S.qgrams(x["key"]).alias("kg"), S.qgrams(x["value"]).alias("vg")))
+    both = _pairs_of(spark, d, ready(spark, d), F.col("features"), grams).withColumn("x", S.match_keys(F.col("x1"), F.col("x2"), F.lit(0.5)))
+    flat = lambda c: F.array_join(F.flatten(F.transform(c, lambda x: F.array(x["key"], x["value"]))), "|")
+    return both.select(flat("a").alias("features1"), flat("b").alias("features2"), "n_pairs", F.round("x.sim", 6).alias("sim"), F.round("x.w", 6).alias("w"), F.col("x.m").alias("m"))
+
+
+def offer_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every third offer looked up by its id, and an id that no offer has."""
+    o = raw(spark, d)
+    ids = o.filter("idx % 3 = 0").select("offer_id").unionByName(spark.createDataFrame([("none#0",)], "offer_id string"))
+    return O.lookup(ids, o).select("offer_id", "cluster_id", "idx", "shop", "title")
 
 
 QUERIES = {
@@ -128,7 +142,11 @@ QUERIES = {
     "lsh_adjacency_degree": lambda s, d: B.adjacency(pairs(s, d, o := ready(s, d)), o).select("offer_id", F.size("partners").alias("degree")),
     "factor_pairs": lambda s, d: s.createDataFrame(B.factor_pairs(120), "b int, r int"),
     "lsh_configs": lambda s, d: s.createDataFrame(B.band_configs(120), "k int, b int, r int"),
-    "small_brand_pairs": lambda s, d: digest(B.block_pairs(B.split_blocks(ready(s, d), SMALL)[1])),
+    "small_brand_pairs": lambda s, d: digest(B.block_pairs(B.split_blocks(by_model(ready(s, d)), SMALL_MODEL)[1])),
+    "candidates": lambda s, d: digest(B.candidates(o := stage(by_model(ready(s, d)), "models"), stage(B.signatures(o, NUM_PERM, SEED, SMALL_MODEL), "signatures"), BANDS, ROWS, SMALL_MODEL)),
+    "first_clusters": lambda s, d: O.first_clusters(raw(s, d), 100).select("offer_id", "cluster_id", "idx"),
+    "offer_lookup": offer_lookup,
+    "value_words": lambda s, d: ready(s, d).select("offer_id", F.explode(T.value_words(F.transform("features", lambda f: f["value"]))).alias("word")),
     "all_brand_pairs": lambda s, d: digest(B.every_pair(ready(s, d), SMALL)),
     "lsh_metrics": lambda s, d: B.lsh_metrics(pairs(s, d, o := ready(s, d)), o).select(*[c if c.endswith("s") or c == "tp" else F.round(c, 6).alias(c) for c in ("tp", "cand_pairs", "true_pairs", "possible_pairs", "pc", "pq", "fc", "f1_star")]),
     "lsh_sweep": lambda s, d: B.sweep(sigs(s, d, o := ready(s, d)), o, SWEEP).select("b", "r", "tp", "cand_pairs", F.round("fc", 6).alias("fc")),
@@ -142,7 +160,7 @@ QUERIES = {
     "resolution_match": lambda s, d: ready(s, d).select("offer_id", T.resolution(F.col("features")).alias("reso")),
     "strong_words": lambda s, d: ready(s, d).select("offer_id", F.explode(T.strong_words(F.col("title"))).alias("word")),
     "hard_blocks": hard_blocks,
-    "title_comp": title_comp,
+    "title_comp": _text_pairs(title_parts, lambda p, q: S.title_score(p, q, *[F.lit(x) for x in (0.95, 0.1, 0.5, 0.5)]), "score"),
     "key_match": key_match,
     "pair_dissimilarity": lambda s, d: _scored(s, d).withColumn("d", F.round("d", 6)),
     "components": lambda s, d: graph_components(pairs(s, d).select(F.col("oid1").alias("a"), F.col("oid2").alias("b"))),
@@ -150,6 +168,7 @@ QUERIES = {
     "cluster_pairs": lambda s, d: M.cluster_pairs(M.clusters(stage(_scored(s, d), "edges"), 0.3)),
     "pair_metrics": lambda s, d: M.pair_metrics(pairs(s, d, o := ready(s, d)), o).select("tp", "fp", "fn", "n_true_pairs", "n_pred_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
     "bootstrap_split": lambda s, d: X.bootstrap(ready(s, d), SEED),
+    "curve_means": lambda s, d: (m := X.averages(points(s, d))).select(*[F.round(c, 6).alias(c) for c in m.columns]),
     "curve_bins": lambda s, d: X.bins(points(s, d)).select(*[F.round(c, 6).alias(c) for c in ("fc", "f1", "pq", "pc", "f1_star")], "n"),
     "curve_rolling_median": lambda s, d: X.smooth(X.bins(points(s, d))).select(*[F.round(c, 6).alias(c) for c in ("fc", "f1_avg", "pq_avg", "pc_avg", "f1_star_avg")]),
 }
@@ -197,8 +216,7 @@ kept AS MATERIALIZED (SELECT * FROM k0 UNION ALL SELECT * FROM sh WHERE offer_id
 ids AS (SELECT brand, shingle, (row_number() OVER (PARTITION BY brand ORDER BY min(ord), shingle) - 1)::BIGINT AS id FROM kept GROUP BY brand, shingle),
 perm(k, a, b) AS (VALUES {_PERMS}),
 big AS (SELECT c.* FROM c JOIN bn ON c.brand = bn.brand WHERE n >= 4),
-sg AS MATERIALIZED (SELECT big.brand, big.offer_id, k::INT AS k, coalesce(min((a + b * id) % {PRIME}), {PRIME})::BIGINT AS h FROM big CROSS JOIN perm LEFT JOIN (SELECT offer_id, id FROM kept JOIN ids ON kept.brand = ids.brand AND kept.shingle = ids.shingle) i ON i.offer_id = big.offer_id GROUP BY big.brand, big.offer_id, k),
-near AS (SELECT a.offer_id AS oid1, b.offer_id AS oid2, b.ord - a.ord AS gap FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord AND b.ord <= a.ord + 12)"""
+sg AS MATERIALIZED (SELECT big.brand, big.offer_id, k::INT AS k, coalesce(min((a + b * id) % {PRIME}), {PRIME})::BIGINT AS h FROM big CROSS JOIN perm LEFT JOIN (SELECT offer_id, id FROM kept JOIN ids ON kept.brand = ids.brand AND kept.shingle = ids.shingle) i ON i.offer_id = big.offer_id GROUP BY big.brand, big.offer_id, k)"""
 
 
 def _band_sql(b: int, r: int, name: str = "") -> str:
@@ -217,9 +235,32 @@ def _with(body: str, more: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{CTE}{',' + more if more else ''}\n{body}"
 
 
+#: Counts of a sweep by classes of equal signatures, whose pairs are not made.
+_CLASSES = """
+s1 AS (SELECT brand, offer_id, list(h ORDER BY k) AS sig FROM sg GROUP BY brand, offer_id),
+s2 AS MATERIALIZED (SELECT s1.brand, s1.offer_id, sig, min(s1.offer_id) OVER (PARTITION BY s1.brand, sig) AS cls, model_id FROM s1 JOIN c ON c.offer_id = s1.offer_id),
+cm AS MATERIALIZED (SELECT cls, model_id, count(*)::BIGINT AS n FROM s2 GROUP BY cls, model_id),
+cn AS MATERIALIZED (SELECT cls, sum(n)::BIGINT AS n FROM cm GROUP BY cls),
+cs AS MATERIALIZED (SELECT DISTINCT brand, cls, sig FROM s2),
+"""
+
+
+def _sweep_sql(b: int, r: int) -> str:
+    return f"""
+xb{b} AS (SELECT brand, cls, j AS band, sig[j * {r} + 1 : j * {r} + {r}] AS key FROM cs, range({b}) t(j)),
+xp{b} AS MATERIALIZED (SELECT DISTINCT x.cls AS c1, y.cls AS c2 FROM xb{b} x JOIN xb{b} y ON x.brand = y.brand AND x.band = y.band AND x.key = y.key AND x.cls < y.cls),
+xm{b} AS (SELECT {b} AS b, {r} AS r, ((SELECT coalesce(sum(p.n * q.n), 0) FROM xp{b} JOIN cm p ON p.cls = c1 JOIN cm q ON q.cls = c2 AND q.model_id = p.model_id) + (SELECT sum(n * (n - 1) / 2) FROM cm))::BIGINT AS tp,
+  ((SELECT coalesce(sum(p.n * q.n), 0) FROM xp{b} JOIN cn p ON p.cls = c1 JOIN cn q ON q.cls = c2) + (SELECT sum(n * (n - 1) / 2) FROM cn))::BIGINT AS cand_pairs)"""
+
+
+_SWEEP = "SELECT {} FROM (SELECT *, cand_pairs / possible_pairs AS fc, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY brand, model_id))::BIGINT AS true_pairs FROM (" + " UNION ALL ".join(f"SELECT *, (SELECT sum(n * (n - 1) / 2) FROM bn)::BIGINT AS possible_pairs FROM xm{b}" for b, _ in SWEEP) + "))"
 _LP = _band_sql(BANDS, ROWS)
-_TITLES = "near JOIN st p ON p.offer_id = oid1 JOIN st q ON q.offer_id = oid2"
-_SIM = "SELECT oid1, oid2, round({}, 6) AS sim FROM " + _TITLES
+_TITLE_PAIRS = """
+tp AS MATERIALIZED (SELECT p.title AS title1, q.title AS title2, count(*)::BIGINT AS n_pairs FROM lp JOIN c p ON p.offer_id = oid1 JOIN c q ON q.offer_id = oid2 GROUP BY p.title, q.title),
+tt AS (SELECT title, any_value(pw) AS pw, any_value(strong) AS strong FROM st GROUP BY title)"""
+_PAIRED = _LP + "," + _TITLE_PAIRS
+_TITLES = "tp JOIN tt p ON p.title = title1 JOIN tt q ON q.title = title2"
+_SIM = "SELECT title1, title2, n_pairs, round({}, 6) AS sim FROM " + _TITLES
 _TERMS = "string_split(lower({}.title), ' ')"
 _Q = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr(' ' || lower({0}) || ' ', i, 3)))"
 _LEV = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 0 ELSE 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) END"
@@ -235,17 +276,73 @@ _BLOCKED = "NOT list_has_any(p.strong, q.strong) AND (p.shop IS NOT DISTINCT FRO
 _ALL = "flatten(list_transform(p.pw, lambda a: list_transform(q.pw, lambda b: {})))"
 _TEXT_LEV = _LEV.format(_SPLIT_TEXT("a"), _SPLIT_TEXT("b"))
 _ALIKE = "len(list_filter(" + _ALL.format(f"({_TEXT_LEV}) > 0.5 AND ({_SPLIT_NUM('a')}) {{}} ({_SPLIT_NUM('b')})") + ", lambda z: z)) > 0"
-_TITLE_SQL = (
-    "SELECT oid1, oid2, round(CASE WHEN same THEN 1 WHEN rival THEN -1 WHEN cos > 0.95 THEN 1 WHEN far THEN -1 WHEN alike THEN 0.5 * bare + 0.5 * (0.1 * cos + 0.9 * lev) ELSE 0.1 * cos + 0.9 * lev END, 6) AS score FROM ("
-    "SELECT *, x / (sqrt(n1) * sqrt(n2)) AS cos FROM (SELECT oid1, oid2, same, rival, far, alike, bare, lev, " + f"{_COS_TERMS.format('t1', 't2')} AS x, {_COS_TERMS.format('t1', 't1')} AS n1, {_COS_TERMS.format('t2', 't2')} AS n2 FROM ("
-    f"SELECT oid1, oid2, {_TERMS.format('p')} AS t1, {_TERMS.format('q')} AS t2, list_has_any(p.strong, q.strong) AS same, len(p.strong) > 0 AND len(q.strong) > 0 AS rival, {_ALIKE.format('<>')} AS far, {_ALIKE.format('=')} AS alike, "
-    f"coalesce(list_avg({_ALL.format(_TEXT_LEV)}), 0) AS bare, coalesce(list_avg({_ALL.format(_LEV.format('a', 'b'))}), 0) AS lev FROM {_TITLES} WHERE gap <= 4)))"
-)
+def _title_sql(alpha: float) -> str:
+    return (
+        f"SELECT title1, title2, n_pairs, CASE WHEN same THEN 1 WHEN rival THEN -1 WHEN cos > {alpha} THEN 1 WHEN far THEN -1 WHEN alike THEN 0.5 * bare + 0.5 * (0.1 * cos + 0.9 * lev) ELSE 0.1 * cos + 0.9 * lev END AS score FROM ("
+        "SELECT *, x / (sqrt(n1) * sqrt(n2)) AS cos FROM (SELECT title1, title2, n_pairs, same, rival, far, alike, bare, lev, " + f"{_COS_TERMS.format('t1', 't2')} AS x, {_COS_TERMS.format('t1', 't1')} AS n1, {_COS_TERMS.format('t2', 't2')} AS n2 FROM ("
+        f"SELECT title1, title2, n_pairs, {_TERMS.format('p')} AS t1, {_TERMS.format('q')} AS t2, list_has_any(p.strong, q.strong) AS same, len(p.strong) > 0 AND len(q.strong) > 0 AS rival, {_ALIKE.format('<>')} AS far, {_ALIKE.format('=')} AS alike, "
+        f"coalesce(list_avg({_ALL.format(_TEXT_LEV)}), 0) AS bare, coalesce(list_avg({_ALL.format(_LEV.format('a', 'b'))}), 0) AS lev FROM {_TITLES})))"
+    )
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    """Of the q-grams of two texts; 0 where neither has one."""
+    return f"coalesce(len(list_intersect({_Q.format(a)}, {_Q.format(b)})) / nullif(len(list_distinct(list_concat({_Q.format(a)}, {_Q.format(b)}))), 0), 0)"
+
+
+def _first_hit(i: int) -> str:
+    """Place of the first feature of the second offer, not taken before, whose key is similar enough; 0 if none."""
+    free = "".join(f" AND j <> m{k}" for k in range(1, i))
+    return f"coalesce(list_position(list_transform(range(1, 5), lambda j: m[ks1[{i}] || '~' || ks2[j]] > 0.5{free}), true), 0) AS m{i}"
+
+
+def _by_model(body: str, more: str = "") -> str:
+    """The SQL with blocks of brand and model, hashed from SMALL_MODEL offers on."""
+    return _with(body, more).replace("coalesce(top, 'unknown') AS brand,", "coalesce(top, 'unknown') || '/' || o.cluster_id AS brand,").replace("WHERE n >= 4)", f"WHERE n >= {SMALL_MODEL})")
+
+
+_FOUR_KEYS = range(1, 5)
+_FEATURE_PAIRS = f"""
+ft AS MATERIALIZED (SELECT offer_id, concat_ws('|', k1, v1, k2, v2, k3, v3, k4, v4) AS f, [k1, k2, k3, k4] AS ks, [v1, v2, v3, v4] AS vs FROM c),
+fu AS (SELECT f, any_value(ks) AS ks, any_value(vs) AS vs FROM ft GROUP BY f),
+fk AS (SELECT DISTINCT unnest(ks) AS k FROM fu),
+km AS MATERIALIZED (SELECT map_from_entries(list((a.k || '~' || b.k, {_jaccard_sql('a.k', 'b.k')}))) AS m FROM fk a, fk b),
+fp AS MATERIALIZED (SELECT p.f AS f1, q.f AS f2, count(*)::BIGINT AS n_pairs FROM {{}} JOIN ft p ON p.offer_id = oid1 JOIN ft q ON q.offer_id = oid2 GROUP BY p.f, q.f),
+g0 AS (SELECT f1, f2, n_pairs, p.ks AS ks1, q.ks AS ks2, p.vs AS vs1, q.vs AS vs2, m FROM fp JOIN fu p ON p.f = f1 JOIN fu q ON q.f = f2, km),
+""" + ",\n".join(f"g{i} AS (SELECT *, {_first_hit(i)} FROM g{i - 1})" for i in _FOUR_KEYS) + """,
+mk AS MATERIALIZED (SELECT *, """ + " + ".join(f"CASE WHEN m{i} > 0 THEN m[ks1[{i}] || '~' || ks2[m{i}]] * {_jaccard_sql(f'vs1[{i}]', f'vs2[m{i}]')} ELSE 0 END" for i in _FOUR_KEYS) + " AS sim, " + " + ".join(f"CASE WHEN m{i} > 0 THEN m[ks1[{i}] || '~' || ks2[m{i}]] ELSE 0 END" for i in _FOUR_KEYS) + " AS w, (" + " + ".join(f"(m{i} > 0)::INT" for i in _FOUR_KEYS) + ")::INT AS n FROM g4)"
+
+#: VALUE_WORD for a dialect without lookaround: blanks around a resolution are cut off.
+_VALUE_WORD = r"^\d+\.\d+|\b\d+:\d+\b|(?:^|\s)\d{3,}\s*x\s*\d{3,}(?:\s|$)"
+
+
+def _words_sql(values: str) -> str:
+    return f"list_distinct(list_transform(flatten(list_transform({values}, lambda x: regexp_extract_all(x, '{_VALUE_WORD}'))), lambda w: trim(w)))"
+
+
+_ALONE, _REST = ("list_filter([" + ", ".join(f"CASE WHEN m{i} = 0 THEN vs1[{i}] END" for i in _FOUR_KEYS) + "], lambda x: x IS NOT NULL)"), ("list_filter([" + ", ".join(f"CASE WHEN {i} NOT IN (m1, m2, m3, m4) THEN vs2[{i}] END" for i in _FOUR_KEYS) + "], lambda x: x IS NOT NULL)")
+_MU = M.Params().mu
+_DISSIMILARITY = f"""
+bl AS MATERIALIZED (SELECT lp.*, {_BLOCKED} AS blocked FROM lp JOIN st p ON p.offer_id = oid1 JOIN st q ON q.offer_id = oid2),
+un AS MATERIALIZED (SELECT brand, oid1, oid2 FROM bl WHERE NOT blocked),
+{_TITLE_PAIRS.replace("FROM lp", "FROM un").strip()},
+ts AS MATERIALIZED ({_title_sql(M.Params().alpha)}),
+{_FEATURE_PAIRS.format('un').strip()},
+ws AS (SELECT f1, f2, coalesce(sim / nullif(w, 0), 0) AS mean, n / 4 AS share, {_words_sql(_ALONE)} AS wa, {_words_sql(_REST)} AS wb FROM mk),
+fs AS MATERIALIZED (SELECT f1, f2, mean, share, coalesce(len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0), 0) AS words FROM ws),
+sd AS (SELECT un.brand, oid1, oid2, 1 - CASE WHEN score = -1 THEN share * mean + (1 - share) * words ELSE {1 - _MU} * share * mean + ({1 - _MU} - {1 - _MU} * share) * words + {_MU} * score END AS d
+  FROM un JOIN c p ON p.offer_id = oid1 JOIN c q ON q.offer_id = oid2 JOIN ts ON title1 = p.title AND title2 = q.title JOIN ft x ON x.offer_id = oid1 JOIN ft y ON y.offer_id = oid2 JOIN fs ON f1 = x.f AND f2 = y.f)"""
 
 _DIGEST = "SELECT brand, oid1, count(*)::BIGINT AS n, min(oid2) AS low, max(oid2) AS high FROM ({}) GROUP BY brand, oid1"
 
 ORACLES = {
-    "title_comp": _with(_TITLE_SQL),
+    "title_comp": _with(f"SELECT title1, title2, n_pairs, round(score, 6) AS score FROM ({_title_sql(0.95)})", _PAIRED),
+    "key_match": _with("SELECT f1 AS features1, f2 AS features2, n_pairs, round(sim, 6) AS sim, round(w, 6) AS w, n AS m FROM mk", _LP + "," + _FEATURE_PAIRS.format("lp")),
+    "pair_dissimilarity": _with("SELECT brand, oid1, oid2, round(CASE WHEN d > 0.4 THEN 1.0 ELSE d END, 6)::DOUBLE AS d FROM sd UNION ALL SELECT brand, oid1, oid2, 1.0::DOUBLE FROM bl WHERE blocked", _LP + "," + _DISSIMILARITY),
+    "first_clusters": _with("SELECT offer_id, cluster_id, idx FROM o WHERE cluster_id::INT < 100"),
+    "offer_lookup": _with("SELECT offer_id, cluster_id, idx, shop, title FROM o WHERE idx % 3 = 0 UNION ALL SELECT 'none#0', NULL, NULL, NULL, NULL"),
+    "value_words": _with(f"SELECT offer_id, unnest({_words_sql('[v1, v2, v3, v4]')}) AS word FROM c"),
+    "curve_means": f"WITH {_POINTS} SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("fc", "f1", "pq", "pc", "f1_star")) + " FROM pt",
     "clean_titles": _with(f"SELECT offer_id, {_clean_sql('title', T.TITLE_RULES)} AS title FROM o"),
     "clean_feature_values": _with(" UNION ALL ".join(f"SELECT offer_id, k{i} AS key, v{i} AS value FROM c" for i in range(1, 5))),
     "extract_brand": _with("SELECT offer_id, own AS brand FROM xb"),
@@ -265,20 +362,21 @@ ORACLES = {
     "lsh_adjacency_degree": _with("SELECT c.offer_id, count(x)::INT AS degree FROM c LEFT JOIN (SELECT oid1 AS x, oid2 AS y FROM lp UNION ALL SELECT oid2, oid1 FROM lp) e ON e.x = c.offer_id GROUP BY c.offer_id", _LP),
     "factor_pairs": "SELECT b::INT AS b, (120 // b)::INT AS r FROM range(1, 121) t(b) WHERE 120 % b = 0",
     "lsh_configs": "SELECT k::INT AS k, b::INT AS b, (k // b)::INT AS r FROM range(118, 123) x(k), range(1, 123) y(b) WHERE b <= k AND k % b = 0",
-    "small_brand_pairs": _with(_DIGEST.format(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord JOIN bn ON bn.brand = a.brand WHERE n < {SMALL}")),
+    "small_brand_pairs": _by_model(_DIGEST.format(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord JOIN bn ON bn.brand = a.brand WHERE n < {SMALL_MODEL}")),
+    "candidates": _by_model(_DIGEST.format(f"SELECT * FROM lp UNION ALL SELECT a.brand, a.offer_id, b.offer_id FROM c a JOIN c b ON a.brand = b.brand AND a.ord < b.ord JOIN bn ON bn.brand = a.brand WHERE n < {SMALL_MODEL}"), _LP),
     "all_brand_pairs": _with(_DIGEST.format(f"SELECT a.brand, a.offer_id AS oid1, b.offer_id AS oid2 FROM c a JOIN c b ON a.brand = b.brand JOIN bn ON bn.brand = a.brand WHERE CASE WHEN n < {SMALL} THEN a.ord < b.ord ELSE a.offer_id < b.offer_id END")),
     "lsh_metrics": _with("SELECT *, round(tp / true_pairs, 6) AS pc, round(tp / cand_pairs, 6) AS pq, round(cand_pairs / possible_pairs, 6) AS fc, round(2 * (tp / true_pairs) * (tp / cand_pairs) / (tp / true_pairs + tp / cand_pairs), 6) AS f1_star FROM mt", _LP + "," + _metrics_sql()),
-    "lsh_sweep": _with(" UNION ALL ".join(f"SELECT {b} AS b, {r} AS r, tp, cand_pairs, round(cand_pairs / possible_pairs, 6) AS fc FROM mt{b}" for b, r in SWEEP), ",".join(_band_sql(b, r, str(b)) + "," + _metrics_sql(str(b)) for b, r in SWEEP)),
-    "lsh_best": _with("SELECT b, r FROM (" + " UNION ALL ".join(f"SELECT {b} AS b, {r} AS r, tp / true_pairs AS pc, cand_pairs / possible_pairs AS fc FROM mt{b}" for b, r in SWEEP) + ") WHERE pc > 0.5 AND fc < 1 ORDER BY fc, b LIMIT 1", ",".join(_band_sql(b, r, str(b)) + "," + _metrics_sql(str(b)) for b, r in SWEEP)),
-    "qgram_sim": _with(_SIM.format(f"len(list_intersect({_Q.format('p.title')}, {_Q.format('q.title')})) / len(list_distinct(list_concat({_Q.format('p.title')}, {_Q.format('q.title')})))")),
-    "cosine_sim": _with(_SIM.format("x / (sqrt(n1) * sqrt(n2))").replace(_TITLES, f"(SELECT oid1, oid2, {_COS_TERMS.format('t1', 't2')} AS x, {_COS_TERMS.format('t1', 't1')} AS n1, {_COS_TERMS.format('t2', 't2')} AS n2 FROM (SELECT oid1, oid2, {_TERMS.format('p')} AS t1, {_TERMS.format('q')} AS t2 FROM {_TITLES}))")),
-    "norm_lev": _with(_SIM.format(_LEV.format("p.title", "q.title"))),
-    "avg_lev": _with(_SIM.format("CASE WHEN len(p.pw) = 0 OR len(q.pw) = 0 THEN 0 ELSE list_avg(flatten(list_transform(p.pw, lambda a: list_transform(q.pw, lambda b: " + _LEV.format("a", "b") + ")))) END")),
+    "lsh_sweep": _with(_SWEEP.format("b, r, tp, cand_pairs, round(fc, 6) AS fc"), _CLASSES + ",".join(_sweep_sql(b, r) for b, r in SWEEP)),
+    "lsh_best": _with("SELECT b, r FROM (" + _SWEEP.format("b, r, tp / true_pairs AS pc, fc") + ") WHERE pc > 0.5 AND fc < 1 ORDER BY fc, b LIMIT 1", _CLASSES + ",".join(_sweep_sql(b, r) for b, r in SWEEP)),
+    "qgram_sim": _with(_SIM.format(f"len(list_intersect({_Q.format('p.title')}, {_Q.format('q.title')})) / len(list_distinct(list_concat({_Q.format('p.title')}, {_Q.format('q.title')})))"), _PAIRED),
+    "cosine_sim": _with(_SIM.format("x / (sqrt(n1) * sqrt(n2))").replace(_TITLES, f"(SELECT title1, title2, n_pairs, {_COS_TERMS.format('t1', 't2')} AS x, {_COS_TERMS.format('t1', 't1')} AS n1, {_COS_TERMS.format('t2', 't2')} AS n2 FROM (SELECT title1, title2, n_pairs, {_TERMS.format('p')} AS t1, {_TERMS.format('q')} AS t2 FROM {_TITLES}))"), _PAIRED),
+    "norm_lev": _with(_SIM.format(_LEV.format("p.title", "q.title")), _PAIRED),
+    "avg_lev": _with(_SIM.format("CASE WHEN len(p.pw) = 0 OR len(q.pw) = 0 THEN 0 ELSE list_avg(flatten(list_transform(p.pw, lambda a: list_transform(q.pw, lambda b: " + _LEV.format("a", "b") + ")))) END"), _PAIRED),
     "split_numeric": _with(f"SELECT offer_id, word, {_SPLIT_TEXT('word')} AS text, {_SPLIT_NUM('word')} AS number FROM (SELECT DISTINCT offer_id, unnest(string_split(title, ' ')) AS word FROM c)"),
     "size_inches": _with("SELECT offer_id, size FROM st"),
     "resolution_match": _with("SELECT offer_id, reso FROM st"),
     "strong_words": _with("SELECT offer_id, unnest(strong) AS word FROM st"),
-    "hard_blocks": _with(f"SELECT oid1, oid2, list_has_any(p.strong, q.strong) AS strong, {_BLOCKED} AS blocked FROM {_TITLES}"),
+    "hard_blocks": _with(f"SELECT oid1, oid2, list_has_any(p.strong, q.strong) AS strong, {_BLOCKED} AS blocked FROM lp JOIN st p ON p.offer_id = oid1 JOIN st q ON q.offer_id = oid2", _LP),
     "pair_metrics": _with("SELECT tp, cand_pairs - tp AS fp, true_all - tp AS fn, true_all AS n_true_pairs, cand_pairs AS n_pred_pairs, round(tp / cand_pairs, 6) AS precision, round(tp / true_all, 6) AS recall, round(2 * (tp / cand_pairs) * (tp / true_all) / (tp / cand_pairs + tp / true_all), 6) AS f1 FROM (SELECT *, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY model_id))::BIGINT AS true_all FROM mt)", _LP + "," + _metrics_sql()),
     "curve_bins": f"WITH {_POINTS}, {_BINS} SELECT round(fc, 6) AS fc, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FOUR) + ", n FROM bi",
     "curve_rolling_median": f"WITH {_POINTS}, {_BINS} SELECT round(fc, 6) AS fc, " + ", ".join(f"round(quantile_cont({c}, 0.5) OVER (ORDER BY fc ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS {c}_avg" for c in _FOUR) + " FROM bi",

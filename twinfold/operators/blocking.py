@@ -11,6 +11,7 @@ from ..functions.similarity import ratio
 from ..functions.tables import PRIME
 from ..functions.text import shingles
 from ..staging import stage
+from .order import numbered
 
 MIN_OFFERS = 4
 
@@ -38,11 +39,12 @@ def shingle_df(rows: DataFrame) -> DataFrame:
 
 def filter_by_df(rows: DataFrame, offers: DataFrame, min_df: int = 2, max_share: float = 0.5) -> DataFrame:
     """Rows whose shingle is in min_df to max_share of the block's offers; an offer that would lose all keeps all."""
+    rows = stage(rows, "shingles")
     limits = shingle_df(rows).join(block_sizes(offers), "brand")
-    fine = limits.filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n"))).select("brand", "shingle")
-    kept = rows.join(fine, ["brand", "shingle"], "left_semi")
-    bare = rows.join(kept.select("offer_id").distinct(), "offer_id", "left_anti").select(*kept.columns)
-    return kept.unionByName(bare)
+    fine = limits.select("brand", "shingle", ((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n"))).alias("fine"))
+    marked = rows.join(fine, ["brand", "shingle"])
+    any_fine = F.max("fine").over(W.partitionBy("offer_id"))  # an offer's shingles are few
+    return marked.withColumn("any", any_fine).filter(F.col("fine") | ~F.col("any")).select(*rows.columns)
 
 
 def shingle_ids(kept: DataFrame, dense: bool = True) -> DataFrame:
@@ -50,7 +52,7 @@ def shingle_ids(kept: DataFrame, dense: bool = True) -> DataFrame:
     if not dense:
         return kept.select("brand", "shingle").distinct().withColumn("id", F.xxhash64("shingle").bitwiseAND(F.lit((1 << 31) - 1)))
     first = kept.groupBy("brand", "shingle").agg(F.min("ord").alias("ord"))
-    return first.select("brand", "shingle", (F.row_number().over(W.partitionBy("brand").orderBy("ord", "shingle")) - 1).cast("long").alias("id"))
+    return numbered(first, "brand", ["ord", "shingle"], "id").select("brand", "shingle", (F.col("id") - 1).cast("long").alias("id"))
 
 
 def hash_family(num_perm: int, seed: int) -> tuple[list[int], list[int]]:
@@ -70,7 +72,7 @@ def minhash(ids: Column, a: list[int], b: list[int], prime: int = PRIME) -> Colu
 def signatures(offers: DataFrame, num_perm: int = 120, seed: int = 123, min_offers: int = MIN_OFFERS, dense: bool = True) -> DataFrame:
     """brand, offer_id, sig of the offers in large blocks. An offer without shingles has the prime everywhere."""
     large, _ = split_blocks(offers, min_offers)
-    kept = stage(filter_by_df(stage(shingle_rows(large), "shingles"), large), "kept")
+    kept = stage(filter_by_df(shingle_rows(large), large), "kept")
     ids = kept.join(shingle_ids(kept, dense), ["brand", "shingle"]).groupBy("offer_id").agg(F.collect_set("id").alias("ids"))
     each = large.select("brand", "offer_id").join(ids, "offer_id", "left")
     a, b = hash_family(num_perm, seed)
@@ -92,8 +94,26 @@ def band_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, ["brand", "band", "key"]).filter("oid1 < oid2").select("brand", "oid1", "oid2").distinct()
 
 
+def signature_classes(sigs: DataFrame) -> DataFrame:
+    """brand, sig, class: offers of a brand with equal signatures share all bands; the smallest offer names their class."""
+    return sigs.groupBy("brand", "sig").agg(F.min("offer_id").alias("class"))
+
+
+def class_pairs(classes: DataFrame, b: int, r: int) -> DataFrame:
+    """brand, class1, class2 (class1 < class2): classes that share a band, each pair once. Equal signatures don't meet each other here."""
+    return band_pairs(bands(classes.withColumnRenamed("class", "offer_id"), b, r)).toDF("brand", "class1", "class2")
+
+
 def lsh_pairs(sigs: DataFrame, b: int, r: int) -> DataFrame:
-    return band_pairs(bands(sigs, b, r))
+    """brand, oid1, oid2 (oid1 < oid2): offers that share a band, each pair once: pairs of classes with their members, and pairs inside classes."""
+    if b * r > 0:
+        sigs = sigs.select("brand", "offer_id", F.when(F.size("sig") < b * r, F.raise_error(F.lit("signature shorter than the bands"))).otherwise(F.slice("sig", 1, b * r)).alias("sig"))
+    classes = stage(signature_classes(sigs), "classes")
+    members = stage(sigs.join(classes, ["brand", "sig"]).select("brand", "class", "offer_id"), "members")
+    one, two = (members.select("brand", F.col("class").alias(f"class{i}"), F.col("offer_id").alias(f"o{i}")) for i in (1, 2))
+    across = class_pairs(classes, b, r).join(one, ["brand", "class1"]).join(two, ["brand", "class2"]).select("brand", F.least("o1", "o2").alias("oid1"), F.greatest("o1", "o2").alias("oid2"))
+    inside = one.join(two.withColumnRenamed("class2", "class1"), ["brand", "class1"]).filter("o1 < o2").select("brand", F.col("o1").alias("oid1"), F.col("o2").alias("oid2"))
+    return across.unionByName(inside)
 
 
 def adjacency(pairs: DataFrame, offers: DataFrame) -> DataFrame:
@@ -109,10 +129,10 @@ def block_pairs(offers: DataFrame, order: str = "ord") -> DataFrame:
     return a.join(b, "brand").filter("o1 < o2").select("brand", "oid1", "oid2")
 
 
-def candidates(offers: DataFrame, sigs: DataFrame, b: int, r: int, min_offers: int = MIN_OFFERS) -> DataFrame:
-    """Band pairs of large blocks and all pairs of small ones."""
+def candidates(offers: DataFrame, sigs: DataFrame, b: int, r: int, min_offers: int = MIN_OFFERS, strict: bool = True) -> DataFrame:
+    """Band pairs of large blocks and all pairs of small ones. Unless strict, signatures shorter than the bands give no pairs, in place of an error."""
     _, small = split_blocks(offers, min_offers)
-    return lsh_pairs(sigs, b, r).unionByName(block_pairs(small))
+    return lsh_pairs(sigs if strict else sigs.filter(F.size("sig") >= b * r), b, r).unionByName(block_pairs(small))
 
 
 def every_pair(offers: DataFrame, min_offers: int = MIN_OFFERS) -> DataFrame:
@@ -153,12 +173,32 @@ def lsh_metrics(pairs: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def sweep(sigs: DataFrame, offers: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
-    """b, r and lsh_metrics of each configuration, in one plan."""
-    out = None
+    """b, r and lsh_metrics of each configuration, in one plan.
+
+    Pairs are counted by classes of equal signatures and never made: a pair of classes stands for the product of their sizes, and its
+    true pairs for the products of their sizes in each model.
+    """
+    model = offers.select("offer_id", "model_id")
+    classes = stage(signature_classes(sigs), "classes")
+    members = sigs.join(classes, ["brand", "sig"]).join(model, "offer_id")
+    by_model = stage(members.groupBy("class", "model_id").agg(F.count("*").alias("n")), "bymodel")
+    sizes = by_model.groupBy("class").agg(F.sum("n").alias("n"))
+    n = F.col("n")
+    inside = by_model.agg(_half(n).alias("tp0")).crossJoin(sizes.agg(_half(n).alias("c0")))  # two single rows
+    true = offers.groupBy("brand", "model_id").count().agg(_half(F.col("count")).alias("true_pairs"))
+    possible = offers.groupBy("brand").count().agg(_half(F.col("count")).alias("possible_pairs"))
+    fixed = inside.crossJoin(true).crossJoin(possible)  # single rows
+    pairs = None
     for b, r in configs:
-        row = lsh_metrics(lsh_pairs(sigs, b, r), offers).withColumns({"b": F.lit(b), "r": F.lit(r)})
-        out = row if out is None else out.unionByName(row)
-    return out
+        each = class_pairs(classes, b, r).select(F.lit(b).alias("b"), F.lit(r).alias("r"), "class1", "class2")
+        pairs = each if pairs is None else pairs.unionByName(each)
+    pairs = stage(pairs, "classpairs")
+    found = pairs.join(sizes.toDF("class1", "n1"), "class1").join(sizes.toDF("class2", "n2"), "class2").groupBy("b", "r").agg(F.sum(F.col("n1") * F.col("n2")).alias("c1"))
+    hit = pairs.join(by_model.toDF("class1", "model_id", "n1"), "class1").join(by_model.toDF("class2", "model_id", "n2"), ["class2", "model_id"]).groupBy("b", "r").agg(F.sum(F.col("n1") * F.col("n2")).alias("tp1"))
+    rows = offers.sparkSession.createDataFrame(configs, "b int, r int").join(found, ["b", "r"], "left").join(hit, ["b", "r"], "left").crossJoin(fixed)  # one row each
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = rows.select("b", "r", (zero(F.col("tp1")) + F.col("tp0")).alias("tp"), (zero(F.col("c1")) + F.col("c0")).alias("cand_pairs"), "true_pairs", "possible_pairs")
+    return rows.select("*", *[c.alias(k) for k, c in pair_quality(*map(F.col, ("tp", "cand_pairs", "true_pairs", "possible_pairs"))).items()])
 
 
 def best_config(metrics: DataFrame, min_pc: float = 0.8) -> DataFrame:

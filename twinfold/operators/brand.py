@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
 from ..functions.text import UNKNOWN, clean_features, clean_title, extract_brand, guess_brand, normalize_brand, strip
 
-#: Known brands up to which the dictionary is collected for title matching.
-MAX_BRANDS = 100_000
+#: Known brands up to which they are one dictionary in an expression; more are matched by words, in a join.
+MAX_BRANDS = 2_000
 
 
 def majority(offers: DataFrame, brand: str = "brand") -> DataFrame:
@@ -18,17 +19,37 @@ def majority(offers: DataFrame, brand: str = "brand") -> DataFrame:
     return counts.groupBy("cluster_id").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("b").alias("b"))).alias("m")).select("cluster_id", F.col("m.b").alias("top"))
 
 
-def known_brands(tops: DataFrame) -> list[str]:
+def known_brands(tops: DataFrame) -> list[str] | None:
+    """The distinct brands, sorted; None if they are more than MAX_BRANDS."""
     rows = tops.select("top").distinct().limit(MAX_BRANDS + 1).collect()
-    if len(rows) > MAX_BRANDS:
-        raise ValueError(f"more than {MAX_BRANDS} brands")
-    return sorted(r["top"] for r in rows)
+    return sorted(r["top"] for r in rows) if len(rows) <= MAX_BRANDS else None
 
 
-def fill_from_titles(offers: DataFrame, brands: list[str]) -> DataFrame:
-    """cluster_id, guess: the first title (by idx) that names a brand."""
-    g = normalize_brand(guess_brand(strip(F.col("title")), brands))
-    return offers.select("cluster_id", "idx", g.alias("g")).filter(F.col("g") != UNKNOWN).groupBy("cluster_id").agg(F.min_by("g", "idx").alias("guess"))
+def guesses(offers: DataFrame, brands: list[str]) -> DataFrame:
+    """cluster_id, idx, g: the brand that a title names, or unknown."""
+    return offers.select("cluster_id", "idx", normalize_brand(guess_brand(strip(F.col("title")), brands)).alias("g"))
+
+
+def guesses_by_join(offers: DataFrame, tops: DataFrame) -> DataFrame:
+    """guesses for any number of brands: a title's runs of words are joined with the brands; the leftmost counts, of those at a place the longest.
+
+    A brand stands between word boundaries, so it begins and ends with whole words.
+    """
+    brands = tops.select(F.col("top").alias("b")).distinct()
+    most = brands.agg(F.max(F.size(F.split("b", " ")))).first()[0] or 0
+    title = strip(F.col("title"))
+    words = F.split(F.lower(title), r"(?U)(?<=\w)(?=[^\w])|(?<=[^\w])(?=\w)")  # words and what stands between them, in turn
+    runs = F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(1), F.lit(2 * most)), lambda n: F.struct(i.alias("at"), (-n).alias("less"), F.array_join(F.slice(words, i + 1, n), "").alias("b")))))
+    found = offers.select("cluster_id", "idx", F.explode(runs).alias("x")).select("cluster_id", "idx", "x.*").join(brands, "b")
+    best = found.groupBy("cluster_id", "idx").agg(F.min(F.struct("at", "less", "b")).alias("x"))
+    return best.select("cluster_id", "idx", normalize_brand(F.col("x.b")).alias("g"))
+
+
+def fill_from_titles(offers: DataFrame, tops: DataFrame) -> DataFrame:
+    """cluster_id, guess: the first title (by idx) that names a brand of tops (top)."""
+    brands = known_brands(tops)
+    g = guesses_by_join(offers, tops) if brands is None else guesses(offers, brands)
+    return g.filter(F.col("g") != UNKNOWN).groupBy("cluster_id").agg(F.min_by("g", "idx").alias("guess"))
 
 
 def annotate(offers: DataFrame, propagate: bool = True) -> DataFrame:
@@ -38,7 +59,7 @@ def annotate(offers: DataFrame, propagate: bool = True) -> DataFrame:
         return each
     tops = majority(each)
     none = offers.join(tops, "cluster_id", "left_anti")
-    guess = fill_from_titles(none, known_brands(tops))
+    guess = fill_from_titles(none, tops)
     return each.join(tops, "cluster_id", "left").join(guess, "cluster_id", "left").withColumn("brand", F.coalesce("top", "guess", F.lit(UNKNOWN))).drop("top", "guess")
 
 
@@ -50,7 +71,7 @@ def clean_offers(offers: DataFrame) -> DataFrame:
 
 def with_order(offers: DataFrame) -> DataFrame:
     """ord: place in the order duplicates first, then cluster and index, within the brand; only orders inside a brand matter."""
-    return offers.withColumn("ord", F.row_number().over(W.partitionBy("brand").orderBy("is_single", "cluster_id", "idx")))
+    return numbered(offers, "brand", ["is_single", "cluster_id", "idx"], "ord")
 
 
 def prepare(offers: DataFrame, propagate: bool = True) -> DataFrame:
