@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 
 RATE = 0.08
 BLOCK_CHARS = 8_000_000
@@ -153,7 +153,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in slices(batches):
                 rows, ids = [], []
                 for i, text in enumerate(b.column("text").to_pylist()):
                     for k, d, s, e in matcher.search(normal(text)):
@@ -174,7 +174,7 @@ def clean_only(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not matcher.search(normal(t)) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

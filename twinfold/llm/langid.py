@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_sample, sample_limit, table
+from .common import crc_mod, in_sample, sample_limit, slices, table
 
 #: Ranks in a profile; n-grams of a document that are compared.
 PROFILE = 400
@@ -109,7 +109,7 @@ def identify(docs: DataFrame, ranked: dict[str, np.ndarray]) -> DataFrame:
     model = Profiles(ranked)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [model.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 

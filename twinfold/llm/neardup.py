@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stage
+from .common import scratch, slices, stage
 from .simhash import _sorted_runs, forest, majorities
 from ..operators.graph import components
 
@@ -264,18 +264,19 @@ def looks(docs: DataFrame, shingle: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "g", "h", "fp", "empty", "heavy"]
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
+
+    def count(held: list[np.ndarray]) -> list[dict]:
+        v, n = np.unique(np.concatenate(held), return_counts=True)
+        at = n >= max(LATE, LATE_SHARE * len(held))
+        return [{"h": x, "n": y} for x, y in zip(v[at].view(np.int64).tolist(), n[at].tolist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held: list[np.ndarray] = []
+        n_held, before = 0, None
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
-            held: list[np.ndarray] = []
-            n_held = 0
-
-            def count(held: list[np.ndarray]) -> list[dict]:
-                v, n = np.unique(np.concatenate(held), return_counts=True)
-                at = n >= max(LATE, LATE_SHARE * len(held))
-                return [{"h": x, "n": y} for x, y in zip(v[at].view(np.int64).tolist(), n[at].tolist(), strict=True)]
-
             for i, j, h, ends in word_chunks(texts):
                 x, start, stop = shingles(h, ends, shingle)
                 fps = majorities(*shingles(h, ends, FINGERPRINT_WORDS))
@@ -284,13 +285,17 @@ def looks(docs: DataFrame, shingle: int) -> DataFrame:
                     held.append(s)
                     n_held += len(s)
                     heavy = []
-                    if n_held >= COUNTED or t == len(texts) - 1:
+                    if n_held >= COUNTED:
                         heavy, held, n_held = count(held), [], 0
                     d = xxhash.xxh3_128_intdigest(s.tobytes(), 0) if len(s) else xxhash.xxh3_128_intdigest((texts[t] or "").encode(), 1)
                     for col, v in zip(out, (_signed(d >> 64), _signed(d & (1 << 64) - 1), fp, not len(s), heavy), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
+            if before:
+                yield pa.RecordBatch.from_arrays([before[0], *(pa.array(x, k) for x, k in zip(before[1], kinds, strict=True))], names)
+            before = (b.column("doc_id"), out) if b.num_rows else before
+        if before:  # the last row stands for what is left
+            before[1][4][-1] = [*before[1][4][-1], *count(held)] if held else before[1][4][-1]
+            yield pa.RecordBatch.from_arrays([before[0], *(pa.array(x, k) for x, k in zip(before[1], kinds, strict=True))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, g long, h long, fp long, empty boolean, heavy array<struct<h:long,n:long>>")
 
@@ -314,7 +319,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pairids")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), shingle)], pa.binary())], ["id", "s"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +354,7 @@ def prefix_rows(docs: DataFrame, firsts: DataFrame, heavy: DataFrame, shingle: i
     order = Order(often["h"].to_numpy(np.int64).view(np.uint64), -np.arange(len(often)))  # the most frequent last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sizes, first, sketches = [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), shingle):
                 sizes.append(len(s))

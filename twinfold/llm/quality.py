@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_sample, sample_limit, stage, table
+from .common import crc_mod, in_sample, sample_limit, slices, stage, table
 from .textstats import TextStats
 
 #: Labelled documents, about, from which the classifier is fitted.
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
     some = docs.select("doc_id", "text").join(F.broadcast(known.filter(part)), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y"), b.column("fold")], ["x", "y", "fold"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int").alias("fold")
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = quality_scores(b.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -158,7 +158,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs, all columns, whose score is 0.5 or more."""
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(quality_scores(b.column("text").to_pylist(), model) >= 0.5))
 
     return docs.mapInArrow(good, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_sample, sample_limit, table
+from .common import in_sample, sample_limit, slices, table
 from .textstats import TextStats
 
 #: Documents, about, on which costs and rejections are estimated.
@@ -78,7 +78,7 @@ def sample_measures(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE
     """measure of about that many documents, chosen by hash of the id and text; the driver gets numbers, no texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [measure(t, rules) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.bool_()))], ["cost", "hit"])
 
@@ -106,7 +106,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: Rule | None
     schema = f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column("text").to_pylist():
                 t = TextStats(text)
