@@ -6,6 +6,9 @@ columns of documents; the last adds each document's repetitions in the mix and l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +52,27 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs, keep=rest).filter("epochs > 0")
 
 
+#: Documents in an Arrow batch of the stages' Python functions, at most: very long ones meet few others in a worker's memory.
+ARROW_ROWS = 1000
+
+
+def _bounded(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session with batches of ARROW_ROWS; the setting stays, as the stage's result is written later."""
+
+    @wraps(f)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return f(spark, docs, sf_dir)
+
+    return bounded
+
+
 STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("pii", pii_stage),
-    ("mixing", mixing_stage),
+    ("quality", _bounded(quality_stage)),
+    ("near_duplicates", _bounded(near_duplicate_stage)),
+    ("decontamination", _bounded(decontamination_stage)),
+    ("pii", _bounded(pii_stage)),
+    ("mixing", _bounded(mixing_stage)),
 ]
 
 #: Models, fingerprints and edit distances are beyond SQL; tests/llm compares each stage with a brute-force version.
