@@ -184,8 +184,13 @@ def _given(text: Column, seed: Column) -> Column:
 
 def unit_surrogate(u: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of a unit (struct of kind and text) with the key of an attempt."""
-    text, kind = u["text"], u["kind"]
-    seed = F.concat(F.lit(f"{key}|"), kind, F.lit("|"), attempt.cast("string"))
+    seed = F.concat(F.lit(f"{key}|"), u["kind"], F.lit("|"), attempt.cast("string"))
+    return bind(F.struct(u["kind"].alias("kind"), u["text"].alias("text"), seed.alias("seed")), _replaced)
+
+
+def _replaced(u: Column) -> Column:
+    """The replacement of a unit with its seed; every part is named once, so that plans stay small."""
+    text, kind, seed = u["text"], u["kind"], u["seed"]
     found = _symbols(text, kind, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
     between = _symbols(text, kind, lambda p: F.split(text, p, -1))
     last_kept = kind.isin("card", "given")
@@ -267,9 +272,10 @@ def retries(docs: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> tuple[
 
     def tried(rows: DataFrame, attempt: int) -> DataFrame:
         one = F.struct(F.col("u.kind").alias("kind"), unit_surrogate(F.col("u"), F.lit(attempt), key).alias("text"))
-        listed = (F.col("u.kind") == "given") & F.initcap(one["text"]).isin(*FEMALE, *MALE)
-        was = (F.col("u.kind") == "given") & F.initcap(F.col("u.text")).isin(*FEMALE, *MALE)
-        return rows.select("k", "u", unit_key(one).alias("s"), (listed & ~was).alias("taken"), was.alias("fixed"))
+        listed = lambda u: (u["kind"] == "given") & F.initcap(u["text"]).isin(*FEMALE, *MALE)
+        new = bind(one, lambda x: F.struct(unit_key(x).alias("s"), listed(x).alias("listed")))
+        made = rows.select("k", "u", new.alias("x"), listed(F.col("u")).alias("fixed"))
+        return made.select("k", "u", "x.s", (F.col("x.listed") & ~F.col("fixed")).alias("taken"), "fixed")
 
     first = stage(tried(known.repartition("k"), 0), "surrogates")
     real = known.select(F.col("k").alias("s"))
