@@ -1,5 +1,8 @@
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,77 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
 @pytest.mark.parametrize(("text", "crc"), [("0", 4108050209)])
 def test_crc(spark, text, crc):
     assert spark.range(1).select(crc_mod(F.lit(0), 1000)).first()[0] == crc % 1000
+
+
+def plain_grams(text):
+    """n-grams of one to three letters, words padded by a blank, with counts."""
+    letters = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    letters = " " + " ".join(letters.split()) + " "
+    if not letters.strip():
+        return []
+    c = Counter(letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1))
+    del c[" "]
+    return list(c.items())
+
+
+def packed(gram):
+    v = 0
+    for ch in gram:
+        v = v << langid.BITS | ord(ch)
+    return v
+
+
+def test_languages_equal_a_plain_version(spark, sf_dir):
+    """The whole query by counting in dictionaries: profiles of all learned documents, ranks, distances."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    rank = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], packed(x[0])))]
+    counts = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and not held[r.doc_id]:
+            counts.setdefault(r.lang, Counter()).update(dict(plain_grams(r.text)))
+    profiles = {k: {g: i for i, g in enumerate(rank(c)[: langid.PROFILE])} for k, c in counts.items()}
+    size = max(map(len, profiles.values()))
+    got = {r.doc_id: r for r in langid.op4_language_id(spark, sf_dir).collect()}
+    for r in rows:
+        mine = rank(dict(plain_grams(r.text or "")))[: langid.DOC_GRAMS]
+        away = {k: sum(min(abs(p[g] - i), size) if g in p else size for i, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(away), key=away.get) if mine else "und"
+        assert (got[r.doc_id].held_out, got[r.doc_id].lang_pred) == (held[r.doc_id], best)
+        assert got[r.doc_id].score == pytest.approx(1 - away[best] / (size * len(mine)) if mine else 0.0)
+
+
+def test_quality_equals_a_plain_version(spark, sf_dir):
+    """The whole query on one array: features, kernel, ridge of all rows, isotonic steps on scores by the other folds' ridge."""
+    docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    folds = {r.doc_id: r.f for r in table(spark, sf_dir, "documents").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED + 1)), F.lit(quality.FOLDS)).alias("f")).collect()}
+    known = [(r.doc_id, r.quality) for r in table(spark, sf_dir, "labels").collect() if r.quality is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, y = np.array([quality.features(docs[d]) for d, _ in known]), np.array([q for _, q in known], dtype=float)
+    fold = np.array([folds[d] for d, _ in known])
+    rng = np.random.default_rng(quality.SEED)
+    m = quality.Model(x.mean(0), np.maximum(x.std(0), 1e-3), rng.normal(size=(quality.N_FEATURES, quality.FREQUENCIES)) / np.sqrt(quality.N_FEATURES / 2))
+    k = m.kernel(x)
+
+    def ridge(at):
+        return np.linalg.solve(k[at].T @ k[at] + quality.RIDGE * at.sum() * np.eye(k.shape[1]), k[at].T @ y[at])
+
+    s = np.array([k[i] @ w for i, w in enumerate(np.stack([ridge(fold != f) for f in range(quality.FOLDS)])[fold])])
+    bins = np.floor(np.clip(s, -0.5, 1.5) * quality.BINS)
+    ids = np.unique(bins)
+    m.xs, m.ys = quality.pool(*(np.array([f(bins == b) for b in ids]) for f in (lambda a: s[a].mean(), lambda a: y[a].mean(), lambda a: a.sum())))
+    m.weights = ridge(np.ones(len(y), bool))
+    for r in quality.op5_quality(spark, sf_dir).collect():
+        want = float(np.clip(m.predict(np.array([quality.features(docs[r.doc_id])])), 0, 1)[0])
+        assert r.score == pytest.approx(want, abs=1e-5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_ties_and_equal_texts_are_judged_alike(spark):
+    rows = [(i, t, "de" if i % 2 else "en", i % 2) for i, t in enumerate(["same words here again " * 8] * 6 + ["other text stands there " * 9] * 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    ranked = langid.learn(d)
+    assert len({(r.lang_pred, r.score) for r in langid.identify(d.filter("doc_id < 6"), ranked).collect()}) == 1
+    assert {r.lang_pred for r in langid.identify(d, {"b": ranked["de"], "a": ranked["de"]}).collect()} == {"a"}
+    m = quality.fit(d, d.select("doc_id", "quality"))
+    assert len({r.score for r in quality.score(d.filter("doc_id < 6"), m).collect()}) == 1
+    assert len({(r.kept, r.base_failed) for r in rules.cascade(d.filter("doc_id < 6")).collect()}) == 1
