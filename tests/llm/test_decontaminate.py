@@ -55,3 +55,35 @@ def test_leaks_and_spans(spark, odd_docs, no_docs):
 def test_blocks_of_items(spark):
     items = spark.createDataFrame([(i, f"item number {i} of many") for i in range(10)], "item_id long, text string")
     assert [len(b) for b in D.blocks_of(items, 40)] == [2, 2, 2, 2, 2]
+
+
+def test_leaks_equal_brute_force_over_all_pairs(spark):
+    """The operator of the query on a small fixture: planted items with edits around the budget, one-word and wordless items, repeats, clashing columns."""
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((12, 9, 6, 14, 1, 3))] + [(6, None), (7, "..."), (8, "")]
+
+    def damaged(text, edits):
+        for _ in range(edits):
+            i = rng.randrange(len(text))
+            text = rng.choice([text[:i] + text[i + 1 :], text[:i] + "z" + text[i:], text[:i] + "q" + text[i + 1 :]])
+        return text
+
+    docs = [(100, None), (101, ""), (102, "nothing here"), (None, items[0][1])]
+    for d in range(40):
+        k = rng.randrange(6)
+        docs.append((d, f"Before, {' '.join(rng.choice('mnop') * 3 for _ in range(6))}; {damaged(items[k][1], rng.randrange(8)).title()} after that."))
+    docs += docs[-2:]
+    frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id long, text string, distance string, start int, item_id int").repartition(3)
+    bench = spark.createDataFrame([(i, t, "y") for i, t in items], "item_id long, text string, doc_id string")
+    got = sorted(((r.doc_id, r.item_id, r.distance) for r in D.leaks(frame, bench).collect()), key=str)
+    want = []
+    for i, t in docs:
+        for k, item in items:
+            norm = D.normal(item)
+            if norm and (best := plain_distance(norm, D.normal(t))) <= int(D.RATE * len(norm)):
+                want.append((i, k, best))
+    assert got == sorted(want, key=str)
+    left = D.clean_only(frame, bench)
+    assert left.columns == frame.columns
+    assert sorted((str(r.doc_id) for r in left.collect())) == sorted(str(i) for i, t in docs if not any(w[0] == i for w in want))

@@ -144,7 +144,9 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, start, stop (in the document's characters) of each item within its edit budget of a part of a document.
 
     docs (doc_id, text) and items (item_id, text) may have other columns, which are ignored. Null and
-    wordless texts match nothing. Repeated rows of either side repeat the result.
+    wordless texts match nothing, a null id stays null. Repeated rows of either side repeat the result. An item too short for an edit (up to
+    12 characters at RATE) matches where it stands unchanged, also inside a longer word. Very long texts are searched
+    whole; of several parts at the least distance the first counts.
     """
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, start long, stop long"
