@@ -63,10 +63,14 @@ def annotate(offers: DataFrame, propagate: bool = True) -> DataFrame:
     return each.join(tops, "cluster_id", "left").join(guess, "cluster_id", "left").withColumn("brand", F.coalesce("top", "guess", F.lit(UNKNOWN))).drop("top", "guess")
 
 
+def mark_single(offers: DataFrame) -> DataFrame:
+    """is_single tells clusters of one offer."""
+    return offers.withColumn("is_single", F.count("*").over(W.partitionBy("cluster_id")) == 1)
+
+
 def clean_offers(offers: DataFrame) -> DataFrame:
-    """Titles and feature values cleaned; is_single tells clusters of one offer."""
-    single = F.count("*").over(W.partitionBy("cluster_id")) == 1
-    return offers.withColumn("is_single", single).withColumn("title", clean_title(F.col("title"))).withColumn("features", clean_features(F.col("features")))
+    """Titles and feature values cleaned."""
+    return offers.withColumn("title", clean_title(F.col("title"))).withColumn("features", clean_features(F.col("features")))
 
 
 def with_order(offers: DataFrame) -> DataFrame:
@@ -75,4 +79,5 @@ def with_order(offers: DataFrame) -> DataFrame:
 
 
 def prepare(offers: DataFrame, propagate: bool = True) -> DataFrame:
-    return with_order(clean_offers(annotate(offers, propagate)))
+    """Offers with brand, is_single, ord, and clean texts. The order comes first: its ranges are sampled from rows that are not cleaned yet."""
+    return clean_offers(with_order(mark_single(annotate(offers, propagate))))
