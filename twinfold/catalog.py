@@ -60,6 +60,12 @@ def unbranded(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d).withColumn("title", F.regexp_replace("title", "#", " ")).withColumn("features", F.when(F.col("cluster_id").cast("int") % 3 == 0, bare).otherwise(F.col("features")))
 
 
+def guess_brand_title(spark: SparkSession, d: str) -> DataFrame:
+    """Titles searched for every brand that the features of any offer name."""
+    known = R.known_brands(R.majority(raw(spark, d).withColumn("brand", T.extract_brand(F.col("features")))))
+    return unbranded(spark, d).select("offer_id", F.lower(T.guess_brand(F.col("title"), known or [])).alias("brand"))
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     part = lambda m: (F.col("o_orderkey") % m) / F.lit(float(m))
@@ -127,7 +133,7 @@ QUERIES = {
     "clean_feature_values": lambda s, d: raw(s, d).select("offer_id", F.explode(T.clean_features(F.col("features"))).alias("f")).select("offer_id", "f.key", "f.value"),
     "extract_brand": lambda s, d: raw(s, d).select("offer_id", T.extract_brand(F.col("features")).alias("brand")),
     "brand_majority": lambda s, d: R.majority(raw(s, d).withColumn("brand", T.extract_brand(F.col("features")))),
-    "guess_brand_title": lambda s, d: unbranded(s, d).select("offer_id", F.lower(T.guess_brand(F.col("title"), [f"brand {i}" for i in range(1, 26, 2)])).alias("brand")),
+    "guess_brand_title": guess_brand_title,
     "brand_fill": lambda s, d: R.annotate(unbranded(s, d)).select("offer_id", "brand"),
     "numeric_features": lambda s, d: ready(s, d).select("offer_id", F.explode(T.feature_numbers(F.col("features"))).alias("number")),
     "title_model_words": lambda s, d: ready(s, d).select("offer_id", F.explode(T.title_model_words(F.col("title"))).alias("word")),
@@ -347,7 +353,7 @@ ORACLES = {
     "clean_feature_values": _with(" UNION ALL ".join(f"SELECT offer_id, k{i} AS key, v{i} AS value FROM c" for i in range(1, 5))),
     "extract_brand": _with("SELECT offer_id, own AS brand FROM xb"),
     "brand_majority": _with("SELECT cluster_id, top FROM maj"),
-    "guess_brand_title": _with("SELECT offer_id, coalesce(nullif(lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand (1|3|5|7|9|11|13|15|17|19|21|23|25)\\b')), ''), 'unknown') AS brand FROM o".replace("\\\\", "\\")),
+    "guess_brand_title": _with("SELECT offer_id, coalesce(b, 'unknown') AS brand FROM (SELECT offer_id, lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+\b')) AS g FROM o) LEFT JOIN (SELECT DISTINCT top AS b FROM maj) ON g = b"),
     "brand_fill": _with("SELECT o.offer_id, CASE WHEN o.cluster_id::INT % 3 <> 0 THEN coalesce(top, g.b, 'unknown') ELSE coalesce(g.b, 'unknown') END AS brand FROM o LEFT JOIN maj ON maj.cluster_id = o.cluster_id LEFT JOIN (SELECT DISTINCT top AS b FROM maj WHERE cluster_id::INT % 3 <> 0) g ON g.b = lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+'))"),
     "numeric_features": _with("SELECT offer_id, unnest(nums) AS number FROM tw"),
     "title_model_words": _with("SELECT offer_id, unnest(words) AS word FROM tw"),
