@@ -353,7 +353,7 @@ ORACLES = {
     "clean_feature_values": _with(" UNION ALL ".join(f"SELECT offer_id, k{i} AS key, v{i} AS value FROM c" for i in range(1, 5))),
     "extract_brand": _with("SELECT offer_id, own AS brand FROM xb"),
     "brand_majority": _with("SELECT cluster_id, top FROM maj"),
-    "guess_brand_title": _with("SELECT offer_id, coalesce(b, 'unknown') AS brand FROM (SELECT offer_id, lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+\b')) AS g FROM o) LEFT JOIN (SELECT DISTINCT top AS b FROM maj) ON g = b"),
+    "guess_brand_title": _with("SELECT offer_id, coalesce(b, 'unknown') AS brand FROM (SELECT offer_id, lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+\\b')) AS g FROM o) LEFT JOIN (SELECT DISTINCT top AS b FROM maj) ON g = b"),
     "brand_fill": _with("SELECT o.offer_id, CASE WHEN o.cluster_id::INT % 3 <> 0 THEN coalesce(top, g.b, 'unknown') ELSE coalesce(g.b, 'unknown') END AS brand FROM o LEFT JOIN maj ON maj.cluster_id = o.cluster_id LEFT JOIN (SELECT DISTINCT top AS b FROM maj WHERE cluster_id::INT % 3 <> 0) g ON g.b = lower(regexp_extract(replace(title, '#', ' '), '(?i)^brand [0-9]+'))"),
     "numeric_features": _with("SELECT offer_id, unnest(nums) AS number FROM tw"),
     "title_model_words": _with("SELECT offer_id, unnest(words) AS word FROM tw"),
