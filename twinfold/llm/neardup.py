@@ -424,9 +424,14 @@ def groups(docs: DataFrame, each: DataFrame, classes: DataFrame, shingle: int, s
     def links(pairs: DataFrame) -> DataFrame:
         return verified(docs, possible(pairs, sketches, similarity), shingle, similarity)
 
+    def joined(parts: DataFrame | None, more: DataFrame) -> DataFrame:
+        """The parts after more links; the parts' own links are stars already, so few rounds join them."""
+        old = more if parts is None else parts.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
+        return components(old).toDF("id", "label")
+
     pairs = fingerprint_pairs(classes, radius)
     edges = links(pairs)
-    parts = None if edges.isEmpty() else components(edges).toDF("id", "label")
+    parts = None if edges.isEmpty() else joined(None, edges)
     last = False
     for turn in range(rounds + 1):
         last = last or turn == rounds
@@ -435,8 +440,7 @@ def groups(docs: DataFrame, each: DataFrame, classes: DataFrame, shingle: int, s
         more = links(met)
         found = not more.isEmpty()
         if found:
-            edges = edges.unionByName(more)
-            parts = components(edges).toDF("id", "label")
+            parts = joined(parts, more)
         if last:
             return parts
         pairs = stage(pairs.unionByName(met), "tried")
