@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int").alias("fold")
     rows = some.select("text", "y", fold, F.xxhash64("doc_id").alias("k")).mapInArrow(measure, "x array<double>, y double, fold int, k long")
-    rows = stage(rows.repartition(PARTS, "k"), "labelled")
+    rows = stage(rows, "labelled")
     at = [F.col("x")[i] for i in range(N_FEATURES)]
     r = rows.select(F.count("*"), *[F.avg(c) for c in at], *[F.stddev_pop(c) for c in at]).first()
     if not r[0]:
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
                 yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([total[f].tobytes()], pa.binary())], ["fold", "m"])
 
     eq = np.zeros((FOLDS, size, size + 1))
-    for p in rows.repartition(PARTS, "k").mapInArrow(equations, "fold int, m binary").collect():
+    for p in rows.coalesce(PARTS).mapInArrow(equations, "fold int, m binary").collect():
         eq[p["fold"]] += np.frombuffer(p["m"]).reshape(size, size + 1)
 
     def solve(e: np.ndarray) -> np.ndarray:
