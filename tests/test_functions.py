@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,14 @@ def test_key_matching_is_greedy_and_one_to_one(spark):
     j = p.filter("offer_id = '1'").select(F.col("p").alias("p")).crossJoin(p.filter("offer_id = '2'").select(F.col("p").alias("q")))
     x = j.select(S.match_keys(F.col("p.f"), F.col("q.f"), F.lit(0.4)).alias("x")).first()["x"]
     assert (x["m"], x["w"], x["sim"], x["alone"], [r["key"] for r in x["rest"]]) == (1, 0.5, 0.5, ["lg"], ["weight"])
+
+
+def test_texts_in_ascii_are_cleaned_as_all_texts(spark):
+    rng = np.random.default_rng(5)
+    parts = [s for s, _, _ in T.TITLE_RULES] + ["x", "7", "55", " ", "  ", "\t", "\n", "_", ".", "sandy", "Inches.", "KG )", "cd/m2 w", "-", "ſ", "K"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 9)))) for _ in range(1500)]
+    d = spark.createDataFrame([(x,) for x in texts], "s string")
+    for rules in (T.TITLE_RULES, T.VALUE_RULES):
+        got = d.select("s", T.clean(F.col("s"), rules).alias("got"), T._clean_any(F.lower("s"), rules).alias("want")).collect()
+        assert [(r.s, r.got) for r in got] == [(r.s, r.want) for r in got]
+    assert any(x.isascii() for x in texts) and not all(x.isascii() for x in texts)

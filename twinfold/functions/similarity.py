@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import pair_words, resolution, size_inches, split_numeric, strong_words, value_words
+from .text import bind, pair_words, resolution, size_inches, split_numeric, strong_words, value_words
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -17,11 +17,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return ratio(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
-def bind(x: Column, f) -> Column:  # noqa: ANN001
-    """f(x) with x computed once, also inside higher-order functions."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def jaccard_sets(a: Column, b: Column) -> Column:
     """jaccard of arrays without repeats, with one pass over both."""
     return bind(F.size(F.array_intersect(a, b)), lambda n: F.coalesce(F.try_divide(n.cast("double"), F.size(a) + F.size(b) - n), F.lit(0.0)))
