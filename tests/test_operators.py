@@ -139,3 +139,34 @@ def test_components_of_paths_stars_and_random_links(spark):
     for edges in ([*zip(path, path[1:], strict=False)], [(rng.randrange(2000), rng.randrange(2000)) for _ in range(900)], [(5, i) for i in range(300)] + [(i, i + 1000) for i in range(300)], [(1, 1), (None, 2)]):
         got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == brute([e for e in edges if None not in e])
+
+
+def test_partners_are_the_digest_of_all_pairs(spark):
+    d = spark.createDataFrame([("x", f"{i * 7 % 11}", i) for i in range(11)] + [("y", "b", 1), ("y", "a", 2), ("z", "c", 1)], "brand string, offer_id string, ord int")
+    plain = lambda pairs: {tuple(r) for r in pairs.groupBy("brand", "oid1").agg(F.count("*"), F.min("oid2"), F.max("oid2")).collect()}
+    for least in (0, 2, 3, 99):
+        assert {tuple(r) for r in B.every_partner(d, least).collect()} == plain(B.every_pair(d, least))
+
+
+def test_sets_are_filtered_as_rows(spark):
+    rng = np.random.default_rng(8)
+    sets = [("xy"[i % 2], f"o{i}", [str(s) for s in set(rng.integers(0, 12, int(rng.integers(0, 5))).tolist())]) for i in range(40)] + [("y", "alone", ["only"])]
+    d = spark.createDataFrame(sets, "brand string, offer_id string, shingles array<string>")
+    want = {tuple(r) for r in B.filter_by_df(B.exploded(d), d, 3, 0.3).collect()}
+    for most in (0, 1000):
+        got = B.filter_sets(d, 3, 0.3, most)
+        assert got.count() == 41
+        assert {tuple(r) for r in B.exploded(got).collect()} == want
+
+
+def test_order_by_clusters_is_the_order_of_offers(spark):
+    rows = [(f"c{i % 13}", i // 13, ("lg", "sony", None)[i % 13 % 3]) for i in range(60)] + [("s1", 0, "lg"), ("a1", 0, "sony")]
+    d = offers(spark, rows)
+    got = R.prepare(d).collect()
+    for brand in {r.brand for r in got}:
+        own = sorted((r for r in got if r.brand == brand), key=lambda r: (r.is_single, r.cluster_id, r.idx))
+        assert [r.ord for r in own] == list(range(1, len(own) + 1))
+    assert len(got) == 62
+    assert {r.offer_id: r.ord for r in R.place(d.select("cluster_id", "idx", "offer_id"), R.cluster_places(d)).collect()} == {r.offer_id: r.ord for r in got}
+    assert {r.offer_id: r.ord for r in R.with_order(R.mark_single(R.annotate(d))).collect()} == {r.offer_id: r.ord for r in got}
+    assert {tuple(r) for r in R.cluster_sizes(d).collect()} == {(r.cluster_id, r.is_single) for r in got}
