@@ -170,3 +170,25 @@ def test_order_by_clusters_is_the_order_of_offers(spark):
     assert {r.offer_id: r.ord for r in R.place(d.select("cluster_id", "idx", "offer_id"), R.cluster_places(d)).collect()} == {r.offer_id: r.ord for r in got}
     assert {r.offer_id: r.ord for r in R.with_order(R.mark_single(R.annotate(d))).collect()} == {r.offer_id: r.ord for r in got}
     assert {tuple(r) for r in R.cluster_sizes(d).collect()} == {(r.cluster_id, r.is_single) for r in got}
+
+
+def made_signatures(spark, n=60):
+    """Signatures of four places over few values, many of them equal."""
+    rng = np.random.default_rng(4)
+    return spark.createDataFrame([("xy"[i % 2], f"o{i}", [int(v) for v in rng.integers(0, 5, 4)]) for i in range(n)] + [("x", f"e{i}", [9, 9, 9, 9]) for i in range(5)] + [("z", "alone", [1, 1, 1, 1])], "brand string, offer_id string, sig array<bigint>")
+
+
+def test_degrees_and_components_by_classes_are_those_of_pairs(spark, monkeypatch):
+    sigs = made_signatures(spark)
+    pairs = B.lsh_pairs(sigs, 2, 2)
+    degree = {r.offer_id: len(r.partners) for r in B.adjacency(pairs, sigs).collect()}
+    label = {r.node: r.label for r in components(pairs.select(F.col("oid1").alias("a"), F.col("oid2").alias("b"))).collect()}
+
+    def no(*_, **__):
+        raise AssertionError("pairs of offers are made")
+
+    monkeypatch.setattr(B, "lsh_pairs", no)
+    assert {r.offer_id: r.degree for r in B.degrees(sigs, 2, 2).collect()} == degree
+    assert {r.node: r.label for r in B.lsh_components(sigs, 2, 2).collect()} == label
+    assert 0 in degree.values()
+    assert "alone" not in label
