@@ -11,6 +11,7 @@ from twinfold.operators import matching as M
 from twinfold.operators.graph import components
 from twinfold.plans import experiment as X
 from twinfold.sources import offers as O
+from twinfold.staging import stage
 
 FEATURES = "array<struct<key:string,value:string>>"
 
@@ -192,3 +193,16 @@ def test_degrees_and_components_by_classes_are_those_of_pairs(spark, monkeypatch
     assert {r.node: r.label for r in B.lsh_components(sigs, 2, 2).collect()} == label
     assert 0 in degree.values()
     assert "alone" not in label
+
+
+def test_pair_counts_are_those_of_pairs(spark, monkeypatch):
+    sigs = made_signatures(spark)
+    keys = stage(sigs.select("offer_id", (F.ascii(F.substring("offer_id", -1, 1)) % 3).cast("long").alias("key")), "testkeys")
+    plain = B.lsh_pairs(sigs, 2, 2).join(keys.toDF("oid1", "a"), "oid1").join(keys.toDF("oid2", "b"), "oid2").groupBy("a", "b").count()
+    want = {tuple(r) for r in plain.collect()}
+
+    def no(*_, **__):
+        raise AssertionError("pairs of offers are made")
+
+    monkeypatch.setattr(B, "lsh_pairs", no)
+    assert {tuple(r) for r in B.pair_counts(sigs, keys, 2, 2).collect()} == want
