@@ -83,3 +83,11 @@ def test_texts_in_ascii_are_cleaned_as_all_texts(spark):
         got = d.select("s", T.clean(F.col("s"), rules).alias("got"), T._clean_any(F.lower("s"), rules).alias("want")).collect()
         assert [(r.s, r.got) for r in got] == [(r.s, r.want) for r in got]
     assert any(x.isascii() for x in texts) and not all(x.isascii() for x in texts)
+
+
+def test_counted_cosine_is_cosine(spark):
+    rows = [(a, b) for a in ("lg 42inch lg tv", "lg tv", "", "Tv tv tv lg", None) for b in ("tv lg", "lg lg", "42inch", "", "lg tv tv")]
+    d = spark.createDataFrame(rows, "a string, b string")
+    c = S.counted_cosine(S.counted_terms(F.col("a")), S.counted_terms(F.col("b")))
+    for r in d.select(c.alias("x"), S.cosine(S.terms(F.col("a")), S.terms(F.col("b"))).alias("y")).collect():
+        assert r.x == r.y
