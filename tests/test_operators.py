@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinfold.functions import similarity as S
 from twinfold.functions.tables import PRIME
 from twinfold.operators import blocking as B
 from twinfold.operators import brand as R
@@ -206,3 +207,20 @@ def test_pair_counts_are_those_of_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(B, "lsh_pairs", no)
     assert {tuple(r) for r in B.pair_counts(sigs, keys, 2, 2).collect()} == want
+
+
+def test_groups_stand_for_all_pairs(spark, monkeypatch):
+    sigs = made_signatures(spark)
+    last = F.ascii(F.substring("offer_id", -1, 1))
+    short = stage(sigs.select("offer_id", F.struct((last % 2).cast("string").alias("shop"), F.when(last % 5 == 0, F.array(F.lit("m1"))).otherwise(F.array().cast("array<string>")).alias("strong"), F.lit(None).cast("string").alias("reso"), F.when(last % 3 > 0, (last % 3).cast("double")).alias("size")).alias("p")), "testshort")
+    test = lambda d: d.select("brand", "oid1", "oid2", S.blocked(F.col("p1"), F.col("p2")))
+    want = sorted(tuple(r) for r in test(B.lsh_pairs(sigs, 2, 2).join(short.toDF("oid1", "p1"), "oid1").join(short.toDF("oid2", "p2"), "oid2")).collect())
+
+    def no(*_, **__):
+        raise AssertionError("pairs are tested one by one")
+
+    monkeypatch.setattr(B, "lsh_pairs", no)
+    for rows in (1, 1000):
+        monkeypatch.setattr(M, "GROUP_ROWS", rows)
+        met, lists = M.group_pairs(short, sigs, 2, 2)
+        assert sorted((r.brand, r.oid1, r.oid2, r.blocked) for r in M.expand(met, lists, "brand", "blocked").collect()) == want
