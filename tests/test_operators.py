@@ -224,3 +224,16 @@ def test_groups_stand_for_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(M, "GROUP_ROWS", rows)
         met, lists = M.group_pairs(short, sigs, 2, 2)
         assert sorted((r.brand, r.oid1, r.oid2, r.blocked) for r in M.expand(met, lists, "brand", "blocked").collect()) == want
+
+
+def test_feature_pairs_are_matched_as_by_match_keys(spark, monkeypatch):
+    lists = [[("Brand", "lg"), ("Size", "42 inch")], [("Brand Name", "lg inc"), ("Size Class", "42inch"), ("Weight", "10.5 lb")], [("Weight", "12.0 lb"), ("Brand", "")], []]
+    f = stage(spark.createDataFrame(list(enumerate(lists)), f"f long, features {FEATURES}"), "testlists")
+    pairs = f.select(F.col("f").alias("f1")).crossJoin(f.select(F.col("f").alias("f2")))
+    gram = lambda c: F.transform(c, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), S.qgrams(x["key"]).alias("kg"), S.qgrams(x["value"]).alias("vg")))
+    both = pairs.join(f.toDF("f1", "a"), "f1").join(f.toDF("f2", "b"), "f2").withColumn("x", S.match_keys(gram(F.col("a")), gram(F.col("b")), F.lit(0.3)))
+    want = {(r.f1, r.f2): (r.x.sim, r.x.w, r.x.m, r.x.alone, [y.value for y in r.x.rest]) for r in both.collect()}
+    for most in (0, 500):
+        monkeypatch.setattr(M, "MAX_KEY_LISTS", most)
+        assert {(r.f1, r.f2): (r.sim, r.w, r.m, r.alone, r.rest) for r in M.feature_pairs(pairs, f, 0.3).collect()} == want
+    assert any(0 < x[0] < x[1] for x in want.values())
