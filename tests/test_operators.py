@@ -9,7 +9,7 @@ from twinfold.functions.tables import PRIME
 from twinfold.operators import blocking as B
 from twinfold.operators import brand as R
 from twinfold.operators import matching as M
-from twinfold.operators.graph import components
+from twinfold.operators.graph import components, stars
 from twinfold.plans import experiment as X
 from twinfold.sources import offers as O
 from twinfold.staging import stage
@@ -237,3 +237,38 @@ def test_feature_pairs_are_matched_as_by_match_keys(spark, monkeypatch):
         monkeypatch.setattr(M, "MAX_KEY_LISTS", most)
         assert {(r.f1, r.f2): (r.sim, r.w, r.m, r.alone, r.rest) for r in M.feature_pairs(pairs, f, 0.3).collect()} == want
     assert any(0 < x[0] < x[1] for x in want.values())
+
+
+def test_linkage_by_items_and_matrix_is_brute_force(monkeypatch):
+    rng = np.random.default_rng(11)
+    for most in (0, 100):
+        monkeypatch.setattr(M, "MAX_MATRIX", most)
+        for _ in range(40):
+            n = int(rng.integers(2, 10))
+            item = rng.integers(0, 5, n)  # of each offer
+            way = {(a, b): float(round(rng.random(), 1)) for a in range(5) for b in range(5) if rng.random() < 0.8}
+            d = {(i, j): way[item[i], item[j]] for i in range(n) for j in range(i + 1, n) if way.get((item[i], item[j]), 1) < 0.5}
+            used = sorted(set(item.tolist()))
+            place = np.array([i for x in used for i in range(n) if item[i] == x])
+            sizes = np.array([(item == x).sum() for x in used])
+            rows = [(used.index(a), used.index(b), x) for (a, b), x in way.items() if x < 0.5 and a in used and b in used and (sizes[used.index(a)] > 1 or sizes[used.index(b)] > 1 or a != b)]
+            rows = [(a, b, x) for a, b, x in rows if any(i < j for i in range(n) if item[i] == used[a] for j in range(n) if item[j] == used[b])]
+            a, b, x = (np.array([r[k] for r in rows], t) for k, t in enumerate(("int64", "int64", "float64")))
+            label = M.link_items(n, place, sizes, a, b, x, [str(i) for i in range(n)], 0.5)
+            assert sorted(sorted(i for i in range(n) if label[i] == y) for y in set(label)) == brute_linkage(n, d, 0.5)
+
+
+def test_stars_have_the_components_of_links(spark):
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-40, 200, (300, 2))], "a long, b long").repartition(3)
+    assert {tuple(r) for r in components(stars(edges)).collect()} == {tuple(r) for r in components(edges).collect()}
+
+
+def test_classes_meet_once_without_a_distinct(spark, monkeypatch):
+    classes = B.signature_classes(made_signatures(spark))
+    for b, r in ((2, 2), (4, 1), (1, 4)):
+        rows = B.bands(classes.select("brand", "sig", F.col("class").alias("offer_id")), b, r)
+        want = sorted(tuple(x) for x in B.band_pairs(rows).collect())
+        with monkeypatch.context() as m:
+            m.setattr(B, "band_pairs", None)
+            assert sorted(tuple(x) for x in B.class_pairs(classes, b, r).collect()) == want
