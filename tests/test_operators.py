@@ -272,3 +272,21 @@ def test_classes_meet_once_without_a_distinct(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(B, "band_pairs", None)
             assert sorted(tuple(x) for x in B.class_pairs(classes, b, r).collect()) == want
+
+
+def test_candidates_by_cluster_rows_are_those_of_blocks(spark):
+    rng = np.random.default_rng(7)
+    titles = [None, "", "LG 42-inch MX1B2", 'LG 42" MX1B2 120Hz', "sony 55hz 10p", "Sony 9x a1 b2 c3", "plain"]
+    values = [None, "", "42 Inches", "10.5 lbs.", "1920 x 1080"]
+    one = lambda c: (f"c{c}", titles[rng.integers(0, 7)], None if rng.random() < 0.1 else [("Brand", ("lg", "Sony Inc.", "")[rng.integers(0, 3)] if c % 5 else ""), ("Size", values[rng.integers(0, 5)]), ("Weight", values[rng.integers(0, 5)])])
+    rows = [(c, k, t, f) for n in range(12) for k, (c, t, f) in enumerate(one(n) for _ in range(int(rng.integers(1, 25))))]
+    d = stage(spark.createDataFrame(rows, f"cluster_id string, idx int, title string, features {FEATURES}").select("*", O.offer_id("cluster_id", "idx")), "testoffers")
+    blocks = stage(R.with_order(R.prepare(d).withColumn("brand", F.concat_ws("/", "brand", "cluster_id"))), "testblocks")
+    pairs = B.candidates(blocks, stage(B.signatures(blocks, 8, 3, 9), "testsigs"), 4, 2, 9)
+    want = {tuple(r) for r in pairs.groupBy("brand", "oid1").agg(F.count("*"), F.min("oid2"), F.max("oid2")).collect()}
+    found = R.fill_tops(d, stage(B.cluster_candidates(R.cluster_rows(d), 8, 3, 4, 2, 9), "testfound"))
+    got = [(f"{r.brand}/{r.cluster_id}", f"{r.cluster_id}#{x['at']}", x["n"], *[f"{r.cluster_id}#{x[c]}" for c in ("low", "high")]) for r in found.collect() for x in r.rows]
+    assert len(got) == len(want)
+    assert set(got) == want
+    sizes = {r.cluster_id: len(r.idx) for r in R.cluster_rows(d).collect()}
+    assert min(sizes.values()) < 9 <= max(sizes.values())
