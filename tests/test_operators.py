@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from twinfold.functions.tables import PRIME
 from twinfold.operators import blocking as B
 from twinfold.operators import brand as R
 from twinfold.operators import matching as M
+from twinfold.operators import tiles as L
 from twinfold.operators.graph import components, stars
 from twinfold.plans import experiment as X
 from twinfold.sources import offers as O
@@ -290,3 +292,53 @@ def test_candidates_by_cluster_rows_are_those_of_blocks(spark):
     assert set(got) == want
     sizes = {r.cluster_id: len(r.idx) for r in R.cluster_rows(d).collect()}
     assert min(sizes.values()) < 9 <= max(sizes.values())
+
+
+def test_keys_are_counted_by_tiles_as_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    ids = [f"{c}#{k}" for c in range(40) for k in range(int(rng.integers(1, 6)))]
+    rows = [(x, x.split("#")[0], "xyz"[int(x.split("#")[0]) % 3] if i > 2 else "few", i, int(rng.integers(0, 9)), [str(int(v)) for v in rng.integers(0, 6, 2)]) for i, x in enumerate(ids)]
+    o = stage(spark.createDataFrame(rows, "offer_id string, cluster_id string, brand string, ord int, key long, shingles array<string>").withColumn("shingles", F.sort_array(F.array_distinct("shingles"))), "testoffers")
+    sets = B.split_blocks(o)[0]
+    sigs = stage(B.set_signatures(sets, 4, 5), "testsigs")
+    of = o.select("offer_id", "key")
+    plain = B.candidates(o, sigs, 2, 2).join(of.toDF("oid1", "a"), "oid1").join(of.toDF("oid2", "b"), "oid2").groupBy("a", "b").count()
+    want = {tuple(r) for r in plain.collect()}
+
+    def no(*_, **__):
+        raise AssertionError("pairs of classes are made")
+
+    for where, name in ((B, "lsh_pairs"), (B, "class_pairs"), (B, "block_pairs")):
+        monkeypatch.setattr(where, name, no)
+    classes = B.numbered_classes(sets, 4, 5)
+    keys = o.select("key", F.array(F.concat(F.lit("w"), "key")).alias("x")).distinct()
+    for tile, chunk, piece, long in ((1, 1000, 1000, 1000), (1000, 3, 5, 0), (7, 1000, 1000, 2)):
+        for name, value in (("TILE", tile), ("CHUNK", chunk), ("PIECE", piece), ("LONG", long)):
+            monkeypatch.setattr(L, name, value)
+        assert {tuple(r) for r in L.key_counts(o, *classes, keys.select("key", F.lit(0).alias("x")), 2, 2).collect()} == want
+        got = L.key_counts(o, *classes, keys, 2, 2, L.rate_avg_lev, "sim double").collect()
+        assert {tuple(r)[:3] for r in got} == want
+        assert all(r.sim == (1.0 if r.a == r.b else 0.5) for r in got)
+
+
+def test_matrices_of_words_are_the_columns(spark):
+    words = ["", "a", "mx12b3", "mx12b4", "55inch", "120hz", "ünder", "x" * 9, "55inches", "b9"]
+    rng = np.random.default_rng(3)
+    lists = [[words[k] for k in rng.integers(0, 10, int(rng.integers(0, 5)))] for _ in range(14)] + [["a", "a", "b9"]]
+    d = spark.createDataFrame([(i, x, " ".join(x)) for i, x in enumerate(lists)], "i int, x array<string>, t string")
+    both = d.crossJoin(d.toDF("j", "y", "u"))
+    cos = F.round(S.counted_cosine(S.counted_terms(F.col("t")), S.counted_terms(F.col("u"))), 6)
+    want = {(r.i, r.j): (r.lev, r.cos) for r in both.select("i", "j", F.round(S.avg_lev(F.col("x"), F.col("y")), 6).alias("lev"), cos.alias("cos")).collect()}
+    x = pa.array(lists, pa.list_(pa.string()))
+    terms = pa.array([{"words": r.c["words"], "norm": r.c["norm"]} for r in d.orderBy("i").select(S.counted_terms(F.col("t")).alias("c")).collect()])
+    lev, cosine = L.rate_avg_lev(x, x)[0], L.rate_cosine(terms, terms)[0]
+    assert {(i, j): (lev[i, j], cosine[i, j]) for i in range(15) for j in range(15)} == want
+    ties = [0.0078125, 0.1234565, 0.5, 0.0, 1.0, 1 / 3, 2.5e-6, 0.0000005]
+    assert L.rounded(np.array(ties)).tolist() == [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(ties)], "i int, t double").select("i", F.round("t", 6).alias("x")).orderBy("i").collect()]
+
+
+def test_offers_prepared_by_cluster_are_those_prepared_one_by_one(spark):
+    rows = [("c1", 0, "LG 42-inch MX1B2", [("Brand", "LG"), ("Size", '42"')]), ("c1", 1, None, None), ("c1", 2, "", [("Brand Name", " "), ("BRAND", "Sony Inc."), ("Size", None)]), ("c2", 0, "Sony 50hz", [("Size", "1.5 lbs.")]), ("c3", 0, "x", [("brand", "LG")]), ("c3", 1, "x", [("brand", "lg inc")])]
+    d = stage(spark.createDataFrame([(c, i, f"{c}#{i}", "s", "m", t, f) for c, i, t, f in rows], f"cluster_id string, idx int, offer_id string, shop string, model_id string, title string, features {FEATURES}"), "testoffers")
+    want = R.prepare(d).withColumn("shingles", F.sort_array(B.shingles(F.col("title"), F.col("features"))))
+    assert {repr(r) for r in R.prepare_by_cluster(d).select(*want.columns).collect()} == {repr(r) for r in want.collect()}
