@@ -331,7 +331,7 @@ def test_matrices_of_words_are_the_columns(spark):
     want = {(r.i, r.j): (r.lev, r.cos) for r in both.select("i", "j", F.round(S.avg_lev(F.col("x"), F.col("y")), 6).alias("lev"), cos.alias("cos")).collect()}
     x = pa.array(lists, pa.list_(pa.string()))
     terms = pa.array([{"words": r.c["words"], "norm": r.c["norm"]} for r in d.orderBy("i").select(S.counted_terms(F.col("t")).alias("c")).collect()])
-    lev, cosine = L.rate_avg_lev(x, x)[0], L.rate_cosine(terms, terms)[0]
+    lev, cosine = L.rounded(L.rate_avg_lev(x, x)[0]), L.rounded(L.rate_cosine(terms, terms)[0])
     assert {(i, j): (lev[i, j], cosine[i, j]) for i in range(15) for j in range(15)} == want
     ties = [0.0078125, 0.1234565, 0.5, 0.0, 1.0, 1 / 3, 2.5e-6, 0.0000005]
     assert L.rounded(np.array(ties)).tolist() == [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(ties)], "i int, t double").select("i", F.round("t", 6).alias("x")).orderBy("i").collect()]
@@ -342,3 +342,16 @@ def test_offers_prepared_by_cluster_are_those_prepared_one_by_one(spark):
     d = stage(spark.createDataFrame([(c, i, f"{c}#{i}", "s", "m", t, f) for c, i, t, f in rows], f"cluster_id string, idx int, offer_id string, shop string, model_id string, title string, features {FEATURES}"), "testoffers")
     want = R.prepare(d).withColumn("shingles", F.sort_array(B.shingles(F.col("title"), F.col("features"))))
     assert {repr(r) for r in R.prepare_by_cluster(d).select(*want.columns).collect()} == {repr(r) for r in want.collect()}
+
+
+def test_matrices_of_features_are_match_keys(spark):
+    rng = np.random.default_rng(9)
+    keys, values = ["Brand", "Brand Name", "Screen Size", "Screen Size Class", "Weight", "x", "BRAND", ""], ["", "lg", "LG", "42 inch", "42inch", "10.5 lb", "10.5 lbs"]
+    lists = [[]] + [[(keys[k], values[v]) for k, v in zip(rng.choice(8, n, False), rng.integers(0, 7, n))] for n in rng.integers(0, 5, 12)] + [[("Brand", "lg"), ("Brand", "x")], [("Brand", "x"), ("Brand Name", "lg"), ("Brand", "lg")]]
+    f = stage(spark.createDataFrame(list(enumerate(lists)), f"f int, features {FEATURES}"), "testlists")
+    gram = lambda c: F.transform(c, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), S.qgrams(x["key"]).alias("kg"), S.qgrams(x["value"]).alias("vg")))
+    both = f.crossJoin(f.toDF("g", "other")).withColumn("x", S.match_keys(gram(F.col("features")), gram(F.col("other")), F.lit(0.3)))
+    want = {(r.f, r.g): (r.x.sim, r.x.w, r.x.m) for r in both.collect()}
+    a = pa.array([[{"key": k, "low": k.lower(), "value": v.lower()} for k, v in x] for x in lists])
+    sim, w, m = L.rate_features(0.3)(a, a)
+    assert {(i, j): (sim[i, j], w[i, j], m[i, j]) for i in range(len(lists)) for j in range(len(lists))} == want
