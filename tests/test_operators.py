@@ -355,3 +355,14 @@ def test_matrices_of_features_are_match_keys(spark):
     a = pa.array([[{"key": k, "low": k.lower(), "value": v.lower()} for k, v in x] for x in lists])
     sim, w, m = L.rate_features(0.3)(a, a)
     assert {(i, j): (sim[i, j], w[i, j], m[i, j]) for i in range(len(lists)) for j in range(len(lists))} == want
+
+
+def test_degrees_make_no_pairs_of_classes(spark, monkeypatch):
+    sigs = made_signatures(spark)
+    settings = ((4, 1), (2, 2), (1, 4), (3, 1))
+    want = [{r.offer_id: len(r.partners) for r in B.adjacency(B.lsh_pairs(sigs.withColumn("sig", F.slice("sig", 1, b * r)), b, r), sigs).collect()} for b, r in settings]
+    with monkeypatch.context() as m:
+        m.setattr(B, "class_pairs", None)
+        assert [{r.offer_id: r.degree for r in B.degrees(sigs, b, r).collect()} for b, r in settings] == want
+    monkeypatch.setattr(B, "MAX_BANDS", 0)
+    assert {r.offer_id: r.degree for r in B.degrees(sigs, 4, 1).collect()} == want[0]
